@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.rounding import round_even
+
 # Accepted number texts (no thousands separators, no hex, no type suffix).
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -47,6 +49,6 @@ def to_timestamp(c: Column, data_type: str) -> Column:
 
 
 def days_between(start: Column, end: Column) -> Column:
-    """Days from start to end, two decimals, half to even; negative when end is earlier."""
+    """Days from start to end, two decimals, ties to even; negative when end is earlier."""
     seconds = (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
-    return F.bround(seconds / F.lit(86400.0), 2)
+    return round_even(seconds / F.lit(86400.0), 2)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.rounding import round_even
+
 
 def fixed(c: Column, digits: int) -> Column:
     """Exactly ``digits`` decimals."""
-    return F.bround(c.cast("double"), digits).cast(f"decimal(18,{digits})").cast("string")
+    return round_even(c.cast("double"), digits).cast(f"decimal(18,{digits})").cast("string")
 
 
 def percent(c: Column) -> Column:

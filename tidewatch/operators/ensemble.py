@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.render import fixed
+from tidewatch.functions.rounding import round_even
 
 LAYERS = [("rule_anomaly", "rules"), ("zscore_anomaly", "route_zscore"), ("iforest_anomaly", "iforest")]
 
@@ -19,7 +20,7 @@ def vote_columns() -> dict[str, Column]:
     return {
         "anomaly_votes": votes,
         "final_anomaly": ((F.col("rule_anomaly") == 1) | (votes >= 2)).cast("int"),
-        "anomaly_score": F.bround(score, 1),
+        "anomaly_score": round_even(score, 1),
         "anomaly_methods": F.when(F.size(labels) == 0, F.lit("none")).otherwise(F.array_join(labels, ", ")),
     }
 

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.config import DetectorConfig, check_contamination
+from tidewatch.functions.rounding import round_even
 from tidewatch.schema import MODEL_FEATURES
 
 MIN_ROWS = 10
@@ -192,7 +193,7 @@ def flag_columns(cut: float, digits: int = 5) -> dict[str, Column]:
     raw = F.col("iforest_raw")
     return {
         "iforest_anomaly": (raw > F.lit(cut)).cast("int"),
-        "iforest_score": F.bround(raw - F.lit(cut), digits),
+        "iforest_score": round_even(raw - F.lit(cut), digits),
         "iforest_skipped": F.lit(False),
     }
 

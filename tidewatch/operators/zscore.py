@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import DetectorConfig, check_threshold
+from tidewatch.functions.rounding import round_even
 from tidewatch.sources.staging import measured
 
 MIN_SPREAD = 0.5
@@ -36,7 +37,7 @@ def zscore_columns(config: DetectorConfig) -> dict[str, Column]:
     z = F.when(~small, z).otherwise(F.lit(0.0))
     return {
         "zscore_anomaly": (F.abs(z) > F.lit(config.zscore_threshold)).cast("int"),
-        "z_score": F.bround(z, 3),
+        "z_score": round_even(z, 3),
         "zscore_skipped": small,
     }
 

@@ -1,6 +1,6 @@
 """Shipment, raw-shipment and port-throughput tables derived from a star schema of sales tables.
 
-No join is hinted: Spark broadcasts a dimension only when its measured size allows, and AQE splits
+Dimension joins carry no hint: Spark broadcasts a dimension only when its size allows, and AQE splits
 skewed join partitions otherwise.
 """
 
@@ -39,7 +39,9 @@ def _with_dimensions(spark: SparkSession, sf_dir: str, lines: DataFrame) -> Data
         .select("o_orderkey", "o_orderdate", "dest")
     )
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Both sides grow with the data: always a shuffled join (AQE splits skewed partitions). Size
+        # estimates of compressed files would otherwise let Spark broadcast the lines.
+        lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(origin, F.col("s_nationkey") == F.col("origin_key"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
