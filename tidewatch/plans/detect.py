@@ -25,9 +25,9 @@ def load_orders(spark, source: DataFrame | str) -> DataFrame:
         return source
     if source.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(source)
-    from tidewatch.sources.csv_files import read_csv
+    from tidewatch.sources.csv_files import POSITION, read_csv
 
-    return read_csv(spark, source).rows
+    return read_csv(spark, source).rows.drop(*POSITION)
 
 
 def check_input(base: DataFrame, unique: bool) -> int:

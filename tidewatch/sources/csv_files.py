@@ -18,7 +18,9 @@ from tidewatch.functions.text import neutralise_frame, strip
 from tidewatch.schema import clean_header
 
 CORRUPT = "_corrupt_record"
-BOM = "﻿"
+# Input order of CSV rows: file, split within the file, row within the split.
+POSITION = ["_file", "_block", "_row"]
+BOM = "\ufeff"
 
 
 @dataclass
@@ -80,7 +82,11 @@ def _too_long(columns: int):
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table") -> CsvData:
-    """Read CSV files in UTF-8 (with or without BOM) or GB18030/GBK; unusable files are an error."""
+    """Read CSV files in UTF-8 (with or without BOM) or GB18030/GBK; unusable files are an error.
+
+    The rows carry their position (``POSITION``), which keep-first operators order by. A line with
+    more fields than the header goes to the quarantine; a short one is filled with nulls.
+    """
     files = inspect_files(spark, paths).persist()
     kinds: dict[tuple[str, bool], list[str]] = {}
     bad = []
@@ -105,15 +111,20 @@ def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table
             .option("columnNameOfCorruptRecord", CORRUPT)
             .schema(schema)
             .csv(names)
-            .withColumn("source_file", F.col("_metadata.file_path"))
+            .select(
+                "*",
+                F.col("_metadata.file_path").alias("_file"),
+                F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"),
+            )
         )
         long = F.col(CORRUPT).isNotNull() & _too_long(len(columns))
         good.append(
             df.where(~F.coalesce(long, F.lit(False)))
-            .drop(CORRUPT, "source_file")
-            .toDF(*[clean_header(c) for c in columns])
+            .drop(CORRUPT)
+            .toDF(*[clean_header(c) for c in columns], *POSITION)
         )
-        rejected.append(df.where(long).select("source_file", F.col(CORRUPT).alias("line")))
+        rejected.append(df.where(long).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line")))
     return CsvData(_union(good), _union(rejected), files)
 
 
