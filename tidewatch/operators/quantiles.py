@@ -40,10 +40,10 @@ def grouped_quantiles(
 
     ``rows`` is an upper bound of the input size if the caller knows one; else it is counted.
     """
-    data = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if (data.count() if rows is None else rows) <= one_task_rows:
-        q = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))
-        out = data.groupBy(*keys).agg(F.count("v").alias("n"), q.alias("q"))
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+        out = data.groupBy(*keys).agg(F.count("_v").alias("n"), q.alias("q"))
         return out.select(*keys, "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
     return _by_counting(data, keys, probs, slices)
 
@@ -51,22 +51,22 @@ def grouped_quantiles(
 def _by_counting(data: DataFrame, keys: list[str], probs: list[float], slices: int) -> DataFrame:
     whole = cut(
         data.groupBy(*keys).agg(
-            F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+            F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
         )
     )
     positions = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), fn(h).cast("bigint").alias("k"))
+            F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), fn(h).cast("bigint").alias("_k"))
             for i, h in enumerate(positions)
             for side, fn in ((0, F.floor), (1, F.ceil))
         ]
     )
-    targets = whole.select(*keys, "n", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.inline(ranks))
+    targets = whole.select(*keys, "n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.inline(ranks))
     done: DataFrame | None = None
     while True:
-        open_targets = targets.where(F.col("lo") < F.col("hi"))
-        closed = targets.where(F.col("lo") >= F.col("hi"))
+        open_targets = targets.where(F.col("_lo") < F.col("_hi"))
+        closed = targets.where(F.col("_lo") >= F.col("_hi"))
         done = closed if done is None else done.unionByName(closed)
         if open_targets.isEmpty():
             break
@@ -74,7 +74,7 @@ def _by_counting(data: DataFrame, keys: list[str], probs: list[float], slices: i
     frac = {i: F.lit(float(p)) * (F.col("n") - 1) for i, p in enumerate(probs)}
     sides = done.groupBy(*keys, "n").agg(
         *[
-            F.max(F.when((F.col("i") == i) & (F.col("side") == s), F.col("lo"))).alias(f"_v{i}_{s}")
+            F.max(F.when((F.col("_i") == i) & (F.col("_side") == s), F.col("_lo"))).alias(f"_v{i}_{s}")
             for i in range(len(probs))
             for s in (0, 1)
         ]
@@ -88,42 +88,42 @@ def _by_counting(data: DataFrame, keys: list[str], probs: list[float], slices: i
 
 
 def _narrow(data: DataFrame, targets: DataFrame, keys: list[str], slices: int) -> DataFrame:
-    span = [*keys, "lo", "hi"]
+    span = [*keys, "_lo", "_hi"]
     # Two intervals per wanted quantile and group at most; Spark broadcasts them if they are small.
     spans = measured(targets.select(*span).distinct())
     # Halved terms, so that the width of the widest interval stays finite.
-    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     inside = data.alias("d").join(
         spans.alias("s"),
-        _same("d", "s", keys) & F.col("v").between(F.col("lo"), F.col("hi")),
+        _same("d", "s", keys) & F.col("_v").between(F.col("_lo"), F.col("_hi")),
     )
     counts = (
         inside.select(
-            *[F.col(f"s.{k}").alias(k) for k in keys], "lo", "hi", "v",
-            F.least(F.floor(share * slices), F.lit(slices - 1)).alias("slice"),
+            *[F.col(f"s.{k}").alias(k) for k in keys], "_lo", "_hi", "_v",
+            F.least(F.floor(share * slices), F.lit(slices - 1)).alias("_slice"),
         )
-        .groupBy(*span, "slice")
-        .agg(F.count("*").alias("c"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+        .groupBy(*span, "_slice")
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax"))
     )
     # At most ``slices`` rows per interval reach this window.
-    running = F.sum("c").over(W.partitionBy(*span).orderBy("slice"))
-    counts = counts.withColumn("before", running - F.col("c"))
-    inner_rank = F.col("t.k") - F.col("t.below")
+    running = F.sum("_c").over(W.partitionBy(*span).orderBy("_slice"))
+    counts = counts.withColumn("_before", running - F.col("_c"))
+    inner_rank = F.col("t._k") - F.col("t._below")
     return (
         targets.alias("t")
         .join(
-            counts.alias("c"),
-            _same("t", "c", span)
-            & (F.col("c.before") <= inner_rank)
-            & (inner_rank < F.col("c.before") + F.col("c.c")),
+            counts.alias("h"),
+            _same("t", "h", span)
+            & (F.col("h._before") <= inner_rank)
+            & (inner_rank < F.col("h._before") + F.col("h._c")),
         )
         .select(
             *[F.col(f"t.{k}").alias(k) for k in keys],
             "t.n",
-            F.col("c.vmin").alias("lo"),
-            F.col("c.vmax").alias("hi"),
-            (F.col("t.below") + F.col("c.before")).alias("below"),
-            "t.i", "t.side", "t.k",
+            F.col("h._vmin").alias("_lo"),
+            F.col("h._vmax").alias("_hi"),
+            (F.col("t._below") + F.col("h._before")).alias("_below"),
+            "t._i", "t._side", "t._k",
         )
     )
 

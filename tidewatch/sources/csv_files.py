@@ -7,9 +7,10 @@ survive). Only file names and flags reach the driver, which lists the files anyw
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,20 +48,22 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.bool_or("filled").alias("filled"),
         F.bool_or("odd").alias("multiline"),
     )
-    # A file without a single line yields no text row; the listing still names it.
-    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
-    problem = (
-        F.when(~F.coalesce("filled", F.lit(False)), F.lit("empty file"))
-        .when(F.col("nul"), F.lit("binary content"))
-    )
-    return listed.join(seen, "file", "left").select(
+    problem = F.when(~F.col("filled"), F.lit("empty file")).when(F.col("nul"), F.lit("binary content"))
+    return seen.select(
         "file",
         problem.alias("problem"),
-        F.when(F.coalesce("utf8", F.lit(True)), F.lit("UTF-8")).otherwise(F.lit("GB18030")).alias("encoding"),
-        F.coalesce("multiline", F.lit(False)).alias("multiline"),
+        F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("GB18030")).alias("encoding"),
+        "multiline",
     )
 
 
+def _without_content(spark: SparkSession, paths: str | list[str], seen: set[str]) -> list[str]:
+    """Files of the listing that gave no line at all."""
+    plain = lambda p: re.sub(r"^(\w+):/+", r"\1:/", p)
+    known = {plain(p) for p in seen}
+    return [p for p in spark.read.text(paths).inputFiles() if plain(p) not in known]
+
+
 def _reader(spark: SparkSession, encoding: str, multiline: bool):
     return (
         spark.read.option("header", True)
@@ -75,10 +78,14 @@ def _names(spark: SparkSession, files: list[str], encoding: str, multiline: bool
     return _reader(spark, encoding, multiline).csv(files[0]).columns
 
 
-def _too_long(columns: int):
-    """More fields than the header: such a line cannot be placed; a short one is null-filled."""
+def _too_long(columns: list[str]) -> Column:
+    """More fields than the header: such a line cannot be placed; a short one is null-filled.
+
+    The condition touches every column: a pruned CSV scan would not see the surplus fields.
+    """
     bare = F.regexp_replace(F.col(CORRUPT), r'"([^"]|"")*"', "")
-    return F.size(F.split(bare, ",")) > columns
+    surplus = F.coalesce(F.size(F.split(bare, ",")) > len(columns), F.lit(False))
+    return surplus & (F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])) >= 0)
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table") -> CsvData:
@@ -89,8 +96,9 @@ def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table
     """
     files = inspect_files(spark, paths).persist()
     kinds: dict[tuple[str, bool], list[str]] = {}
-    bad = []
-    for row in files.collect():
+    listed = files.collect()
+    bad = [f"{p}: empty file" for p in _without_content(spark, paths, {r["file"] for r in listed})]
+    for row in listed:
         if row["problem"]:
             bad.append(f"{row['file']}: {row['problem']}")
         else:
@@ -118,9 +126,9 @@ def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table
                 F.monotonically_increasing_id().alias("_row"),
             )
         )
-        long = F.col(CORRUPT).isNotNull() & _too_long(len(columns))
+        long = _too_long(columns)
         good.append(
-            df.where(~F.coalesce(long, F.lit(False)))
+            df.where(~long)
             .drop(CORRUPT)
             .toDF(*[clean_header(c) for c in columns], *POSITION)
         )
