@@ -27,6 +27,8 @@ def test_encodings(spark, tmp_path, encoding):
     text = csv_text(order_rows([0, 1], carriers=["承运商A"] * 2))
     rows = read_csv(spark, put(tmp_path / "o.csv", text.encode(encoding))).rows
     assert rows.columns[0] == "order_id"
+    known = "UTF-8" if encoding.startswith("utf") else "GB18030"
+    assert read_csv(spark, str(tmp_path / "o.csv"), encoding=known).rows.count() == 2
     assert [r["carrier"] for r in rows.collect()] == ["承运商A"] * 2
 
 

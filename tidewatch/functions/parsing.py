@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.rounding import round_even
 
-# Accepted number texts (no thousands separators, no hex, no type suffix).
-NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-
-# Accepted date layouts, each with the rewrite that makes it ISO.
-DATE_LAYOUTS = [
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?=$|[ T])", "$1-$2-$3"),
-    (r"^(\d{4})年(\d{1,2})月(\d{1,2})日", "$1-$2-$3"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|[ T])", "$3-$1-$2"),
-]
+# The characters of a number text (no thousands separators, hex or type suffix).
+NUMBER_CHARACTERS = "0123456789.+-eE"
+
+# Accepted date layouts beside ISO (yyyyMMdd; yyyy/M/d, yyyy.M.d, yyyy年M月d日; M/d/yyyy).
+# One pattern with three alternatives: groups 1-3, 4-6 and 7-9 hold the parts of whichever matched.
+DATE_LAYOUTS = (
+    r"^(?:(\d{4})(\d{2})(\d{2})"
+    r"|(\d{4})[/.年](\d{1,2})[/.月](\d{1,2})日?"
+    r"|(\d{1,2})/(\d{1,2})/(\d{4}))(?=$|[ T])"
+)
+AS_ISO = "$1$4$9-$2$5$7-$3$6$8"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
 
 
 def parse_timestamp(c: Column) -> Column:
     """Mixed-layout text to a zone-free timestamp."""
-    text = F.trim(c.cast("string"))
-    for pattern, iso in DATE_LAYOUTS:
-        text = F.regexp_replace(text, pattern, iso)
+    text = F.regexp_replace(F.trim(c.cast("string")), DATE_LAYOUTS, AS_ISO)
     return F.when(text.rlike(ISO), text.try_cast("timestamp_ntz"))
 
 
@@ -37,7 +36,8 @@ def finite(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """Text to a finite double."""
     text = F.trim(c)
-    return finite(F.when(text.rlike(NUMBER), text.try_cast("double")))
+    plain = F.translate(text, NUMBER_CHARACTERS, "") == ""
+    return finite(F.when(plain, text.try_cast("double")))
 
 
 def to_number(c: Column, data_type: str) -> Column:
@@ -52,3 +52,15 @@ def days_between(start: Column, end: Column) -> Column:
     """Days from start to end, two decimals, ties to even; negative when end is earlier."""
     seconds = (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
     return round_even(seconds / F.lit(86400.0), 2)
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that a later filter reads as values.
+
+    A predicate on a plain projected column is pushed below the projection and repeats everything
+    behind it for every mention; it cannot pass a generator, so the parsing behind these columns
+    runs once per row.
+    """
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    added = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(added)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema as S
 from tidewatch.functions.render import exact_mean
 from tidewatch.functions.rounding import round_even
+from tidewatch.sources.staging import measured
 
 SMALL_SAMPLE = 5
 PRIOR_STRENGTH = 10
@@ -93,20 +94,20 @@ def sample_note(total: Column) -> Column:
 
 
 def _global_rate(grouped: DataFrame, anomalies: str) -> Column:
-    """Overall rate from the rollup itself, so the facts are not scanned again."""
+    """Overall rate from the (materialised) rollup itself, so the facts are read once."""
     return grouped.agg(share(F.sum(anomalies), F.sum("_rows")).alias("rate")).scalar()
 
 
 def carrier_stats(result: DataFrame) -> DataFrame:
     critical = F.count_if(F.col("severity") == "critical")
-    grouped = result.groupBy("carrier").agg(
+    grouped = measured(result.groupBy("carrier").agg(
         F.count("order_id").alias("total_orders"),
         round_even(exact_mean(F.col("delay_days")), 4).alias("avg_delay"),
         round_even(share(F.count_if(F.col("delay_days") > 0), F.count("*")), 4).alias("late_rate"),
         F.sum("final_anomaly").cast("bigint").alias("anomaly_orders"),
         critical.alias("critical_orders"),
         F.count("*").alias("_rows"),
-    )
+    ))
     rate = _global_rate(grouped, "anomaly_orders")
     return (
         with_smoothed_rate(
@@ -123,14 +124,14 @@ def carrier_rank() -> list[Column]:
 
 
 def route_stats(result: DataFrame) -> DataFrame:
-    grouped = result.groupBy("route").agg(
+    grouped = measured(result.groupBy("route").agg(
         F.count("order_id").alias("orders"),
         round_even(exact_mean(F.col("delay_days")), 4).alias("avg_delay"),
         round_even(F.max("delay_days"), 4).alias("max_delay"),
         F.sum("final_anomaly").cast("bigint").alias("anomalies"),
         F.count_if(F.col("severity") == "critical").alias("critical_orders"),
         F.count("*").alias("_rows"),
-    )
+    ))
     rate = _global_rate(grouped, "anomalies")
     return (
         with_smoothed_rate(

@@ -28,7 +28,6 @@ BOM = "\ufeff"
 class CsvData:
     rows: DataFrame
     quarantine: DataFrame
-    files: DataFrame
 
 
 def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -88,15 +87,10 @@ def _too_long(columns: list[str]) -> Column:
     return surplus & (F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])) >= 0)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table") -> CsvData:
-    """Read CSV files in UTF-8 (with or without BOM) or GB18030/GBK; unusable files are an error.
-
-    The rows carry their position (``POSITION``), which keep-first operators order by. A line with
-    more fields than the header goes to the quarantine; a short one is filled with nulls.
-    """
-    files = inspect_files(spark, paths).persist()
+def _kinds(spark: SparkSession, paths: str | list[str], what: str) -> dict[tuple[str, bool], list[str]]:
+    """Files by (encoding, quotes span lines); raises if a file is unusable."""
     kinds: dict[tuple[str, bool], list[str]] = {}
-    listed = files.collect()
+    listed = inspect_files(spark, paths).collect()
     bad = [f"{p}: empty file" for p in _without_content(spark, paths, {r["file"] for r in listed})]
     for row in listed:
         if row["problem"]:
@@ -107,14 +101,34 @@ def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table
         raise DataValidationError(f"{what} cannot be read: " + "; ".join(sorted(bad)))
     if not kinds:
         raise DataValidationError(f"{what} has no files")
-    if any(encoding != "UTF-8" for encoding, _ in kinds):
+    return kinds
+
+
+def read_csv(
+    spark: SparkSession,
+    paths: str | list[str],
+    what: str = "the table",
+    encoding: str | None = None,
+    multiline: bool = False,
+) -> CsvData:
+    """Read CSV files in UTF-8 (with or without BOM) or GB18030/GBK; unusable files are an error.
+
+    The rows carry their position (``POSITION``), which keep-first operators order by. A line with
+    more fields than the header goes to the quarantine; a short one is filled with nulls. Naming
+    the ``encoding`` skips the inspection pass over the files.
+    """
+    if encoding is None:
+        kinds = _kinds(spark, paths, what)
+    else:
+        kinds = {(encoding, multiline): [paths] if isinstance(paths, str) else list(paths)}
+    if any(name != "UTF-8" for name, _ in kinds):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     good, rejected = [], []
-    for (encoding, multiline), names in sorted(kinds.items()):
-        columns = _names(spark, names, encoding, multiline)
+    for (charset, spans), names in sorted(kinds.items()):
+        columns = _names(spark, names, charset, spans)
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
         df = (
-            _reader(spark, encoding, multiline)
+            _reader(spark, charset, spans)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
             .schema(schema)
@@ -133,7 +147,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], what: str = "the table
             .toDF(*[clean_header(c) for c in columns], *POSITION)
         )
         rejected.append(df.where(long).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line")))
-    return CsvData(_union(good), _union(rejected), files)
+    return CsvData(_union(good), _union(rejected))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
