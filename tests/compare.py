@@ -69,6 +69,7 @@ def main(sf_dir: str, names: list[str]) -> int:
                 continue
             problem = differences(got, con.execute(sql[name]).df())
         except Exception as exc:  # report and go on
+            con = connect(sf_dir)
             problem, took, got = f"{type(exc).__name__}: {str(exc)[:600]}", time.time() - start, []
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '}  {name} {len(got)} {took:.1f}s {problem or ''}", flush=True)

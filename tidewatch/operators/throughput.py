@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.parsing import to_number
+from tidewatch.functions.parsing import once, to_number
 from tidewatch.functions.text import normalise_text
 
 # The ports of the older fixed-list chart.
@@ -20,8 +20,9 @@ def clean_throughput(raw: DataFrame) -> DataFrame:
     S.require_columns(df, S.THROUGHPUT_REQUIRED, "the throughput table")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     numbers = ["year", "month", "cargo_10kt"] + [c for c in ["container_10kteu"] if c in kinds]
-    df = df.withColumns(
-        {"port": normalise_text(F.col("port")), **{c: to_number(F.col(c), kinds[c]) for c in numbers}}
+    df = once(
+        df,
+        {"port": normalise_text(F.col("port")), **{c: to_number(F.col(c), kinds[c]) for c in numbers}},
     )
     keep = F.lit(True)
     for c in ["port", *numbers]:

@@ -48,7 +48,7 @@ shipments AS (
 )"""
 
 RAW = f"""
-raw AS (
+raw_once AS (
   SELECT CASE WHEN l_partkey % 131 = 0 THEN 'nan'
       WHEN l_partkey % 11 = 0 THEN concat('  ', l_orderkey, '-', l_linenumber, ' ')
       ELSE concat(l_orderkey, '-', l_linenumber) END AS order_id,
@@ -69,11 +69,15 @@ raw AS (
     concat_ws('|', strftime(l_shipdate, '%Y-%m-%d'), l_partkey, l_suppkey,
       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR),
       l_returnflag) AS src_ord,
-    unnest(CASE WHEN l_partkey % 50 = 0 THEN [0, 1] ELSE [0] END) AS cp
+    l_partkey % 50 = 0 AS twice
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
   JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
+),
+raw AS (
+  SELECT * EXCLUDE (twice), 0 AS cp FROM raw_once
+  UNION ALL SELECT * EXCLUDE (twice), 1 AS cp FROM raw_once WHERE twice
 )"""
 
 CONTENT = (
