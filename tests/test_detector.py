@@ -146,3 +146,9 @@ def test_localised_result(late_order):
     assert row["订单ID"] == "T-0019" and row["severity"] == "严重"
     assert row["anomaly_methods"].split("、")[0] == "业务规则"
     assert "14 天" in row["rule_reason"]
+
+
+def test_orders_may_be_a_path(late_order, tmp_path):
+    path = str(tmp_path / "orders.parquet")
+    late_order.write.parquet(path)
+    assert detect(path, forest=False).where("final_anomaly = 1").count() == 1

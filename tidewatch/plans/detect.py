@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
@@ -16,17 +16,17 @@ from tidewatch.operators.features import preprocess
 from tidewatch.operators.iforest import skipped_columns, with_forest
 from tidewatch.operators.rules import mode_floors, with_rules
 from tidewatch.operators.zscore import route_sums, with_zscore
+from tidewatch.sources.csv_files import POSITION, read_csv
 from tidewatch.sources.staging import measured, stage
 
 
-def load_orders(spark, source: DataFrame | str) -> DataFrame:
+def load_orders(source: DataFrame | str) -> DataFrame:
     """A frame, or a path to Parquet or CSV."""
     if isinstance(source, DataFrame):
         return source
+    spark = SparkSession.active()
     if source.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(source)
-    from tidewatch.sources.csv_files import POSITION, read_csv
-
     return read_csv(spark, source).rows.drop(*POSITION)
 
 
@@ -55,7 +55,7 @@ def run_layers(
 
 
 def detect(
-    orders: DataFrame,
+    orders: DataFrame | str,
     config: DetectorConfig | None = None,
     *,
     zscore_threshold: float | None = None,
@@ -64,7 +64,7 @@ def detect(
     staged: bool = False,
     unique: bool = True,
 ) -> DataFrame:
-    """Detect anomalies in a validated order table.
+    """Detect anomalies in a validated order table (a frame or a path).
 
     ``staged`` says that the input is already cheap to re-read (a plain table scan); otherwise it is
     staged once. ``unique=False`` skips the key check, a full shuffle, for validated input.
@@ -77,7 +77,7 @@ def detect(
             config.iforest_contamination if iforest_contamination is None else iforest_contamination
         ),
     )
-    base = preprocess(orders)
+    base = preprocess(load_orders(orders))
     if not staged:
         base = stage(base, "base")
     rows = check_input(base, unique)

@@ -480,8 +480,7 @@ FROM flat"""
     out["quality_summary"] = w(QUALITY, "SELECT * FROM quality")
     out["extreme_counts"] = w(QUALITY, "SELECT * FROM extremes")
     out["quality_cards"] = w(QUALITY, "SELECT raw_rows, valid_rows, missing_required_value_rows AS missing_rows, exact_duplicates_removed + duplicate_order_ids_removed AS duplicate_rows, CAST(dropped_rows + (SELECT sum(extreme_rows) FROM extremes) AS BIGINT) AS issue_count FROM quality")
-    throughput_warn = THROUGHPUT_RAW.replace("\nthroughput AS", "\nthroughput AS", 1)
-    out["quality_warnings"] = w(QUALITY + "," + throughput_warn, """
+    out["quality_warnings"] = w(QUALITY + "," + THROUGHPUT_RAW, """
 SELECT * FROM (
   SELECT 1 AS position, 'orders' AS source, 'extreme_values_kept' AS warning, CAST((SELECT sum(extreme_rows) FROM extremes) AS BIGINT) AS affected
   UNION ALL SELECT 2, 'orders', 'day_fields_recomputed', corrected_plan_days_rows + corrected_delay_days_rows FROM quality

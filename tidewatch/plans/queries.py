@@ -23,7 +23,6 @@ from tidewatch.sources.staging import find_staged, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DAY_COLUMNS = ["src_ord", "cp"]
 V1_SEA = "R"
 
 
