@@ -6,11 +6,13 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, token_files
-from tidewatch.llm.common import table
+from tidewatch.llm import packing, quality, rank_bpe, shingle_join, token_files
+from tidewatch.llm.common import documents, held_out, table
 from tidewatch.sources.staging import shared_dir
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -20,6 +22,21 @@ def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return rank_bpe.encode_documents(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op7_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs, kept_out = documents(table(spark, d, "documents")), held_out("doc_id", 4, 2)
+    model = quality.fit(docs, table(spark, d, "labels"), ~kept_out)
+    scored = docs.select("doc_id", kept_out.alias("held_out"), quality.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op9_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, d, "documents"), n=4, percent=85)
+
+
 def op8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), BYTE_BPE, end_id=0)
 
