@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, quality, rank_bpe, shingle_join, token_files
+from tidewatch.llm import packing, quality, rank_bpe, shingle_join, token_files, vector_dedup
 from tidewatch.llm.common import documents, held_out, table
 from tidewatch.sources.staging import shared_dir
 
@@ -41,6 +41,10 @@ def op8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), BYTE_BPE, end_id=0)
 
 
+def op10_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(table(spark, d, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
