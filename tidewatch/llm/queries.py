@@ -8,14 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, quality, rank_bpe, shingle_join, token_files, vector_dedup
+from tidewatch.llm import packing, quality, rank_bpe, shingle_join, token_files, url_filter, vector_dedup
 from tidewatch.llm.common import documents, held_out, table
 from tidewatch.sources.staging import shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, d, "pages"), URL_RULES)
+
+
 def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, d, "documents"), path, BYTE_BPE, end_id=2)
@@ -50,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": url_filter.oracle(URL_RULES)}
