@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, quality, rank_bpe, shingle_join, token_files, url_filter, vector_dedup
+from tidewatch.llm import class_ngrams, packing, quality, rank_bpe, shingle_join, token_files, url_filter, vector_dedup, weighted_sampling
 from tidewatch.llm.common import documents, held_out, table
 from tidewatch.sources.staging import shared_dir
 
@@ -23,6 +23,10 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, d, "pages"), URL_RULES)
 
 
+def op2_class_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return class_ngrams.score_documents(table(spark, d, "documents"), held_out("doc_id", 5, 1))
+
+
 def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, d, "documents"), path, BYTE_BPE, end_id=2)
@@ -33,6 +37,10 @@ def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return rank_bpe.encode_documents(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_weighted_sampling(spark: SparkSession, d: str) -> DataFrame:
+    return weighted_sampling.fingerprints(table(spark, d, "documents"))
+
+
 def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     docs, kept_out = documents(table(spark, d, "documents")), held_out("doc_id", 4, 2)
     model = quality.fit(docs, table(spark, d, "labels"), ~kept_out)
