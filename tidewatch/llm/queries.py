@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import class_ngrams, packing, quality, rank_bpe, shingle_join, token_files, url_filter, vector_dedup, weighted_sampling
+from tidewatch.llm import class_ngrams, line_dedup, packing, quality, rank_bpe, shingle_join, token_files, url_filter, vector_dedup, weighted_sampling
 from tidewatch.llm.common import documents, held_out, table
 from tidewatch.sources.staging import shared_dir
 
@@ -33,6 +33,12 @@ def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op4_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Per document what is left of it; documents of which nothing is left stay as rows here."""
+    marked = line_dedup.mark_repeats(table(spark, d, "documents"))
+    return marked.select("doc_id", "lines_removed", "nothing_left", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return rank_bpe.encode_documents(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 

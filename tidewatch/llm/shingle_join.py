@@ -2,9 +2,10 @@
 
 1. Each text becomes the set of its hashed shingles; texts with equal sets are one class from here on.
 2. Prefix filter: with any fixed order of shingles, two sets that reach the threshold share one of their first
-   n - ceil(t n) + 1. Shingles that some task meets often come last in that order, so that shared
-   passages and common phrases stay out of the prefixes. Classes that share a prefix shingle, directly or
-   through others, form a region; every link lies within one region, and most texts are in none.
+   n - ceil(t n) + 1. Shingles that several sets hold come last in that order, so that shared passages stay out of the
+   prefixes of texts that have enough of their own. Which these are is counted among the first shingles of all sets by hash
+   and told by a bitmap of fixed size; where it errs, the order is still the same for all. Classes that share a
+   prefix shingle, directly or through others, form a region; every link lies within one, and most texts are in none.
 3. In a region a signature tree is built: leaves hold a few sets that lie close together, each node the OR
    of its sets' bitmaps and the range of their sizes. A dual traversal descends into a pair of nodes
    only if the greatest overlap that bitmaps and sizes allow reaches the threshold, and if the
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,8 @@ BLOCK = 2048  # classes of a region that one task compares
 PIVOTS = 8
 LEAF, FANOUT = 8, 4
 BITS = 2048
-OFTEN = 8  # a shingle in so many different sets of one task's batch counts as frequent; affects speed only
-KNOWN_FREQUENT = 200_000  # frequent shingles that are sent to the tasks, by decreasing count; affects speed only
+MAP_BITS = 1 << 27  # of a bitmap that is sent to all tasks; a fuller one only lets more through
+COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,34 +199,67 @@ def join_sets(
 
 # --- distributed join ---------------------------------------------------------------------------
 
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """MAP_BITS bits in 64-bit words, the one at key mod MAP_BITS set for each key (a long, spread evenly)."""
+    bit = F.pmod(F.col(key), F.lit(MAP_BITS))
+    rows = keys.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits"))
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
+    out[found["word"]] = found["bits"]
+    return out.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.int64) % MAP_BITS
+    return (bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _number(key: str) -> int:
+    """60 bits of a class key; should two classes share them, their regions only merge."""
+    return int(key[:15], 16)
+
+
 def _measure(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """A row per document (its class and size) and one per shingle that is frequent within the batch."""
+    """A row per document: its class and size."""
     for batch in batches:
         sets = [shingles(t, n) for t in batch["text"]]
-        keys = [class_key(s) if len(s) else None for s in sets]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "key": keys,
-                            "shingle": pd.array([None] * len(sets), "Int64"), "df": 1})
-        distinct = list({k: s for k, s in zip(keys, sets) if k}.values())
-        if distinct:
-            value, count = np.unique(np.concatenate(distinct), return_counts=True)
-            often = count >= OFTEN
-            yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "size": -1, "key": None,
-                                "shingle": value[often].view(np.int64), "df": count[often]})
-
-
-def _prefixes(batches: Iterator[pd.DataFrame], n: int, percent: int, frequent: np.ndarray) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets],
+                            "key": [class_key(s) if len(s) else None for s in sets]})
+
+
+def _distinct_sets(texts: pd.Series, n: int) -> Iterator[tuple[str, np.ndarray]]:
+    seen = set()
+    for text in texts:
+        s = shingles(text, n)
+        if len(s) and (key := class_key(s)) not in seen:
+            seen.add(key)
+            yield key, s
+
+
+def _counted(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        seen, ids, values = set(), [], []
-        for text in batch["text"]:
-            s = shingles(text, n)
-            if len(s) and (key := class_key(s)) not in seen:
-                seen.add(key)
-                length = len(s) - needed(len(s), percent) + 1
-                if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                ids.append(np.full(length, int(key[:15], 16), np.int64))
-                values.append(s[:length].view(np.int64))
+        ids, values = [], []
+        for key, s in _distinct_sets(batch["text"], n):
+            part = s[: int(COUNTED * (len(s) - needed(len(s), percent) + 1))]
+            ids.append(np.full(len(part), _number(key), np.int64))
+            values.append(part.view(np.int64))
+        if values:
+            yield pd.DataFrame({"k": np.concatenate(ids), "shingle": np.concatenate(values)})
+
+
+def _prefixes(
+    batches: Iterator[pd.DataFrame], n: int, percent: int, shared: np.ndarray, wanted: np.ndarray | None
+) -> Iterator[pd.DataFrame]:
+    """Prefix shingles of each set; with ``wanted`` only those in that bitmap."""
+    for batch in batches:
+        ids, values = [], []
+        for key, s in _distinct_sets(batch["text"], n):
+            late = in_bitmap(shared, s)
+            part = np.concatenate([s[~late], s[late]])[: len(s) - needed(len(s), percent) + 1]
+            if wanted is not None:
+                part = part[in_bitmap(wanted, part)]
+            ids.append(np.full(len(part), _number(key), np.int64))
+            values.append(part.view(np.int64))
         if values:
             yield pd.DataFrame({"k": np.concatenate(ids), "shingle": np.concatenate(values)})
 
@@ -251,35 +284,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = documents(docs)
-    schema = "doc_id long, size int, key string, shingle long, df long"
-    measured = stage(docs.mapInPandas(partial(_measure, n=n), schema), "shingle-classes")
-    rows = measured.where("size >= 0").select("doc_id", "size", "key")
+    rows = stage(docs.mapInPandas(lambda x: _measure(x, n), "doc_id long, size int, key string"), "shingle-classes")
     classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    send = spark.sparkContext.broadcast
+    named = docs.where("doc_id is not null").select("text")
+    pair = "k long, shingle long"
+
+    def several(frame: DataFrame) -> DataFrame:
+        return frame.groupBy("shingle").agg(
+            F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c")
+        ).where("a < b")
+
+    shared = send(bitmap(several(named.mapInPandas(lambda x: _counted(x, n, percent), pair)), "shingle"))
+    met = stage(several(named.mapInPandas(lambda x: _prefixes(x, n, percent, shared.value, None), pair)), "met-shingles")
+    crowded = met.where("c > 2").select("shingle", "a")
+    wanted = send(bitmap(crowded, "shingle"))
+    again = named.mapInPandas(lambda x: _prefixes(x, n, percent, shared.value, wanted.value), pair)
+    members = again.join(crowded, "shingle").select(F.col("k").alias("b"), "a")
+    links = met.select("a", "b").union(members.select("a", "b")).where("a <> b").distinct()
+    regions = stage(components(links), "regions").withColumnRenamed("component", "region")
 
-    often = measured.where("size < 0").groupBy("shingle").agg(F.sum("df").alias("df"))
-    often = often.orderBy(F.desc("df"), "shingle").limit(KNOWN_FREQUENT).select("shingle").toPandas()
-    frequent = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
+    number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
+    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "region")
+    blocks = chosen.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
+    chosen = stage(chosen.join(blocks.where("n > 1"), "region").drop("n"), "region-members")
+    some = send(bitmap(chosen.select(F.xxhash64("rep").alias("rep")), "rep"))
 
-    ids = docs.where("doc_id is not null").mapInPandas(
-        partial(_prefixes, n=n, percent=percent, frequent=frequent), "k long, shingle long"
-    )
-    shared = stage(
-        ids.groupBy("shingle").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c")).where("a < b"),
-        "shared-shingles",
-    )
-    members = ids.join(shared.where("c > 2").select("shingle", "a"), "shingle").select(F.col("k").alias("b"), "a")
-    links = shared.select("a", "b").union(members.select("a", "b")).where("a <> b").distinct()
-    regions = stage(components(links), "regions").withColumnRenamed("component", "region")
+    @F.pandas_udf("boolean")
+    def may_be_chosen(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
 
-    chosen = classes.withColumn("id", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")).join(regions, "id")
-    sizes = chosen.groupBy("region").agg(F.count("*").alias("n"))
-    chosen = chosen.select("rep", "region", "id").join(sizes.where("n > 1"), "region")
-    texts = docs.where("doc_id is not null").join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id")
-    parts = stage(
-        texts.select(F.col("doc_id").alias("rep"), "region", "text", F.ceil(F.col("n") / BLOCK).alias("blocks"),
-                     F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")),
-        "region-texts",
+    texts = docs.where("doc_id is not null").where(may_be_chosen(F.xxhash64("doc_id")))
+    parts = texts.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select(
+        F.col("doc_id").alias("rep"), "region", "text", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")
     )
+    parts = stage(parts, "region-texts")
     found = _links(parts, n, percent)
     linked_reps = components(found).withColumnRenamed("id", "rep")
     result = rows.join(classes, "key", "left").join(linked_reps, "rep", "left")
