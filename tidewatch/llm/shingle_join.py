@@ -368,3 +368,10 @@ def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
         lambda frame: _compare(frame, n, percent, both=False), schema
     )
     return first.union(stage(second, "strip-links"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest doc_id. All rows of that id stay."""
+    groups = near_duplicates(docs, n, percent)
+    gone = stage(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
