@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+from llm_texts import edge_rows  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def edges(spark):
+    """The rows with extra columns whose names the operators might use themselves."""
+    extra = ["block", "row", "key", "word", "score", "component", "place", "region", "n", "k", "rank", "x"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in extra)
+    return spark.createDataFrame([(*r, *extra) for r in edge_rows()], schema).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def none(edges):
+    return edges.where("1 = 0")

@@ -181,19 +181,19 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     that repeat id and text are one document and fare alike. An empty table gives no rows.
     """
     changes = repeated_runs(docs, min_words).select(
-        F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("whole").alias("_whole"), F.col("spans").alias("_spans")
+        F.col("d").alias("_ld_doc"), F.col("h").alias("_ld_hash"), F.col("whole").alias("_ld_whole"), F.col("spans").alias("_ld_spans")
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_h": F.xxhash64(text)})
-    rows = rows.join(changes, ["_d", "_h"], "left")
+    rows = docs.withColumns({"_ld_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_ld_hash": F.xxhash64(text)})
+    rows = rows.join(changes, ["_ld_doc", "_ld_hash"], "left")
     without = F.pandas_udf(_without, "text string, removed int, left int")
-    cut = rows.where("_spans is not null").withColumn("_new", without("text", "_spans"))
-    cut = cut.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                     F.col("_new.removed").alias("lines_removed"), (F.col("_new.left") == 0).alias("nothing_left"))
+    cut = rows.where("_ld_spans is not null").withColumn("_ld_new", without("text", "_ld_spans"))
+    cut = cut.select(*[F.col("_ld_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+                     F.col("_ld_new.removed").alias("lines_removed"), (F.col("_ld_new.left") == 0).alias("nothing_left"))
     n_lines = F.size(F.split(text, "\n"))
-    rest = rows.where("_spans is null").select(
-        *[F.when(F.col("_whole"), "").otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("_whole"), n_lines).otherwise(0).alias("lines_removed"), F.coalesce("_whole", F.lit(False)).alias("nothing_left"),
+    rest = rows.where("_ld_spans is null").select(
+        *[F.when(F.col("_ld_whole"), "").otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("_ld_whole"), n_lines).otherwise(0).alias("lines_removed"), F.coalesce("_ld_whole", F.lit(False)).alias("nothing_left"),
     )
     return cut.unionByName(rest)
 

@@ -127,7 +127,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def _threshold(judged: DataFrame) -> float:
-    """The least threshold that tells most accepted and rejected urls apart, both kinds weighing the same."""
+    """The threshold that tells most accepted and rejected urls apart, both kinds weighing the same: the lowest such
+    one, in the middle between the nearest scores."""
     bins = judged.select(
         F.floor(F.greatest(F.least("score", F.lit(LIMIT)), F.lit(-LIMIT)) * BINS).alias("bin"), "kind", "n"
     ).groupBy("bin").agg(
@@ -136,13 +137,13 @@ def _threshold(judged: DataFrame) -> float:
     )
     below, everything = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     best = bins.select(  # at most 2 BINS LIMIT + 1 rows
-        "bin", F.coalesce(F.sum("rej").over(below), F.lit(0)).alias("low"), F.sum("rej").over(everything).alias("rejected"),
+        "bin", F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin")).alias("above"), F.coalesce(F.sum("rej").over(below), F.lit(0)).alias("low"), F.sum("rej").over(everything).alias("rejected"),
         (F.sum("acc").over(everything) - F.coalesce(F.sum("acc").over(below), F.lit(0))).alias("high"),
         F.sum("acc").over(everything).alias("accepted"),
     ).where("accepted > 0 and rejected > 0").withColumn(
         "right", F.col("low") * F.col("accepted") + F.col("high") * F.col("rejected")
     ).orderBy(F.desc("right"), "bin").first()
-    return best["bin"] / BINS if best else 0.0
+    return (best["bin"] + best["above"]) / 2 / BINS if best else 0.0
 
 
 def oracle(rules: list[Rule]) -> str:
@@ -181,10 +182,10 @@ scored AS (SELECT s, any_value(n) n, any_value(kind) kind,
 bins AS (SELECT floor(greatest(least(score, {LIMIT}), -{LIMIT}) * {BINS}) bin,
   sum(CASE WHEN kind = 'allow' THEN n ELSE 0 END) acc, sum(CASE WHEN kind = 'block' THEN n ELSE 0 END) rej
   FROM scored WHERE kind IS NOT NULL GROUP BY 1),
-sums AS (SELECT bin, coalesce(sum(rej) OVER b, 0) low, sum(rej) OVER () rejected,
+sums AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) above, coalesce(sum(rej) OVER b, 0) low, sum(rej) OVER () rejected,
   sum(acc) OVER () - coalesce(sum(acc) OVER b, 0) high, sum(acc) OVER () accepted FROM bins
   WINDOW b AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-best AS (SELECT bin::BIGINT::DOUBLE / {BINS} t FROM sums WHERE accepted > 0 AND rejected > 0
+best AS (SELECT (bin + above)::BIGINT::DOUBLE / 2 / {BINS} t FROM sums WHERE accepted > 0 AND rejected > 0
   ORDER BY low * accepted + high * rejected DESC, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(r.kind, CASE WHEN score >= coalesce((SELECT t FROM best), 0) THEN 'allow' ELSE 'block' END) verdict,
   round(score, 4) + 0.0 score

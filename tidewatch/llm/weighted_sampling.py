@@ -52,7 +52,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return rows.repartition("block")
 
 
-_ORDER = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
+def _order() -> Window:
+    return Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
 
 
 def _next_blocks(blocks: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def _next_blocks(blocks: DataFrame) -> DataFrame:
 def _edited(docs: DataFrame) -> DataFrame:
     """(block, place, doc_id, n_chars, text, edited): each text with its second half replaced by the next one's begin."""
     rows = _blocks(docs)
-    placed = rows.withColumns({"place": F.row_number().over(_ORDER), "after": F.lead("text").over(_ORDER)})
-    heads = rows.withColumn("place", F.row_number().over(_ORDER)).where("place = 1").select(
+    placed = rows.withColumns({"place": F.row_number().over(_order()), "after": F.lead("text").over(_order())})
+    heads = rows.withColumn("place", F.row_number().over(_order())).where("place = 1").select(
         F.col("block").alias("next_block"), F.col("text").alias("head")
     )
     heads = _next_blocks(rows).join(heads, "next_block").select("block", "head")
