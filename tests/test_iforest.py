@@ -37,12 +37,28 @@ def test_bags_have_their_size_and_ignore_partitioning(points):
     assert {r["n"] for r in one} == {256}
 
 
-def test_pool_bounds_the_sampling_work(spark):
-    df = spark.range(200_000).select(
+def wide_table(spark, n):
+    return spark.range(n).select(
         F.concat(F.lit("r"), "id").alias("order_id"), *[F.rand(i).alias(f) for i, f in enumerate(MODEL_FEATURES)]
     )
-    drawn = iforest.bags(df, MODEL_FEATURES, 200_000, 10, 42)
+
+
+@pytest.mark.parametrize("n", [50_000, 100_000])
+def test_bags_are_drawn_from_all_rows_at_any_size(spark, n):
+    drawn = iforest.bags(wide_table(spark, n), MODEL_FEATURES, n, 200, 42).persist()
     assert {r["n"] for r in drawn.groupBy("tree").agg(F.count("*").alias("n")).collect()} == {256}
+    # 51,200 draws with repetition between trees
+    distinct = drawn.select("order_id").distinct().count()
+    assert distinct == pytest.approx(n * (1 - (1 - 256 / n) ** 200), rel=0.02)
+    drawn.unpersist()
+
+
+def test_every_tree_draws_on_its_own(spark):
+    rows = wide_table(spark, 20_000).select("order_id", F.explode(iforest._drawn_bags(0.02, 50, 1)).alias("tree"))
+    per_tree = [r["n"] for r in rows.groupBy("tree").agg(F.count("*").alias("n")).collect()]
+    assert len(per_tree) == 50 and all(300 < n < 500 for n in per_tree)
+    per_row = rows.groupBy("order_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]
+    assert per_row == pytest.approx(20_000 * 50 * 49 * 0.02**2, rel=0.1)
 
 
 def test_same_seed_same_forest(points, forest):
@@ -93,3 +109,9 @@ def test_constant_features(spark):
 def test_mean_path_lengths():
     assert iforest.mean_path(1) == 0 and iforest.mean_path(2) == 1
     assert iforest.mean_path(256) == pytest.approx(10.244, abs=1e-3)
+
+
+def test_missing_features_count_as_the_median(spark):
+    df = wide_table(spark, 60).withColumn(MODEL_FEATURES[0], F.when(F.col("order_id") != "r5", F.col(MODEL_FEATURES[0])))
+    got = iforest.with_forest(df, DetectorConfig(n_trees=5), 60)
+    assert got.where("iforest_score is null").count() == 0 and got.columns == [*df.columns, "iforest_anomaly", "iforest_score", "iforest_skipped"]

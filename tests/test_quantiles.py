@@ -31,7 +31,7 @@ SAMPLES = {
 }
 
 
-@pytest.mark.parametrize("options", [{}, {"one_task_rows": 0, "slices": 4}, {"one_task_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"accuracy": 8}, {"accuracy": 100}])
 def test_quantiles_of_awkward_groups(spark, options):
     check(spark, SAMPLES, **options)
 
@@ -45,11 +45,28 @@ def test_quantiles_of_awkward_groups(spark, options):
     )
 )
 def test_counting_equals_sorting(spark, groups):
-    check(spark, groups, one_task_rows=0, slices=8)
+    check(spark, groups, accuracy=20)
 
 
 def test_single_group_and_hot_group(spark):
     df = spark.range(20_000).selectExpr("CAST(id % 997 AS DOUBLE) AS v")
     small = single_quantiles(df, "v", [0.95]).first()
-    large = single_quantiles(df, "v", [0.95], one_task_rows=0, slices=16).first()
+    large = single_quantiles(df, "v", [0.95], accuracy=50).first()
     assert small == large
+
+
+def test_infinities_rank_at_the_ends_and_nan_is_no_value(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in [25.0] * 5 + [1.0, 50.0, inf, float("nan")]] + [("b", v) for v in [0.0, 5e-324, 5e-324, -inf]]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for accuracy in (10_000, 5):
+        got = {r["k"]: r for r in grouped_quantiles(df, ["k"], "v", [0.0, 0.5, 1.0], accuracy=accuracy).collect()}
+        assert [got["a"][c] for c in ("n", "q0", "q1", "q2")] == [8, 1.0, 25.0, inf]
+        assert [got["b"][c] for c in ("n", "q0", "q2")] == [4, -inf, 5e-324]
+
+
+def test_two_scans_leave_nothing_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(5000).selectExpr("CAST(id % 7 AS INT) AS k", "CAST(id AS DOUBLE) AS v")
+    assert grouped_quantiles(df, ["k"], "v", [0.5], accuracy=100).count() == 7
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -1,12 +1,10 @@
 """Distributed Isolation Forest (Liu, Ting, Zhou: Isolation Forest, ICDM 2008).
 
-Bags come from a bounded pool that hashes of the order id select, so neither partitioning nor the
-number of rows changes the result or the size of the work. Trees are grown one per group of at
-most 256 rows. The forest (trees x 511 nodes at most) is broadcast, and all rows are scored by an
-Arrow UDF without a shuffle.
-
-Scores are kept to six decimals. The cut for a contamination share is then an exact quantile of a
-histogram with at most a million entries, whatever the number of rows.
+Every row may enter the bag of every tree: hashes of the order id say how many bags a row is drawn for and which, so
+a row costs one hash and only drawn ones go on, about two bags per tree at any size of the table. Neither partitioning
+nor the order of rows matters. Trees are grown one per group of at most 256 rows. The forest (trees x 511 nodes
+at most) is broadcast, and all rows are scored once, by an Arrow UDF without a shuffle, into a staged table.
+The cut for a contamination share is an exact quantile of the unrounded scores.
 """
 
 from __future__ import annotations
@@ -23,12 +21,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DetectorConfig, check_contamination
 from tidewatch.functions.rounding import round_even
+from tidewatch.operators.quantiles import single_quantiles
 from tidewatch.schema import MODEL_FEATURES
+from tidewatch.sources.staging import stage
 
 MIN_ROWS = 10
 MAX_BAG = 256
-POOL_ROWS = 39_322
-SCORE_DIGITS = 6
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double, bag int"
 
 
@@ -43,11 +41,30 @@ class Forest:
     bag: int
 
 
-def _hash_share(h: Column, share: float) -> Column:
-    """True for about ``share`` of all 64-bit hashes."""
-    if share >= 1:
-        return F.lit(True)
-    return h < F.lit(int(-(2**63) + share * 2**64))
+def _even(*of: Column) -> Column:
+    """A number in (0, 1), spread evenly, that the arguments fix."""
+    return (F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def _drawn_bags(share: float, trees: int, seed: int) -> Column:
+    """The trees that a row is drawn for: each with probability ``share``, independently of the others.
+
+    A Poisson number of even picks among the trees hits each of them independently; its mean is
+    chosen so that a tree is hit at all with the wanted probability.
+    """
+    mean = -trees * math.log1p(-min(share, 1 - 1e-9))
+    term, total, steps, k = math.exp(-mean), 0.0, [], 0
+    if mean > 500:  # exp underflows: the count is then as good as always the mean
+        steps = [0.0] * math.ceil(mean)
+    while mean <= 500 and (total < 1 - 1e-16 and k < mean + 40 * math.sqrt(mean + 1)):
+        total += term
+        steps.append(total)
+        k += 1
+        term *= mean / k
+    u = _even(F.col("order_id"), F.lit(seed), F.lit(-1))
+    picks = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s < u))
+    tree = lambda j: F.pmod(F.xxhash64("order_id", F.lit(seed), j), F.lit(trees)).cast("int")
+    return F.when(picks > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), picks), tree)))
 
 
 def mean_path(n: float) -> float:
@@ -62,16 +79,11 @@ def mean_path(n: float) -> float:
 def bags(base: DataFrame, features: list[str], rows: int, trees: int, seed: int, share_factor: float = 2.0) -> DataFrame:
     """``min(256, rows)`` rows per tree, chosen by hash."""
     bag = min(MAX_BAG, rows)
-    pool = base.select("order_id", *[F.col(f).cast("double").alias(f) for f in features])
-    pool_rows = rows
-    if rows > POOL_ROWS:
-        pool = pool.where(_hash_share(F.xxhash64("order_id", F.lit(seed)), POOL_ROWS / rows))
-        pool_rows = POOL_ROWS
-    drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("h", F.xxhash64("order_id", "tree", F.lit(seed)))
-        .where(_hash_share(F.col("h"), share_factor * bag / pool_rows))
+    picked = base.select(
+        "order_id", *[F.col(f).cast("double").alias(f) for f in features],
+        F.explode(_drawn_bags(share_factor * bag / rows, trees, seed)).alias("tree"),
     )
+    drawn = picked.withColumn("h", F.xxhash64("order_id", "tree", F.lit(seed)))
     # About two bags of rows per tree reach this window.
     rank = F.row_number().over(W.partitionBy("tree").orderBy("h", "order_id"))
     return drawn.withColumn("rank", rank).where(F.col("rank") <= bag)
@@ -137,7 +149,7 @@ def fit(
         # A bag falls short only if hashes cluster badly; draw from a wider share then.
         if len(grown) == trees * size and grown["bag"].min() == bag:
             break
-        if share * bag >= min(rows, POOL_ROWS):
+        if share * bag >= rows:
             if grown.empty:
                 raise ValueError("no rows to grow a forest from")
             break
@@ -165,7 +177,7 @@ def _walk(forest: Forest, x: np.ndarray) -> np.ndarray:
             node = 2 * node + 1 + right
         total += path[node]
     mean = total / len(forest.feature)
-    return np.round(2.0 ** (-mean / max(mean_path(forest.bag), 1e-12)), SCORE_DIGITS)
+    return 2.0 ** (-mean / max(mean_path(forest.bag), 1e-12))
 
 
 def with_raw_score(df: DataFrame, forest: Forest, features: list[str] | None = None) -> DataFrame:
@@ -182,11 +194,9 @@ def with_raw_score(df: DataFrame, forest: Forest, features: list[str] | None = N
 
 
 def cut_value(scored: DataFrame, contamination: float) -> float:
-    """The (1 - contamination) quantile of the raw score, from its histogram."""
+    """The exact (1 - contamination) quantile of the raw score."""
     check_contamination(contamination)
-    histogram = scored.groupBy("iforest_raw").agg(F.count("*").alias("c"))
-    q = histogram.agg(F.percentile("iforest_raw", F.lit(1.0 - contamination), F.col("c")).alias("q"))
-    return q.first()["q"]
+    return single_quantiles(scored, "iforest_raw", [1.0 - contamination]).first()["q0"]
 
 
 def flag_columns(cut: float, digits: int = 5) -> dict[str, Column]:
@@ -210,12 +220,23 @@ def with_forest(
     base: DataFrame, config: DetectorConfig, rows: int | None = None,
     features: list[str] | None = None, digits: int = 5, min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """Add the forest columns. Fit, cut and final scoring each read the base once."""
+    """Add the forest columns. The base is read to fit and to score; the cut and the result read the staged scores.
+
+    Missing features count as their medians, as for the scaled features.
+    """
+    features = features or MODEL_FEATURES
     rows = base.count() if rows is None else rows
     if rows < min_rows:
         return base.withColumns(skipped_columns())
-    forest = fit(base, rows, config.n_trees, config.random_state, features)
-    scored = with_raw_score(base, forest, features)
+    nulls = base.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    filled = [f for f in features if nulls[f]]
+    model = base.withColumns({
+        f"_m_{f}": F.coalesce(F.col(f), F.lit(single_quantiles(base, f, [0.5]).first()["q0"])) if f in filled else F.col(f)
+        for f in features
+    })
+    names = [f"_m_{f}" for f in features]
+    forest = fit(model, rows, config.n_trees, config.random_state, names)
+    scored = stage(with_raw_score(model, forest, names).drop(*names), "forest-scores")
     cut = cut_value(scored, config.iforest_contamination)
     return scored.withColumns(flag_columns(cut, digits)).drop("iforest_raw")
 

@@ -1,11 +1,10 @@
 """Exact quantiles per group (linear interpolation) that hold for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task, which is fine up to a row bound.
-Past the bound each wanted rank is closed in by counting: a pass counts the rows of its current
-value interval in equal-width slices, then keeps the one slice that holds the rank, with the
-smallest and largest value really seen there. The two ends of an interval always land in different
-slices, so every pass shrinks it, and it ends at a single value: the exact answer, whatever the
-distribution. Only slice counts (at most slices x ranks per group) are shuffled.
+Two scans, whatever the size. The first takes a mergeable sketch per group, which brackets each wanted rank: it lies
+between two values that are a few ten-thousandths of the group apart. The second counts what lies below, inside and
+above each bracket and keeps the values inside, each with its count. The rank is then looked up among those.
+
+Nulls and NaN are no values. Infinities rank at the ends.
 """
 
 from __future__ import annotations
@@ -14,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.sources.staging import cut, measured
+from tidewatch.sources.staging import measured
 
-ONE_TASK_ROWS = 2_000_000
-SLICES = 4096
+ACCURACY = 10_000  # a sketch's rank is off by at most 1 / ACCURACY of its group
 
 
 def _same(left: str, right: str, keys: list[str]) -> Column:
@@ -27,108 +25,64 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return condition
 
 
-def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    rows: int | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Columns: the keys, ``n`` (non-null values) and ``q0``, ``q1``, … in the order of ``probs``.
-
-    ``rows`` is an upper bound of the input size if the caller knows one; else it is counted.
-    """
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if (data.count() if rows is None else rows) <= one_task_rows:
-        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-        out = data.groupBy(*keys).agg(F.count("_v").alias("n"), q.alias("q"))
-        return out.select(*keys, "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-    return _by_counting(data, keys, probs, slices)
-
-
-def _by_counting(data: DataFrame, keys: list[str], probs: list[float], slices: int) -> DataFrame:
-    whole = cut(
-        data.groupBy(*keys).agg(
-            F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
-    )
-    positions = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array(
-        *[
-            F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), fn(h).cast("bigint").alias("_k"))
-            for i, h in enumerate(positions)
-            for side, fn in ((0, F.floor), (1, F.ceil))
-        ]
-    )
-    targets = whole.select(*keys, "n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.inline(ranks))
-    done: DataFrame | None = None
-    while True:
-        open_targets = targets.where(F.col("_lo") < F.col("_hi"))
-        closed = targets.where(F.col("_lo") >= F.col("_hi"))
-        done = closed if done is None else done.unionByName(closed)
-        if open_targets.isEmpty():
-            break
-        targets = cut(_narrow(data, open_targets, keys, slices))
-    frac = {i: F.lit(float(p)) * (F.col("n") - 1) for i, p in enumerate(probs)}
-    sides = done.groupBy(*keys, "n").agg(
-        *[
-            F.max(F.when((F.col("_i") == i) & (F.col("_side") == s), F.col("_lo"))).alias(f"_v{i}_{s}")
-            for i in range(len(probs))
-            for s in (0, 1)
-        ]
-    )
+def _brackets(data: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Per group its size and ``_ends``, for each quantile a value at or before its rank and one at or behind it."""
+    margin = 3 / accuracy
+    ends = [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+    sketch = F.percentile_approx("_v", [float(e) for e in ends], accuracy)
+    return data.groupBy(*keys).agg(F.count("*").alias("n"), sketch.alias("_ends"))
 
-    def between(i: int) -> Column:
-        low, high, h = F.col(f"_v{i}_0"), F.col(f"_v{i}_1"), frac[i]
-        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
 
-    return sides.select(*keys, "n", *[between(i).alias(f"q{i}") for i in range(len(probs))])
-
-
-def _narrow(data: DataFrame, targets: DataFrame, keys: list[str], slices: int) -> DataFrame:
-    span = [*keys, "_lo", "_hi"]
-    # Two intervals per wanted quantile and group at most; Spark broadcasts them if they are small.
-    spans = measured(targets.select(*span).distinct())
-    # Halved terms, so that the width of the widest interval stays finite.
-    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    inside = data.alias("d").join(
-        spans.alias("s"),
-        _same("d", "s", keys) & F.col("_v").between(F.col("_lo"), F.col("_hi")),
-    )
-    counts = (
-        inside.select(
-            *[F.col(f"s.{k}").alias(k) for k in keys], "_lo", "_hi", "_v",
-            F.least(F.floor(share * slices), F.lit(slices - 1)).alias("_slice"),
-        )
-        .groupBy(*span, "_slice")
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax"))
+def grouped_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """Columns: the keys, ``n`` (values) and ``q0``, ``q1``, … in the order of ``probs``."""
+    v = F.col(value).cast("double") + F.lit(0.0)  # one zero
+    data = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    brackets = measured(_brackets(data, keys, probs, accuracy))
+    low = lambda i: F.col("_ends")[2 * i]
+    high = lambda i: F.col("_ends")[2 * i + 1]
+    # per quantile -1 below its bracket, 0 inside, 1 above; values inside any bracket are kept apart
+    zones = F.array(*[
+        F.when(F.col("_v") < low(i), -1).when(F.col("_v") > high(i), 1).otherwise(0) for i in range(len(probs))
+    ])
+    counted = measured(
+        data.alias("d").join(brackets.alias("b"), _same("d", "b", keys))
+        .select(*[F.col(f"d.{k}").alias(k) for k in keys], "n", "_v", zones.alias("_zones"))
+        .groupBy(*keys, "n", "_zones", F.when(F.array_contains("_zones", 0), F.col("_v")).alias("_inside"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     )
-    # At most ``slices`` rows per interval reach this window.
-    running = F.sum("_c").over(W.partitionBy(*span).orderBy("_slice"))
-    counts = counts.withColumn("_before", running - F.col("_c"))
-    inner_rank = F.col("t._k") - F.col("t._below")
-    return (
-        targets.alias("t")
-        .join(
-            counts.alias("h"),
-            _same("t", "h", span)
-            & (F.col("h._before") <= inner_rank)
-            & (inner_rank < F.col("h._before") + F.col("h._c")),
-        )
-        .select(
-            *[F.col(f"t.{k}").alias(k) for k in keys],
-            "t.n",
-            F.col("h._vmin").alias("_lo"),
-            F.col("h._vmax").alias("_hi"),
-            (F.col("t._below") + F.col("h._before")).alias("_below"),
-            "t._i", "t._side", "t._k",
-        )
+    split = counted.select(*keys, "n", "_c", "_low", "_high", F.posexplode("_zones").alias("_i", "_zone"))
+    # Below and above a bracket only a count and the nearest value remain: few rows beside those inside.
+    slots = split.groupBy(*keys, "n", "_i", "_zone", F.when(F.col("_zone") == 0, F.col("_low")).alias("_at")).agg(
+        F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
     )
+    order = W.partitionBy(*keys, "_i").orderBy("_zone", "_at")
+    slots = slots.withColumn("_end", F.sum("_c").over(order)).withColumn("_begin", F.col("_end") - F.col("_c"))
+    prob = F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")]
+    rank = prob * (F.col("n") - 1)
+
+    def at(k: Column) -> Column:
+        """The value of rank k. Beside a bracket only the nearest value is known; it is never needed further away."""
+        inside = (F.col("_begin") <= k) & (k < F.col("_end"))
+        nearest = F.when((F.col("_zone") == -1) & (k == F.col("_end") - 1), F.col("_high")).when(
+            (F.col("_zone") == 1) & (k == F.col("_begin")), F.col("_low")
+        ).when(F.col("_zone") == 0, F.col("_low"))
+        return F.max(F.when(inside, nearest))
+
+    found = slots.groupBy(*keys, "n", "_i").agg(at(F.floor(rank)).alias("_a"), at(F.ceil(rank)).alias("_b"))
+    a, b = F.col("_a"), F.col("_b")
+    between = F.when(a == b, a).otherwise((F.ceil(rank) - rank) * a + (rank - F.floor(rank)) * b)
+    missing = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    q = F.when(a.isNull() | b.isNull(), missing).otherwise(between)
+    found = found.withColumn("_q", q)
+    wide = found.groupBy(*keys, "n").agg(*[
+        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))
+    ])
+    return wide.select(*keys, "n", *[f"q{i}" for i in range(len(probs))])
 
 
 def single_quantiles(df: DataFrame, value: str, probs: list[float], **options) -> DataFrame:
-    """Quantiles over all rows: one row ``n, q0, q1, …``."""
+    """Quantiles over all rows: one row ``n, q0, q1, …``; none without values."""
     rows = df.select(F.lit(0).alias("all_rows"), value)
     return grouped_quantiles(rows, ["all_rows"], value, probs, **options).drop("all_rows")

@@ -11,7 +11,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[tuple[str, str], str] = {}
@@ -26,9 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         if not current:
             sc.setCheckpointDir(path)
         return path.rstrip("/")
-    if current:
+    local = sc.master.startswith("local")
+    if current and (local or not current.startswith("file:")):
         return current.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tidewatch-")
     sc.setCheckpointDir(path)
@@ -76,18 +76,10 @@ def release(spark: SparkSession) -> int:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """Materialise an aggregate so that the planner knows its true size.
+    """Materialise a statistic so that the planner knows its true size.
 
-    The cached blocks carry exact byte counts; Spark then broadcasts the frame only if it is
-    below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge joins it (with AQE
-    skew splitting). Lost blocks are recomputed from lineage.
+    Each call writes a table of its own, so a statistic is never older than the call. Spark broadcasts it
+    only if its files are below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
+    sort-merge joins it (with AQE skew splitting). ``release`` deletes it.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (used between passes of iterative operators)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stage(df, "statistic")
