@@ -34,7 +34,8 @@ BLOCK = 2048  # classes of a region that one task compares
 PIVOTS = 8
 LEAF, FANOUT = 8, 4
 BITS = 2048
-MAP_BITS = 1 << 27  # of a bitmap that is sent to all tasks; a fuller one only lets more through
+MAP_BITS = 1 << 26  # most bits of a bitmap that is sent to all tasks; a fuller one only lets more through
+BITS_A_KEY = 16
 COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -200,17 +201,20 @@ def join_sets(
 # --- distributed join ---------------------------------------------------------------------------
 
 def bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """MAP_BITS bits in 64-bit words, the one at key mod MAP_BITS set for each key (a long, spread evenly)."""
-    bit = F.pmod(F.col(key), F.lit(MAP_BITS))
-    rows = keys.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    """BITS_A_KEY bits for each key (a long, spread evenly), MAP_BITS at most: bit key mod size is set. 64-bit words."""
+    keys = stage(keys.select(key), "bitmap-keys")
+    size = min(MAP_BITS, 64 << (keys.count() * BITS_A_KEY // 64).bit_length())
+    bit = F.pmod(F.col(key), F.lit(size))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    rows = keys.select(F.floor(bit / 64).alias("word"), one.alias("bits"))
+    out = np.zeros(size // 64, np.int64)
     found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
     out[found["word"]] = found["bits"]
     return out.view(np.uint64)
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.int64) % MAP_BITS
+    at = keys.view(np.int64) % (64 * len(bits))
     return (bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
