@@ -70,13 +70,13 @@ def test_position_gives_the_file_order(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    df = spark.createDataFrame([("=2+3", -5), (" @x", 1), ("ok", 2), (None, 3)], "order_id string, n int")
+    df = spark.createDataFrame([("=SUM(A1)", -7), (" @x", 1), ("ok", 2), (None, 3)], "order_id string, n int")
     out = str(tmp_path / "out")
     write_csv(df.coalesce(1), out)
     payload = open(glob.glob(out + "/*.csv")[0], "rb").read()
     assert payload.startswith(b"\xef\xbb\xbf")
     text = payload.decode("utf-8-sig")
-    assert "'=2+3,-5" in text and "' @x,1" in text and "ok,2" in text
+    assert "'=SUM(A1),-7" in text and "' @x,1" in text and "ok,2" in text
     back = read_csv(spark, out).rows
     assert back.columns[:2] == ["order_id", "n"] and back.count() == 4
 
@@ -98,7 +98,7 @@ def test_analysis_from_files(spark, tmp_path):
     orders = put(tmp_path / "orders.csv", csv_text(rows).encode("gb18030"))
     ports = put(
         tmp_path / "ports.csv",
-        "港口,年份,月份,货物吞吐量_万吨\n上海港,2024,1,100\n坏月份,2024,13,20\n".encode(),
+        "港口,年份,月份,货物吞吐量_万吨\neast,2023,4,71.5\nwest,2023,0,9\n".encode(),
     )
     out = analyze_files(spark, orders, ports, DetectorConfig(n_trees=20))
     assert out.result.count() == 20

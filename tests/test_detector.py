@@ -9,7 +9,15 @@ from tidewatch.operators import rules, zscore
 from tidewatch.operators.ensemble import severity
 from tidewatch.operators.features import preprocess
 
-SPREAD = [0] * 20 + [1] * 8 + [2] * 5 + [3, 4, 5, 7, 10, 14, 20]
+# Delays that grow quadratically on one route: a few far ones, many near ones.
+RISING = [k * k // 40 for k in range(36)]
+
+
+def leave_one_out(delays, i):
+    others = delays[:i] + delays[i + 1 :]
+    mean = sum(others) / len(others)
+    sd = math.sqrt(sum((o - mean) ** 2 for o in others) / (len(others) - 1))
+    return (delays[i] - mean) / max(sd, 0.5)
 
 
 @pytest.fixture
@@ -23,21 +31,35 @@ def test_critical_delay_is_a_rule_hit(late_order):
     assert row["rule_codes"][:3] == ["delay_over_half_plan", "delay_over_7d", "delay_over_14d"]
 
 
-def test_threshold_changes_zscore_hits(valid):
-    base = preprocess(valid(SPREAD))
-    counts = [
-        zscore.zscore_layer(base, t).agg(F.sum("zscore_anomaly")).first()[0] for t in (1.5, 2.5, 4.0)
-    ]
-    assert counts[0] > counts[1] > counts[2]
+@pytest.mark.parametrize("limit", [1.0, 1.5, 2.0])
+def test_hits_are_those_beyond_the_threshold(valid, limit):
+    orders = valid(RISING)
+    want = {f"T-{i:04d}" for i in range(len(RISING)) if abs(leave_one_out(RISING, i)) > limit}
+    hits = lambda df: {r["order_id"] for r in df.where("zscore_anomaly = 1").collect()}
+    assert hits(zscore.zscore_layer(preprocess(orders), limit)) == want
+    assert hits(detect(orders, zscore_threshold=limit, forest=False)) == want
+    assert 0 < len(want) < len(RISING)
 
 
-def test_threshold_reaches_the_full_run(valid):
-    orders = valid(SPREAD)
-    counts = [
-        detect(orders, zscore_threshold=t, forest=False).agg(F.sum("zscore_anomaly")).first()[0]
-        for t in (1.5, 4.0)
-    ]
-    assert counts[0] > counts[1]
+def test_statistics_follow_a_table_that_grows(spark, valid, tmp_path):
+    path = str(tmp_path / "orders")
+    valid(RISING[:20]).write.parquet(path)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    first = zscore.zscore_layer(preprocess(spark.read.parquet(path)))
+    assert first.count() == 20
+    more = valid([0] * 16).withColumn("order_id", F.concat(F.lit("more "), "order_id"))
+    more.write.mode("append").parquet(path)
+    grown = RISING[:20] + [0] * 16
+    got = {r["order_id"]: r["z_score"] for r in zscore.zscore_layer(preprocess(spark.read.parquet(path))).collect()}
+    assert len(got) == 36
+    for i in range(20):
+        assert got[f"T-{i:04d}"] == pytest.approx(leave_one_out(grown, i), abs=6e-4)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
+def test_a_forest_that_is_switched_off_says_so(valid):
+    reasons = {r["reason"] for r in detect(valid([0] * 12), forest=False).select("reason").collect()}
+    assert all("isolation forest: switched off" in r for r in reasons)
 
 
 def test_zscore_against_brute_force(valid):
@@ -130,7 +152,7 @@ def test_detector_refuses_bad_input(spark, valid):
 
 
 def test_result_does_not_depend_on_partitioning(valid):
-    orders = valid(SPREAD, dests=["P", "Q"] * 20)
+    orders = valid(RISING, dests=["P", "Q"] * 18)
     config = DetectorConfig(n_trees=20)
     columns = ["order_id", "z_score", "iforest_score", "severity", "reason"]
     a, b = [

@@ -154,6 +154,20 @@ def test_date_layouts(spark):
     assert got == ["2024-01-05"] * 8 + [None] * 5
 
 
+def test_dates_with_month_names_and_half_days(spark):
+    from tidewatch.functions.parsing import parse_timestamp
+
+    want = {
+        "5 Jan 2024": "2024-01-05 00:00", "Jan 5, 2024": "2024-01-05 00:00", "05-JAN-2024": "2024-01-05 00:00",
+        "january 5 2024 8:30 pm": "2024-01-05 20:30", "1/5/2024 8:30 AM": "2024-01-05 08:30", "2024-01-05 12:05 AM": "2024-01-05 00:05",
+        "1/5/2024 12:05 PM": "2024-01-05 12:05", "01-05-2024": "2024-01-05 00:00", "2024-01-05T06:07:08Z": "2024-01-05 06:07",
+        "Sept 5, 2024": None, "5 Foo 2024": None, "1/5/2024 13:30 PM": None, "1/5/2024 0:30 AM": None, "32 Jan 2024": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r[0]: r[1] for r in df.select("t", F.date_format(parse_timestamp(F.col("t")), "yyyy-MM-dd HH:mm")).collect()}
+    assert got == want
+
+
 def test_number_texts(spark):
     from tidewatch.functions.parsing import parse_number
 

@@ -10,20 +10,54 @@ from tidewatch.functions.rounding import round_even
 # The characters of a number text (no thousands separators, hex or type suffix).
 NUMBER_CHARACTERS = "0123456789.+-eE"
 
-# Accepted date layouts beside ISO (yyyyMMdd; yyyy/M/d, yyyy.M.d, yyyy年M月d日; M/d/yyyy).
+# English month names; three letters of one are enough.
+MONTHS = [
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+]
+NAMED = r"(?i)^(?:(\d{1,2})[ -]([a-z]{3,9})\.?[ -](\d{4})|([a-z]{3,9})\.? (\d{1,2}),? (\d{4}))(?=$|[ T])"
+HALF_DAY = r"(?i)[ T](\d{1,2}):(\d{2})(:\d{2})? ?([ap])m$"
+
+# Accepted date layouts beside ISO (yyyyMMdd; yyyy/M/d, yyyy.M.d, yyyy年M月d日; M/d/yyyy, M-d-yyyy).
 # One pattern with three alternatives: groups 1-3, 4-6 and 7-9 hold the parts of whichever matched.
 DATE_LAYOUTS = (
     r"^(?:(\d{4})(\d{2})(\d{2})"
     r"|(\d{4})[/.年](\d{1,2})[/.月](\d{1,2})日?"
-    r"|(\d{1,2})/(\d{1,2})/(\d{4}))(?=$|[ T])"
+    r"|(\d{1,2})[/-](\d{1,2})[/-](\d{4}))(?=$|[ T])"
 )
 AS_ISO = "$1$4$9-$2$5$7-$3$6$8"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
 
 
+def _month_number(name: Column) -> Column:
+    """1 to 12 for a name or its first three letters, else null."""
+    short, full = F.array(*[F.lit(m[:3]) for m in MONTHS]), F.array(*[F.lit(m) for m in MONTHS])
+    at = F.array_position(F.when(F.length(name) == 3, short).otherwise(full), name)
+    return F.when(at > 0, at.cast("string"))
+
+
+def _named_as_iso(text: Column) -> Column:
+    """``5 Jan 2024`` and ``January 5, 2024`` with what follows, the month in figures."""
+    part = lambda i, j: F.concat(F.regexp_extract(text, NAMED, i), F.regexp_extract(text, NAMED, j))
+    month = _month_number(F.lower(part(2, 4)))
+    return F.concat(part(3, 6), F.lit("-"), month, F.lit("-"), part(1, 5), F.regexp_replace(text, NAMED, ""))
+
+
+def _full_day(text: Column) -> Column:
+    """``8:30 PM`` at the end as ``20:30``; hours beyond 12 are no time."""
+    part = lambda i: F.regexp_extract(text, HALF_DAY, i)
+    hour = part(1).try_cast("int")
+    hour = F.when(hour.between(1, 12), hour % 12 + F.when(F.lower(part(4)) == "p", 12).otherwise(0))
+    return F.concat(F.regexp_replace(text, HALF_DAY, " "), hour.cast("string"), F.lit(":"), part(2), part(3))
+
+
 def parse_timestamp(c: Column) -> Column:
-    """Mixed-layout text to a zone-free timestamp."""
-    text = F.regexp_replace(F.trim(c.cast("string")), DATE_LAYOUTS, AS_ISO)
+    """Mixed-layout text to a zone-free timestamp. A trailing Z is passed over."""
+    text = F.trim(c.cast("string"))
+    text = F.when(text.rlike(HALF_DAY), _full_day(text)).when(
+        text.rlike(r"\dZ$"), F.regexp_replace(text, "Z$", "")
+    ).otherwise(text)
+    text = F.when(text.rlike(NAMED), _named_as_iso(text)).otherwise(F.regexp_replace(text, DATE_LAYOUTS, AS_ISO))
     return F.when(text.rlike(ISO), text.try_cast("timestamp_ntz"))
 
 

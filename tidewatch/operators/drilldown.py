@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema as S
 from tidewatch.functions.rounding import round_even
 from tidewatch.functions.text import strip
+from tidewatch.operators.insight import carrier_insight
 from tidewatch.operators.metrics import only_anomalies
 
 CATEGORY_LIMIT = 200
@@ -52,6 +53,16 @@ def explain_order(result: DataFrame, order_id: Column | str) -> DataFrame:
     )
 
 
+def explain_carrier(carriers: DataFrame, carrier: Column | str) -> DataFrame:
+    """One carrier of the carrier table, by name, with its insight."""
+    wanted = F.lit(carrier) if isinstance(carrier, str) else carrier
+    one = carriers.where(F.col("carrier") == wanted)
+    insight = carrier_insight(one).withColumnRenamed("carrier", "name")
+    return one.join(insight, F.col("carrier") == F.col("name")).select(
+        "carrier", "total_orders", "anomaly_orders", "sample_note", "insight"
+    )
+
+
 def category_options(df: DataFrame, column: str, limit: int = CATEGORY_LIMIT) -> DataFrame:
     """Most frequent non-blank values with their position, and whether the list was cut."""
     value = strip(F.col(column).cast("string"))
@@ -83,6 +94,6 @@ def present_severities(result: DataFrame) -> DataFrame:
 
 
 def row_fingerprint(df: DataFrame) -> DataFrame:
-    """SHA-256 of each row's text form, first 16 hex digits, beside its key."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    """SHA-256 of each row as JSON with its nulls, first 16 hex digits, beside its key."""
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     return df.select("order_id", F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))

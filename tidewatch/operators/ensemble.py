@@ -36,8 +36,12 @@ def severity() -> Column:
     )
 
 
-def explanation(threshold: float) -> Column:
-    """One sentence per order: what each layer found or why it was skipped, then the verdict."""
+def explanation(threshold: float, forest: bool = True) -> Column:
+    """One sentence per order: what each layer found or why it was skipped, then the verdict.
+
+    ``forest`` says whether the forest was asked for at all.
+    """
+    skipped = "fewer than 10 orders, not judged" if forest else "switched off"
     rules = F.when(
         F.col("rule_anomaly") == 1, F.concat(F.lit("rules: "), F.col("rule_reason"))
     )
@@ -54,7 +58,7 @@ def explanation(threshold: float) -> Column:
             F.lit("isolation forest: unusual feature combination (model score "),
             fixed(F.col("iforest_score"), 4), F.lit(")"),
         ),
-    ).when(F.col("iforest_skipped"), F.lit("isolation forest: fewer than 10 orders, not judged"))
+    ).when(F.col("iforest_skipped"), F.lit(f"isolation forest: {skipped}"))
     verdict = F.concat(
         F.lit("overall: "), F.col("anomaly_votes").cast("string"),
         F.when(F.col("final_anomaly") == 1, F.lit(" of 3 methods hit, judged anomalous, severity "))
@@ -64,9 +68,9 @@ def explanation(threshold: float) -> Column:
     return F.concat_ws("; ", rules, z, forest, verdict)
 
 
-def with_verdict(df: DataFrame, threshold: float) -> DataFrame:
+def with_verdict(df: DataFrame, threshold: float, forest: bool = True) -> DataFrame:
     return (
         df.withColumns(vote_columns())
         .withColumn("severity", severity())
-        .withColumn("reason", explanation(threshold))
+        .withColumn("reason", explanation(threshold, forest))
     )

@@ -51,7 +51,7 @@ def run_layers(
     # The statistics come from the base; the forest's scan is the one the other layers extend.
     df = with_forest(base, config, rows) if forest else base.withColumns(skipped_columns())
     df = with_zscore(with_rules(df, floors), config, sums)
-    return with_verdict(df, config.zscore_threshold)
+    return with_verdict(df, config.zscore_threshold, forest)
 
 
 def detect(

@@ -26,22 +26,17 @@ def share(a: str, b: str) -> str:
 DELAY = (
     "CAST(greatest(((date_diff('day', o_orderdate, l_shipdate) % 200) + 200) % 200 - 175, 0) AS INTEGER)"
 )
-TIE = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag"
-
 SHIPMENTS = f"""
-lines AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {TIE}) AS rn FROM lineitem
-  ) WHERE rn = 1
-),
 shipments AS (
-  SELECT concat(l_orderkey, '-', l_linenumber) AS order_id, s_name AS carrier, l_returnflag AS mode,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d'), l_partkey, l_suppkey,
+      CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR),
+      l_returnflag) AS order_id, s_name AS carrier, l_returnflag AS mode,
     p_type AS cargo_type, n1.n_name AS origin, n2.n_name AS dest, o_orderdate AS ship_ts,
     o_orderdate + to_days(p_size) AS plan_arrival_ts,
     o_orderdate + to_days(p_size + {DELAY}) AS actual_arrival_ts,
     CAST(p_size AS DOUBLE) AS planned_days, CAST({DELAY} AS DOUBLE) AS delay_days,
     l_quantity AS weight_t, l_extendedprice AS freight_usd
-  FROM lines
+  FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
   JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
@@ -57,6 +52,8 @@ raw_once AS (
     CASE WHEN l_partkey % 101 = 0 THEN 'not-a-date'
       WHEN l_linenumber % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
       WHEN l_linenumber % 3 = 1 THEN strftime(o_orderdate, '%Y/%m/%d')
+      WHEN l_linenumber = 2 THEN strftime(o_orderdate, '%-d %b %Y')
+      WHEN l_linenumber = 5 THEN strftime(o_orderdate, '%m/%d/%Y %I:%M %p')
       ELSE strftime(o_orderdate, '%Y%m%d') END AS ship_ts,
     strftime(o_orderdate + to_days(p_size), '%Y-%m-%d') AS plan_arrival_ts,
     CASE WHEN l_suppkey % 10 = 0 THEN strftime(l_shipdate, '%Y-%m-%d')
@@ -98,7 +95,7 @@ def number(c: str) -> str:
 
 
 def date(c: str) -> str:
-    return f"try_strptime({c}, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d'])"
+    return f"try_strptime({c}, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%d %b %Y', '%m/%d/%Y %I:%M %p'])"
 
 
 def days(a: str, b: str) -> str:
@@ -242,7 +239,7 @@ detected AS (
     CASE WHEN rule_anomaly = 1 THEN concat('rules: ', rule_reason) END,
     CASE WHEN zscore_anomaly = 1 THEN concat('route z-score: z=', {fixed('z_score', 2)}, ' against the route baseline exceeds the threshold 2.50')
       WHEN zscore_skipped THEN 'route z-score: too few orders on the route, not judged' END,
-    'isolation forest: fewer than 10 orders, not judged',
+    'isolation forest: switched off',
     concat('overall: ', anomaly_votes, CASE WHEN final_anomaly = 1 THEN ' of 3 methods hit, judged anomalous, severity '
       ELSE ' of 3 methods hit, not judged anomalous, severity ' END, severity)) AS reason
   FROM graded
@@ -459,7 +456,8 @@ def oracle_sql() -> dict[str, str]:
     out["numeric_coerce"] = w(RAW, f"SELECT src_ord, cp, weight_t AS weight_text, {number('weight_t')} AS weight_t, {number('freight_usd')} AS freight_usd FROM raw")
     out["derive_days"] = w(RAW, f"SELECT src_ord, cp, {days(date('ship_ts'), date('plan_arrival_ts'))} AS planned_days, {days(date('plan_arrival_ts'), date('actual_arrival_ts'))} AS delay_days FROM raw")
     out["formula_escape"] = w(RAW, f"SELECT src_ord, cp, {escape('order_id')} AS order_id, {escape('weight_t')} AS weight_t, {escape('carrier')} AS carrier FROM raw")
-    out["row_fingerprint"] = w(RAW, f"SELECT order_id, substring(sha256(concat_ws('|', {', '.join(f'coalesce({c.strip()}, {chr(39)*2})' for c in CONTENT.split(','))})), 1, 16) AS fingerprint FROM raw")
+    packed = ", ".join(f"{c.strip()} := {c.strip()}" for c in CONTENT.split(","))
+    out["row_fingerprint"] = w(RAW, f"SELECT order_id, substring(sha256(CAST(to_json(struct_pack({packed})) AS VARCHAR)), 1, 16) AS fingerprint FROM raw")
     line_end = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
     blanks = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(12288)"
     out["markdown_lines"] = f"""
@@ -577,6 +575,9 @@ SELECT *, concat('Analysed ', {grouped('total_orders')}, ' orders, found ', {gro
   CASE WHEN top_route_sample = 'small_sample' THEN ', to be reviewed with more data' ELSE '' END,
   '. Main rule reasons: ', top_reasons, '.') AS summary FROM facts""")
     out["carrier_insight"] = w(ROLLUPS, f"SELECT carrier, concat(carrier, ': ', total_orders, ' orders, ', anomaly_orders, ' anomalies (', {percent('anomaly_rate')}, '), average delay ', {fixed('avg_delay', 1)}, ' days. ', CASE WHEN total_orders < 5 THEN 'Small sample: a first observation only.' ELSE 'The sample allows comparison within this data set.' END, ' Review together with routes and reasons.') AS insight FROM carriers")
+    out["carrier_explain"] = w(ROLLUPS, f"""SELECT c.carrier, total_orders, anomaly_orders, sample_note,
+  concat(c.carrier, ': ', total_orders, ' orders, ', anomaly_orders, ' anomalies (', {percent('anomaly_rate')}, '), average delay ', {fixed('avg_delay', 1)}, ' days. ', CASE WHEN total_orders < 5 THEN 'Small sample: a first observation only.' ELSE 'The sample allows comparison within this data set.' END, ' Review together with routes and reasons.') AS insight
+  FROM carriers_ranked c WHERE position = 1""")
     out["insight_lines"] = w(ROLLUPS, f"SELECT 'carrier' AS kind, CAST(position AS INTEGER) AS position, {CARRIER_FACT} AS line FROM carriers_ranked WHERE position <= 5 UNION ALL SELECT 'route', CAST(position AS INTEGER), {ROUTE_FACT} FROM routes_ranked WHERE position <= 5")
     out["carrier_prompts"] = w(ROLLUPS, f"""SELECT carrier, concat_ws(chr(10), concat('Statistics of carrier ', carrier, ' in this data set:'), concat('- orders: ', total_orders),
   concat('- average delay: ', {fixed('avg_delay', 2)}, ' days'), concat('- late rate: ', {fixed('late_rate * 100.0', 2)}, '%'), concat('- anomalies: ', anomaly_orders),

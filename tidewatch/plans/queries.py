@@ -243,6 +243,12 @@ def _worst_order(result: DataFrame) -> DataFrame:
     return drilldown.explain_order(result, worst)
 
 
+def _worst_carrier(result: DataFrame) -> DataFrame:
+    stats = M.carrier_stats(result)
+    worst = stats.orderBy(*M.carrier_rank()).limit(1).select("carrier").scalar()
+    return drilldown.explain_carrier(stats, worst)
+
+
 def queries() -> dict[str, Query]:
     carriers, routes = M.carrier_stats, M.route_stats
     q: dict[str, Query] = {
@@ -308,6 +314,7 @@ def queries() -> dict[str, Query]:
             two_layer, *S.EXPORT_COLUMNS,
         ),
         "order_explain": _of(_worst_order),
+        "carrier_explain": _of(_worst_carrier),
         "category_options": _of(lambda r: drilldown.category_options(M.only_anomalies(r), "route")),
         "distinct_modes": _of(lambda s: drilldown.distinct_values(s, "mode"), T.shipments),
         "present_severities": _of(drilldown.present_severities),

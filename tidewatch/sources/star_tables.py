@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.sources.staging import find_staged, stage
 
-TIE_ORDER = [
-    "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag",
-]
 SHIPMENT_TABLES = ["lineitem", "orders", "supplier", "part", "customer", "nation"]
 
 
@@ -59,22 +56,16 @@ def _plus_days(ts: Column, days: Column) -> Column:
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clean row per order line: keep-first per (order, line) in the tie order, then widen.
-
-    The duplicates go before the joins, as an aggregate with map-side combine, so that repeated
-    or hot keys shrink before any shuffle.
-    """
-    first = F.min(F.struct(*TIE_ORDER)).alias("first")
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(first)
-        .select("l_orderkey", "l_linenumber", "first.*")
-    )
+    """One clean row per order line. Order and line number repeat for different lines, so the id names all of a line."""
+    lines = table(spark, sf_dir, "lineitem")
+    money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     planned, delay = F.col("p_size"), _delay()
     plan_arrival = _plus_days(F.col("o_orderdate"), planned)
     return _with_dimensions(spark, sf_dir, lines).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyyMMdd"), "l_partkey", "l_suppkey",
+            money("l_extendedprice"), money("l_quantity"), "l_returnflag",
+        ).alias("order_id"),
         "carrier",
         F.col("l_returnflag").alias("mode"),
         F.col("p_type").alias("cargo_type"),
@@ -134,6 +125,8 @@ def shipments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(part_mod(101), F.lit("not-a-date"))
         .when(line == 0, F.date_format(order_date, iso))
         .when(line == 1, F.date_format(order_date, "yyyy/MM/dd"))
+        .when(F.col("l_linenumber") == 2, F.date_format(order_date, "d MMM yyyy"))
+        .when(F.col("l_linenumber") == 5, F.date_format(order_date, "MM/dd/yyyy hh:mm a"))
         .otherwise(F.date_format(order_date, "yyyyMMdd"))
         .alias("ship_ts"),
         F.date_format(_plus_days(order_date, planned), iso).alias("plan_arrival_ts"),
