@@ -33,7 +33,7 @@ from tidewatch.sources.staging import stage
 BLOCK = 2048  # classes of a region that one task compares
 PIVOTS = 8
 LEAF, FANOUT = 8, 4
-BITS = 2048
+BITS_A_SHINGLE, LEAST_BITS, MOST_BITS = 4, 1 << 11, 1 << 16  # of a signature, by the largest set of a block
 MAP_BITS = 1 << 26  # most bits of a bitmap that is sent to all tasks; a fuller one only lets more through
 BITS_A_KEY = 16
 COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
@@ -83,11 +83,17 @@ class Node:
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BITS bits per set, packed into 64-bit words."""
-    out = np.zeros((len(sets), BITS), np.uint8)
+    """A signature per set, one bit per shingle, packed into 64-bit words."""
+    wanted = BITS_A_SHINGLE * max(len(s) for s in sets)
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << wanted.bit_length()))
+    out = np.zeros((len(sets), size // 64), np.uint64)
+    row = np.zeros(size, np.uint8)
     for k, s in enumerate(sets):
-        out[k, (s >> np.uint64(7)).astype(np.int64) % BITS] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+        at = (s >> np.uint64(7)).astype(np.int64) % size
+        row[at] = 1
+        out[k] = np.packbits(row).view(np.uint64)
+        row[at] = 0
+    return out
 
 
 def build(sets: list[np.ndarray], bits: np.ndarray, members: list[int]) -> Node:
@@ -123,11 +129,14 @@ def may_link(x: Node, y: Node, percent: int) -> bool:
     return most > 0 and most >= needed(max(x.low, y.low), percent)
 
 
-def pair_may_link(a: int, b: int, bits: np.ndarray, ones: np.ndarray, sizes: np.ndarray, percent: int) -> bool:
-    """The bound for two single sets: bits that the other lacks belong to at least as many shingles of its own."""
-    common = int(np.bitwise_count(bits[a] & bits[b]).sum())
-    most = min(sizes[a] - (ones[a] - common), sizes[b] - (ones[b] - common))
-    return 100 * most >= percent * (sizes[a] + sizes[b] - most)
+def pairs_that_may_link(
+    left: np.ndarray, right: np.ndarray, bits: np.ndarray, ones: np.ndarray, sizes: np.ndarray, percent: int
+) -> Iterator[tuple[int, int]]:
+    """The bound for single sets: bits that the other lacks belong to at least as many shingles of its own."""
+    common = np.bitwise_count(bits[left][:, None] & bits[right][None]).sum(2).astype(np.int64)
+    a, b = sizes[left][:, None], sizes[right][None]
+    most = np.minimum(a - ones[left][:, None] + common, b - ones[right][None] + common)
+    return zip(*np.nonzero((most > 0) & (100 * most >= percent * (a + b - most))))
 
 
 def join_sets(
@@ -157,9 +166,11 @@ def join_sets(
             roots = {whole(c) for c in node.children}
         return roots.pop() if len(roots) == 1 else None
 
-    def close(i: int, j: int) -> None:
-        if forest.find(i) != forest.find(j) and pair_may_link(i, j, bits, ones, sizes, percent):
-            if linked(sets[i], sets[j], percent):
+    def close(x: Node, y: Node) -> None:
+        left, right = np.array(x.members), np.array(y.members)
+        for k, m in pairs_that_may_link(left, right, bits, ones, sizes, percent):
+            i, j = int(left[k]), int(right[m])
+            if (x is not y or k < m) and forest.find(i) != forest.find(j) and linked(sets[i], sets[j], percent):
                 forest.join(i, j)
                 out.append((i, j))
 
@@ -175,9 +186,7 @@ def join_sets(
         x, y = todo.pop()
         if x is y:
             if x.members:
-                for k, i in enumerate(x.members):
-                    for j in x.members[k + 1 :]:
-                        close(i, j)
+                close(x, x)
             elif whole(x) is None:
                 todo.extend((c, d) for k, c in enumerate(x.children) for d in x.children[k + 1 :])
                 todo.extend((c, c) for c in x.children)
@@ -188,9 +197,7 @@ def join_sets(
         if root is not None and root == whole(y):
             continue
         if x.members and y.members:
-            for i in x.members:
-                for j in y.members:
-                    close(i, j)
+            close(x, y)
         elif y.members or x.children and x.high - x.low >= y.high - y.low:
             todo.extend((c, y) for c in x.children)
         else:
