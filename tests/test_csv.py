@@ -109,3 +109,27 @@ def test_analysis_from_files(spark, tmp_path):
     assert "Received 21 rows, usable 20" in out.tables["overview"].where("section = 'quality'").first()["text"]
     assert {r["warning"] for r in out.extras["warnings"].collect()} >= {"invalid_or_duplicate_dropped"}
     assert out.config["n_trees"] == 20
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "gb18030"])
+def test_cells_with_line_breaks(spark, tmp_path, encoding):
+    path = put(tmp_path / "x.csv", '单号,备注\n1,"远洋\n内河"\n2,"a ""b""\n\nc"\n'.encode(encoding))
+    rows = read_csv(spark, path).rows.orderBy(*POSITION).collect()
+    assert [tuple(r)[:2] for r in rows] == [("1", "远洋\n内河"), ("2", 'a "b"\n\nc')]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "gb18030"])
+def test_a_quote_that_is_not_closed_is_refused(spark, tmp_path, encoding):
+    path = put(tmp_path / "half.csv", '名,b\n1,"open\n2,x\n3,y\n'.encode(encoding))
+    with pytest.raises(DataValidationError, match="half.csv: a quote is not closed"):
+        read_csv(spark, path)
+
+
+def test_other_encodings_need_the_setting(spark, tmp_path):
+    path = put(tmp_path / "x.csv", "名\n1\n".encode("gb18030"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    try:
+        with pytest.raises(DataValidationError, match="javaCharsets"):
+            read_csv(spark, path)
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")

@@ -22,6 +22,8 @@ CORRUPT = "_corrupt_record"
 # Input order of CSV rows: file, split within the file, row within the split.
 POSITION = ["_file", "_block", "_row"]
 BOM = "\ufeff"
+# Lets Spark read encodings beyond the few it names; get_session sets it.
+CHARSETS = "spark.sql.legacy.javaCharsets"
 
 
 @dataclass
@@ -33,21 +35,26 @@ class CsvData:
 def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: usable or why not, its encoding, and whether quotes span lines."""
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    # Counted in bytes: neither UTF-8 nor GB18030 uses the quote's byte inside another character.
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.contains(value, F.char(F.lit(0))).alias("nul"),
         F.is_valid_utf8(value).alias("utf8"),
         (strip(F.replace(value, F.lit(BOM), F.lit(""))) != "").alias("filled"),
-        (F.is_valid_utf8(value) & (quotes % 2 == 1)).alias("odd"),
+        quotes.alias("quotes"),
     )
     seen = lines.groupBy("file").agg(
         F.bool_or("nul").alias("nul"),
         F.bool_and("utf8").alias("utf8"),
         F.bool_or("filled").alias("filled"),
-        F.bool_or("odd").alias("multiline"),
+        F.bool_or(F.col("quotes") % 2 == 1).alias("multiline"),
+        (F.sum("quotes") % 2 == 1).alias("open"),
+    )
+    problem = (
+        F.when(~F.col("filled"), F.lit("empty file")).when(F.col("nul"), F.lit("binary content"))
+        .when(F.col("open"), F.lit("a quote is not closed"))
     )
-    problem = F.when(~F.col("filled"), F.lit("empty file")).when(F.col("nul"), F.lit("binary content"))
     return seen.select(
         "file",
         problem.alias("problem"),
@@ -121,8 +128,8 @@ def read_csv(
         kinds = _kinds(spark, paths, what)
     else:
         kinds = {(encoding, multiline): [paths] if isinstance(paths, str) else list(paths)}
-    if any(name != "UTF-8" for name, _ in kinds):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if any(name != "UTF-8" for name, _ in kinds) and spark.conf.get(CHARSETS, "false") != "true":
+        raise DataValidationError(f"{what} is not in UTF-8; set {CHARSETS} to true to read other encodings")
     good, rejected = [], []
     for (charset, spans), names in sorted(kinds.items()):
         columns = _names(spark, names, charset, spans)
