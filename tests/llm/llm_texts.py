@@ -1,7 +1,9 @@
-"""Texts for the tests of this folder."""
+"""Texts and frames for the tests of this folder."""
 
 import random
 
+import pytest
+
 WORDS = ["the", "of", "and", "Rain", "river", "stone", "wind", "über", "日本", "don't", "42", "a,b", "x!"]
 
 
@@ -19,3 +21,16 @@ def edge_rows() -> list[tuple]:
         (8, "日本 é\n  two  spaces \x0b\x0c tab\t"), (9, prose(3, 60) + "\n" + base), (None, base), (None, None),
         (10, "one"), (10, "one"), (-5, prose(4, 80)), (1 << 60, "far <|endoftext|> away"),
     ]
+
+
+@pytest.fixture(scope="session")
+def edges(spark):
+    """The rows with extra columns whose names the operators might use themselves."""
+    extra = ["block", "row", "key", "word", "score", "component", "place", "region", "n", "k", "rank", "x"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in extra)
+    return spark.createDataFrame([(*r, *extra) for r in edge_rows()], schema).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def none(edges):
+    return edges.where("1 = 0")

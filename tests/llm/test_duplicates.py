@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from llm_texts import edge_rows, prose
+from llm_texts import edge_rows, edges, none, prose  # noqa: F401
 from tidewatch.llm import line_dedup, shingle_join, vector_dedup, weighted_sampling
 from tidewatch.llm.common import components, table, words
 

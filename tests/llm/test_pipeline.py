@@ -1,6 +1,7 @@
 import corpus_pipeline
 from tidewatch.llm.common import table
 from tidewatch.sources.staging import stage
+from llm_texts import edges  # noqa: F401
 from test_duplicates import jaccard_groups, without_repeats
 
 SF = "/root/testdata/sf0.001"

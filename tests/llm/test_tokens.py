@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from llm_texts import edges, none  # noqa: F401
 from tidewatch.llm import packing, rank_bpe, token_files, tokens
 from tidewatch.llm.elias_fano import EliasFano
 from tidewatch.llm.queries import BYTE_BPE, RANKS
