@@ -35,6 +35,7 @@ PIVOTS = 8
 LEAF, FANOUT = 8, 4
 BITS_A_SHINGLE, LEAST_BITS, MOST_BITS = 4, 1 << 11, 1 << 16  # of a signature, by the largest set of a block
 MAP_BITS = 1 << 26  # most bits of a bitmap that is sent to all tasks; a fuller one only lets more through
+MAP_PIECE = 1 << 18
 BITS_A_KEY = 16
 COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
 
@@ -208,16 +209,24 @@ def join_sets(
 # --- distributed join ---------------------------------------------------------------------------
 
 def bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """BITS_A_KEY bits for each key (a long, spread evenly), MAP_BITS at most: bit key mod size is set. 64-bit words."""
+    """BITS_A_KEY bits for each key (a long, spread evenly), MAP_BITS at most: bit key mod size is set. 64-bit words.
+
+    Tasks pack the bits; what meets the driver is the bitmap itself, in pieces.
+    """
     keys = stage(keys.select(key), "bitmap-keys")
-    size = min(MAP_BITS, 64 << (keys.count() * BITS_A_KEY // 64).bit_length())
-    bit = F.pmod(F.col(key), F.lit(size))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    rows = keys.select(F.floor(bit / 64).alias("word"), one.alias("bits"))
-    out = np.zeros(size // 64, np.int64)
-    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
-    out[found["word"]] = found["bits"]
-    return out.view(np.uint64)
+    size = min(MAP_BITS, MAP_PIECE << (keys.count() * BITS_A_KEY // MAP_PIECE).bit_length())
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(MAP_PIECE, np.uint8)
+        out[frame["bit"] % MAP_PIECE] = 1
+        return pd.DataFrame({"piece": [frame["bit"].iloc[0] // MAP_PIECE], "bits": [np.packbits(out, bitorder="little").tobytes()]})
+
+    bits = keys.select(F.pmod(F.col(key), F.lit(size)).alias("bit")).distinct()
+    pieces = bits.groupBy(F.floor(F.col("bit") / MAP_PIECE)).applyInPandas(pack, "piece long, bits binary").collect()
+    out = np.zeros((size // MAP_PIECE, MAP_PIECE // 64), np.uint64)
+    for piece in pieces:  # at most MAP_BITS / MAP_PIECE
+        out[piece["piece"]] = np.frombuffer(piece["bits"], np.uint64)
+    return out.ravel()
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
