@@ -10,7 +10,8 @@
    of its sets' bitmaps and the range of their sizes. A dual traversal descends into a pair of nodes
    only if the greatest overlap that bitmaps and sizes allow reaches the threshold, and if the
    two are not yet connected. Leaf pairs are verified on the sets themselves.
-4. A region too large for one task is cut into blocks. Every block is first joined with itself
+4. A region too large for one task is first cut by size: sets link only within a band of sizes or with the next. What is still too
+   large is cut into blocks. Every block is first joined with itself
    and a few pivots of the region; then only classes outside the region's largest component meet
    the other blocks. So a huge group of copies never meets itself, and no pair list is ever written.
 5. Components of the found links give each document the smallest doc_id it is linked with.
@@ -305,7 +306,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     docs = documents(docs)
     rows = stage(docs.mapInPandas(lambda x: _measure(x, n), "doc_id long, size int, key string"), "shingle-classes")
-    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.first("size").alias("size")
+    )
     send = spark.sparkContext.broadcast
     named = docs.where("doc_id is not null").select("text")
     pair = "k long, shingle long"
@@ -325,7 +328,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     regions = stage(components(links), "regions").withColumnRenamed("component", "region")
 
     number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "region")
+    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "region", "size")
+    # Linked sets lie in one band of sizes or in two that adjoin: a region beyond one block falls into pairs of bands.
+    band = F.floor(F.log("size") / (np.log(100 / percent) * 1.0001)) if percent < 100 else F.col("size").cast("long")
+    counted = chosen.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    bands = F.when(F.col("n") > BLOCK, F.array(band, band - 1)).otherwise(F.array(F.lit(None).cast("long")))
+    chosen = chosen.join(counted, "region").select("rep", "region", F.explode(bands).alias("band")).select(
+        "rep", F.xxhash64("region", "band").alias("region")
+    )
     blocks = chosen.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
     chosen = stage(chosen.join(blocks.where("n > 1"), "region").drop("n"), "region-members")
     some = send(bitmap(chosen.select(F.xxhash64("rep").alias("rep")), "rep"))
@@ -341,7 +351,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     parts = stage(parts, "region-texts")
     found = _links(parts, n, percent)
     linked_reps = components(found).withColumnRenamed("id", "rep")
-    result = rows.join(classes, "key", "left").join(linked_reps, "rep", "left")
+    result = rows.join(classes.drop("size"), "key", "left").join(linked_reps, "rep", "left")
     return result.select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
