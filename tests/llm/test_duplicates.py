@@ -253,6 +253,16 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert got.assign(text=texts).groupby("text")["fingerprint"].nunique().max() == 1
 
 
+def test_fingerprints_weigh_a_dominating_word(spark):
+    shared = " ".join(f"w{k}" for k in range(15))
+    texts = ["x " * 1000 + shared, "y " * 1000 + shared, "x " * 1000 + "z " * 500 + shared]
+    docs = spark.createDataFrame([(3 - k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = weighted_sampling.fingerprints(docs).orderBy("doc_id", ascending=False).collect()
+    for row, a, b in zip(got, texts, texts[1:] + texts[:1]):
+        assert abs(row.near_next - generalised_jaccard(a, b)) < 0.25
+    assert got[0].near_next < 0.1 and 0.4 < got[2].near_next < 0.9
+
+
 def test_fingerprint_edges(spark, edges, none):
     import hashlib
 

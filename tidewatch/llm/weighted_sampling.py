@@ -5,10 +5,8 @@ from Gamma(2, 1) and b even on [0, 1), all fixed by the word and the draw, let t
 the word (with its t) for which ln c - r (t - b + 1) is least. Two sets agree in a draw with a probability
 equal to their generalised Jaccard similarity, sum of least over sum of greatest weights.
 
-The words are dealt by hash to STRATA strata, and each stratum takes its own DRAWS samples, so a word is worked out
-DRAWS times instead of once for each of the STRATA x DRAWS places of the signature. Within a stratum the
-collision rate is the similarity of the words there, and the places together estimate that of the whole.
-Places that are empty in both signatures say nothing and are left out.
+All DRAWS samples are drawn over the whole set of a text, so the share of equal ones estimates that similarity whatever
+words carry the weight. A text and its edited version are drawn together: a word's r, c and b are worked out once for both.
 
 All of it is DataFrame functions. A sample is one whole number: the rounded key above 24 bits of the word's hash and t,
 so a minimum finds it. Documents are dealt by blocks of ids; text, words and signature stay in one stage.
@@ -22,26 +20,26 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import LOWER, UPPER, documents
 from tidewatch.sources.staging import stage
 
-STRATA, DRAWS = 16, 4
+DRAWS = 64
 ID_BLOCK = 256  # ids of a block; neighbours beyond a block's end are fetched by a join
 SPACES = r"[\x20\x09-\x0D]+"
-_STEP = float(1 << 24)
 
 
-def _samples(word: Column, weight: Column) -> list[Column]:
-    """One whole number per draw."""
+def _samples(word: Column, draw: Column, weights: list[Column]) -> list[Column]:
+    """One whole number per weight, null where that is. ``word`` is the word's hash."""
+    h = F.xxhash64(word, draw)
+    g = F.xxhash64(h)
+    even = lambda x, k: (F.shiftrightunsigned(x, k).bitwiseAND(0x1FFFFF) + 0.5) / float(1 << 21)
+    r = -F.log(even(h, 0) * even(h, 21))
+    log_c = F.log(-F.log(even(h, 42) * even(g, 0)))
+    b = even(g, 21)
     out = []
-    for draw in range(DRAWS):
-        h, g = F.xxhash64(word, F.lit(2 * draw)), F.xxhash64(word, F.lit(2 * draw + 1))
-        even = lambda x, k: (F.shiftrightunsigned(x, k).bitwiseAND(0x1FFFFF) + 0.5) / float(1 << 21)
-        r = -F.log(even(h, 0) * even(h, 21))
-        log_c = F.log(-F.log(even(h, 42) * even(g, 0)))
-        b = even(g, 21)
+    for weight in weights:
         t = F.floor(F.log(weight) / r + b)
         key = log_c - r * (t - b + 1)
-        mark = F.xxhash64(word, F.lit(1 << 20), t).bitwiseAND(0xFFFFFF)
-        # keys lie within about +-700; 2^24 steps of a unit keep them apart and below 2^39
-        out.append(F.shiftleft(F.round(key * (_STEP / 64)).cast("long"), 24) + mark)
+        mark = F.xxhash64(word, t).bitwiseAND(0xFFFFFF)
+        # keys lie within about +-700; 2^18 steps of a unit keep them apart and below 2^28
+        out.append(F.shiftleft(F.floor(key * float(1 << 18)), 24) + mark)
     return out
 
 
@@ -83,7 +81,7 @@ def _edited(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """(block, place, signature, edited_signature): arrays of STRATA x DRAWS whole numbers, null where empty."""
+    """(block, place, signature, edited_signature): arrays of DRAWS whole numbers, null where a text has no words."""
     both = F.explode(F.array(
         F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t"))
     )).alias("x")
@@ -91,22 +89,17 @@ def _signatures(rows: DataFrame) -> DataFrame:
     words = texts.select(
         "block", "place", "which", F.explode(F.split(F.translate("t", UPPER, LOWER), SPACES)).alias("word")
     ).where("word <> ''")
-    key = ["block", "place", "which"]
-    weighted = words.groupBy(*key, "word").agg(F.count("*").cast("double").alias("weight"))
-    drawn = weighted.select(
-        *key, F.pmod(F.xxhash64("word", F.lit(-1)), F.lit(STRATA)).cast("int").alias("stratum"),
-        *[c.alias(f"k{i}") for i, c in enumerate(_samples(F.col("word"), F.col("weight")))],
-    )
-    least = drawn.groupBy(*key, "stratum").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(DRAWS)])
-    short = F.array(*[F.xxhash64(f"k{i}").bitwiseAND(0xFFFFFF).cast("int") for i in range(DRAWS)])
-    lists = least.groupBy("block", "place").agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("which") == w, F.struct("stratum", short)))).alias(f"m{w}") for w in (0, 1)
-    ])
-    empty = F.array(*[F.lit(None).cast("int")] * DRAWS)
-    full = lambda m: F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(STRATA - 1)), lambda s: F.coalesce(F.try_element_at(F.col(m), s), empty)
-    ))
-    return lists.select("block", "place", full("m0").alias("signature"), full("m1").alias("edited_signature"))
+    key = ["block", "place"]
+    weighted = words.groupBy(*key, "word").agg(*[F.count_if(F.col("which") == w).cast("double").alias(f"n{w}") for w in (0, 1)])
+    # a row per draw: code for all draws in one row is too long for the JVM to compile
+    draws = F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")
+    dealt = weighted.select(*key, F.xxhash64("word").alias("word"), *[F.nullif(f"n{w}", F.lit(0.0)).alias(f"n{w}") for w in (0, 1)], draws)
+    samples = _samples(F.col("word"), F.col("draw"), [F.col("n0"), F.col("n1")])
+    drawn = dealt.select(*key, "draw", *[c.alias(f"k{w}") for w, c in enumerate(samples)])
+    least = drawn.groupBy(*key, "draw").agg(*[F.min(f"k{w}").alias(f"k{w}") for w in (0, 1)])
+    short = lambda k: F.when(F.col(k).isNotNull(), F.xxhash64(k).bitwiseAND(0xFFFFFF).cast("int"))
+    lists = least.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("draw", short("k0").alias("k0"), short("k1").alias("k1")))).alias("m"))
+    return lists.select(*key, F.col("m.k0").alias("signature"), F.col("m.k1").alias("edited_signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,7 +119,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = _edited(docs)
     facts = rows.select("block", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    none = F.array_repeat(F.lit(None).cast("int"), STRATA * DRAWS)  # of a document without words
+    none = F.array_repeat(F.lit(None).cast("int"), DRAWS)  # of a document without words
     signed = facts.join(_signatures(rows), ["block", "place"], "left").withColumns(
         {c: F.coalesce(c, none) for c in ("signature", "edited_signature")}
     )
