@@ -94,6 +94,21 @@ def test_jaccard_edges(edges, none):
     assert shingle_join.near_duplicates(none).count() == 0
 
 
+def test_texts_of_one_id_are_compared_each(spark):
+    rows = []
+    for k in range(0, 60, 10):  # id k + 5 has two texts; each has a near copy under another id
+        a, b = prose(700 + k, 90), prose(800 + k, 120)
+        rows += [(k + 5, a), (k + 5, b), (k + 8, b + " end"), (k + 3, a + " end"), (k + 9, prose(900 + k, 70)), (k + 5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(docs, 4, 85).collect())
+    size = lambda t: len({tuple(w) for w in zip(*[words(t)[i:] for i in range(4)])})
+    least = [5, 5, 5, 3, 9, 5]
+    want = [(d, size(t), d // 10 * 10 + (3 if i % 6 == 0 else least[i % 6])) for i, (d, t) in enumerate(rows)]
+    assert got == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in shingle_join.drop_near_duplicates(docs, 4, 85).collect())
+    assert kept == Counter(r for i, r in enumerate(rows) if i % 6 in (1, 3, 4, 5))
+
+
 def test_tree_bounds_never_hide_a_link():
     rng = np.random.default_rng(4)
     sets = []

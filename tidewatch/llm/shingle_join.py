@@ -14,7 +14,7 @@
    large is cut into blocks. Every block is first joined with itself
    and a few pivots of the region; then only classes outside the region's largest component meet
    the other blocks. So a huge group of copies never meets itself, and no pair list is ever written.
-5. Components of the found links give each document the smallest doc_id it is linked with.
+5. Components of the found links, which are between classes, give each document the smallest doc_id it is linked with.
 """
 
 from __future__ import annotations
@@ -286,8 +286,8 @@ def _prefixes(
 
 
 def _compare(frame: pd.DataFrame, n: int, percent: int, both: bool) -> pd.DataFrame:
-    """Links within one block, or between its two sides, as pairs of representatives."""
-    frame = frame.sort_values(["side", "rep"]).drop_duplicates("rep") if both else frame.sort_values(["side", "rep"])
+    """Links within one block, or between its two sides, as pairs of classes."""
+    frame = frame.sort_values(["side", "rep"]).drop_duplicates("rep" if both else ["side", "rep"])
     sets = [shingles(t, n) for t in frame["text"]]
     known = [None if pd.isna(c) else int(c) for c in frame["component"]]
     reps = frame["rep"].tolist()
@@ -300,15 +300,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of word n-grams. Null and empty texts
     have no shingle and link with nothing (component_id is their own doc_id). Rows without a doc_id link with nothing either
-    and have no component_id. Rows that share a doc_id count as that one document where ids are concerned.
+    and have no component_id. Rows that share a doc_id are compared each by its own text.
     An empty table gives no rows.
     """
+    return _grouped(docs, n, percent).drop("key")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of near_duplicates with the class key of their text. ``rep`` is a number for each class."""
     spark = docs.sparkSession
     docs = documents(docs)
     rows = stage(docs.mapInPandas(lambda x: _measure(x, n), "doc_id long, size int, key string"), "shingle-classes")
     classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("size").alias("size")
+        F.min("doc_id").alias("doc_id"), F.first("size").alias("size")
     )
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "class-numbers")
     send = spark.sparkContext.broadcast
     named = docs.where("doc_id is not null").select("text")
     pair = "k long, shingle long"
@@ -328,38 +334,46 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     regions = stage(components(links), "regions").withColumnRenamed("component", "region")
 
     number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "region", "size")
+    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "doc_id", "key", "region", "size")
     # Linked sets lie in one band of sizes or in two that adjoin: a region beyond one block falls into pairs of bands.
     band = F.floor(F.log("size") / (np.log(100 / percent) * 1.0001)) if percent < 100 else F.col("size").cast("long")
     counted = chosen.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     bands = F.when(F.col("n") > BLOCK, F.array(band, band - 1)).otherwise(F.array(F.lit(None).cast("long")))
-    chosen = chosen.join(counted, "region").select("rep", "region", F.explode(bands).alias("band")).select(
-        "rep", F.xxhash64("region", "band").alias("region")
+    chosen = chosen.join(counted, "region").select("rep", "doc_id", "key", "region", F.explode(bands).alias("band")).select(
+        "rep", "doc_id", "key", F.xxhash64("region", "band").alias("region")
     )
     blocks = chosen.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
     chosen = stage(chosen.join(blocks.where("n > 1"), "region").drop("n"), "region-members")
-    some = send(bitmap(chosen.select(F.xxhash64("rep").alias("rep")), "rep"))
+    some = send(bitmap(chosen.select(F.xxhash64("doc_id").alias("id")), "id"))
 
     @F.pandas_udf("boolean")
     def may_be_chosen(hashes: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
 
+    @F.pandas_udf("boolean")
+    def of_class(text: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([class_key(shingles(t, n)) == k for t, k in zip(text, key)], dtype=bool)
+
     texts = docs.where("doc_id is not null").where(may_be_chosen(F.xxhash64("doc_id")))
-    parts = texts.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select(
-        F.col("doc_id").alias("rep"), "region", "text", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")
+    # an id may have several texts: only those of the class are taken
+    parts = texts.join(chosen, "doc_id").where(of_class("text", "key")).select(
+        "rep", "region", "text", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
     )
     parts = stage(parts, "region-texts")
     found = _links(parts, n, percent)
-    linked_reps = components(found).withColumnRenamed("id", "rep")
-    result = rows.join(classes.drop("size"), "key", "left").join(linked_reps, "rep", "left")
+    linked_reps = components(found).withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep")
+    least = linked_reps.groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked_reps = linked_reps.join(least, "component").select("rep", "least")
+    named_classes = classes.select("key", F.col("doc_id").alias("first"), "rep").join(linked_reps, "rep", "left")
+    result = rows.join(named_classes, "key", "left")
     return result.select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first", "doc_id")).alias("component_id"), "key",
     )
 
 
 def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links that connect all that is connected, as pairs of representatives (a, b)."""
+    """Links that connect all that is connected, as pairs of classes (a, b)."""
     none = F.lit(None).cast("long").alias("component")
     large = parts.where("blocks > 1")
     pivots = large.groupBy("region", "blocks").agg(
@@ -401,7 +415,16 @@ def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest doc_id. All rows of that id stay."""
-    groups = near_duplicates(docs, n, percent)
-    gone = stage(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each group: that of the smallest doc_id. All rows of that id with a text of the
+    group stay; other texts of an id are judged on their own."""
+    groups = _grouped(docs, n, percent)
+    gone = groups.where("component_id <> doc_id").select("doc_id", F.col("key").alias("_class_key")).distinct()
+    gone = stage(gone, "near-duplicates")
+
+    @F.pandas_udf("string")
+    def key_of(text: pd.Series) -> pd.Series:
+        sets = (shingles(t, n) for t in text)
+        return pd.Series([class_key(s) if len(s) else None for s in sets], dtype=object)
+
+    keyed = docs.withColumn("_class_key", key_of("text"))
+    return keyed.join(gone, ["doc_id", "_class_key"], "left_anti").select(docs.columns)
