@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import class_ngrams, line_dedup, packing, quality, rank_bpe, shingle_join, token_files, url_filter, vector_dedup, weighted_sampling
+from tidewatch.llm import class_ngrams, line_dedup, mixing, packing, quality, rank_bpe, shingle_join, spelling, token_files, turn_repair, url_filter, vector_dedup, weighted_sampling
 from tidewatch.llm.common import documents, held_out, table
 from tidewatch.sources.staging import shared_dir
 
@@ -66,9 +66,21 @@ def op10_vector_dedup(spark: SparkSession, d: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, d, "embeddings"))
 
 
+def op11_turn_repair(spark: SparkSession, d: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, d, "conversations"))
+
+
+def op12_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.taken_words(table(spark, d, "documents"), [5, 2, 1])
+
+
+def op13_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(URL_RULES)}
+    return {"op1_url_filter": url_filter.oracle(URL_RULES), "op13_spelling": spelling.ORACLE_SQL}
