@@ -24,6 +24,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if pd.api.types.is_integer_dtype(df[c]) and df[c].isna().any():  # the other side may hold it as floats
+            df[c] = df[c].astype("float64")
         if pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c].map(lambda v: "null" if pd.isna(v) else f"{v:.9g}")
         elif pd.api.types.is_datetime64_any_dtype(df[c]):
