@@ -35,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a caller writes in a format of its own; ``release`` deletes it."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/tidewatch-{app}/{name}-{uuid.uuid4().hex}"
+    _staged[(app, path)] = path
+    return path
+
+
 def stage(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
