@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents; ``n_chars`` follows the text.
+
+In every stage null texts count as empty ones and are not rejected for it, rows without a doc_id are never taken for copies by their id,
+very long texts are worked through whole, an empty table gives an empty one, and columns beyond those of documents
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels, ~held_out("doc_id", 4, 2))
     if model is None:  # nothing was learnt, so nothing is rejected
         return docs
-    return docs.where(quality.score(model) >= quality.THRESHOLD)
+    return quality.accepted(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import free_names
 from tidewatch.sources.staging import stage
 
 MIN_WORDS = 50
@@ -178,26 +179,31 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Runs of lines with at least ``min_words`` words that occur earlier, in a document of a smaller doc_id or before in the same,
     are deleted. Lines are compared without white space around and with single spaces inside; blank lines are
     passed over and go with the run around them. Null and empty texts stay as they are. Rows without a doc_id come after all others. Rows
-    that repeat id and text are one document and fare alike. An empty table gives no rows.
+    that repeat id and text are one document and fare alike. Very long texts and runs are worked through whole. Other columns pass
+    through; where one has the name of a new column, the new one gets a line under its name. An empty table gives no rows.
     """
+    doc, digest, whole, spans, new, removed, nothing = free_names(
+        docs, "doc", "hash", "whole", "spans", "new", "lines_removed", "nothing_left"
+    )
     changes = repeated_runs(docs, min_words).select(
-        F.col("d").alias("_ld_doc"), F.col("h").alias("_ld_hash"), F.col("whole").alias("_ld_whole"), F.col("spans").alias("_ld_spans")
+        F.col("d").alias(doc), F.col("h").alias(digest), F.col("whole").alias(whole), F.col("spans").alias(spans)
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_ld_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_ld_hash": F.xxhash64(text)})
-    rows = rows.join(changes, ["_ld_doc", "_ld_hash"], "left")
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), digest: F.xxhash64(text)})
+    rows = rows.join(changes, [doc, digest], "left")
     without = F.pandas_udf(_without, "text string, removed int, left int")
-    cut = rows.where("_ld_spans is not null").withColumn("_ld_new", without("text", "_ld_spans"))
-    cut = cut.select(*[F.col("_ld_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                     F.col("_ld_new.removed").alias("lines_removed"), (F.col("_ld_new.left") == 0).alias("nothing_left"))
+    cut = rows.where(F.col(spans).isNotNull()).withColumn(new, without("text", spans))
+    cut = cut.select(*[F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+                     F.col(f"{new}.removed").alias(removed), (F.col(f"{new}.left") == 0).alias(nothing))
     n_lines = F.size(F.split(text, "\n"))
-    rest = rows.where("_ld_spans is null").select(
-        *[F.when(F.col("_ld_whole"), "").otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("_ld_whole"), n_lines).otherwise(0).alias("lines_removed"), F.coalesce("_ld_whole", F.lit(False)).alias("nothing_left"),
+    rest = rows.where(F.col(spans).isNull()).select(
+        *[F.when(F.col(whole), "").otherwise(F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.when(F.col(whole), n_lines).otherwise(0).alias(removed), F.coalesce(whole, F.lit(False)).alias(nothing),
     )
     return cut.unionByName(rest)
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without later copies of repeated runs, and without documents of which nothing is left."""
-    return mark_repeats(docs, min_words).where("not nothing_left").drop("lines_removed", "nothing_left")
+    """``docs`` without later copies of repeated runs, and without documents of which nothing is left; all else as ``mark_repeats`` says."""
+    *_, nothing = free_names(docs, "lines_removed", "nothing_left")
+    return mark_repeats(docs, min_words).where(~F.col(nothing)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,6 @@
 """Near duplicates by the Jaccard similarity of word n-gram sets, found with signature trees.
 
-1. Each text becomes the set of its hashed shingles; texts with equal sets are one class from here on.
+1. Each text becomes the set of its hashed shingles, once; sets are staged, and texts with equal sets are one class from here on.
 2. Prefix filter: with any fixed order of shingles, two sets that reach the threshold share one of their first
    n - ceil(t n) + 1. Shingles that several sets hold come last in that order, so that shared passages stay out of the
    prefixes of texts that have enough of their own. Which these are is counted among the first shingles of all sets by hash
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Forest, components, documents, words
+from tidewatch.llm.common import Forest, components, documents, free_names, words
 from tidewatch.sources.staging import stage
 
 BLOCK = 2048  # classes of a region that one task compares
@@ -241,54 +241,63 @@ def _number(key: str) -> int:
 
 
 def _measure(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """A row per document: its class and size."""
+    """A row per document: its class, size, and sorted set as bytes."""
     for batch in batches:
         sets = [shingles(t, n) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "size": [len(s) for s in sets],
-                            "key": [class_key(s) if len(s) else None for s in sets]})
+        yield pd.DataFrame({
+            "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "size": [len(s) for s in sets],
+            "key": [class_key(s) if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets],
+        })
 
 
-def _distinct_sets(texts: pd.Series, n: int) -> Iterator[tuple[str, np.ndarray]]:
-    seen = set()
-    for text in texts:
-        s = shingles(text, n)
-        if len(s) and (key := class_key(s)) not in seen:
-            seen.add(key)
-            yield key, s
+def _joined_sets(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sets of a batch one after the other, their sizes, and the number of each one's class."""
+    batch = batch.drop_duplicates("key")
+    joined = np.frombuffer(b"".join(batch["shingles"]), np.uint64)
+    return joined, batch["size"].to_numpy(np.int64), np.array([_number(k) for k in batch["key"]], np.int64)
 
 
-def _counted(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
+def _first(sizes: np.ndarray, upto: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which members of joined sets are among the first ``upto`` of theirs, the late ones coming last."""
+    ends = np.cumsum(sizes)
+    begins = np.repeat(ends - sizes, sizes)
+    early = np.concatenate([[0], np.cumsum(~late)])
+    before = early[:-1] - early[begins]  # early ones of the same set before each
+    at = np.arange(len(late)) - begins
+    held = np.repeat(early[ends] - early[ends - sizes], sizes)
+    return np.where(late, held + at - before, before) < np.repeat(upto, sizes)
+
+
+def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return sizes + (-sizes * percent // 100) + 1
+
+
+def _counted(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, values = [], []
-        for key, s in _distinct_sets(batch["text"], n):
-            part = s[: int(COUNTED * (len(s) - needed(len(s), percent) + 1))]
-            ids.append(np.full(len(part), _number(key), np.int64))
-            values.append(part.view(np.int64))
-        if values:
-            yield pd.DataFrame({"k": np.concatenate(ids), "shingle": np.concatenate(values)})
+        joined, sizes, numbers = _joined_sets(batch)
+        upto = (COUNTED * _prefix_sizes(sizes, percent)).astype(np.int64)
+        kept = _first(sizes, upto, np.zeros(len(joined), bool))
+        yield pd.DataFrame({"k": np.repeat(numbers, sizes)[kept], "shingle": joined[kept].view(np.int64)})
 
 
 def _prefixes(
-    batches: Iterator[pd.DataFrame], n: int, percent: int, shared: np.ndarray, wanted: np.ndarray | None
+    batches: Iterator[pd.DataFrame], percent: int, shared: np.ndarray, wanted: np.ndarray | None
 ) -> Iterator[pd.DataFrame]:
     """Prefix shingles of each set; with ``wanted`` only those in that bitmap."""
     for batch in batches:
-        ids, values = [], []
-        for key, s in _distinct_sets(batch["text"], n):
-            late = in_bitmap(shared, s)
-            part = np.concatenate([s[~late], s[late]])[: len(s) - needed(len(s), percent) + 1]
-            if wanted is not None:
-                part = part[in_bitmap(wanted, part)]
-            ids.append(np.full(len(part), _number(key), np.int64))
-            values.append(part.view(np.int64))
-        if values:
-            yield pd.DataFrame({"k": np.concatenate(ids), "shingle": np.concatenate(values)})
-
-
-def _compare(frame: pd.DataFrame, n: int, percent: int, both: bool) -> pd.DataFrame:
+        joined, sizes, numbers = _joined_sets(batch)
+        kept = _first(sizes, _prefix_sizes(sizes, percent), in_bitmap(shared, joined))
+        ids, found = np.repeat(numbers, sizes)[kept], joined[kept]
+        if wanted is not None:
+            hit = in_bitmap(wanted, found)
+            ids, found = ids[hit], found[hit]
+        yield pd.DataFrame({"k": ids, "shingle": found.view(np.int64)})
+
+
+def _compare(frame: pd.DataFrame, percent: int, both: bool) -> pd.DataFrame:
     """Links within one block, or between its two sides, as pairs of classes."""
     frame = frame.sort_values(["side", "rep"]).drop_duplicates("rep" if both else ["side", "rep"])
-    sets = [shingles(t, n) for t in frame["text"]]
+    sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
     known = [None if pd.isna(c) else int(c) for c in frame["component"]]
     reps = frame["rep"].tolist()
     found = join_sets(sets, frame["side"].tolist(), known, percent, both)
@@ -303,20 +312,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     and have no component_id. Rows that share a doc_id are compared each by its own text.
     An empty table gives no rows.
     """
-    return _grouped(docs, n, percent).drop("key")
+    return _grouped(docs, n, percent).drop("digest", "grp")
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of near_duplicates with the class key of their text. ``rep`` is a number for each class."""
+    """The rows of near_duplicates with ``digest`` (of the text) and ``grp``, a number for all texts linked; null where nothing can link.
+
+    Texts are read once: their sets are staged, and all later steps read those. A class is named by the place of one of its rows.
+    """
     spark = docs.sparkSession
-    docs = documents(docs)
-    rows = stage(docs.mapInPandas(lambda x: _measure(x, n), "doc_id long, size int, key string"), "shingle-classes")
-    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("size").alias("size")
+    texts = documents(docs).withColumn("digest", F.md5("text"))
+    sets = texts.mapInPandas(lambda x: _measure(x, n), "doc_id long, digest string, size int, key string, shingles binary")
+    rows = stage(sets.withColumn("place", F.monotonically_increasing_id()), "shingle-sets")
+    named = rows.where("key is not null and doc_id is not null")
+    classes = named.groupBy("key").agg(
+        F.min(F.struct("doc_id", F.col("place").alias("rep"))).alias("first"), F.first("size").alias("size")
     )
-    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "class-numbers")
-    send = spark.sparkContext.broadcast
-    named = docs.where("doc_id is not null").select("text")
+    classes = stage(classes.select("key", "first.*", "size"), "class-numbers")
+    held = named.select("key", "size", "shingles")
+    sent = []
+
+    def send(bits: np.ndarray):
+        sent.append(spark.sparkContext.broadcast(bits))
+        return sent[-1]
+
     pair = "k long, shingle long"
 
     def several(frame: DataFrame) -> DataFrame:
@@ -324,69 +343,68 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
             F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c")
         ).where("a < b")
 
-    shared = send(bitmap(several(named.mapInPandas(lambda x: _counted(x, n, percent), pair)), "shingle"))
-    met = stage(several(named.mapInPandas(lambda x: _prefixes(x, n, percent, shared.value, None), pair)), "met-shingles")
+    shared = send(bitmap(several(held.mapInPandas(lambda x: _counted(x, percent), pair)), "shingle"))
+    met = stage(several(held.mapInPandas(lambda x: _prefixes(x, percent, shared.value, None), pair)), "met-shingles")
     crowded = met.where("c > 2").select("shingle", "a")
     wanted = send(bitmap(crowded, "shingle"))
-    again = named.mapInPandas(lambda x: _prefixes(x, n, percent, shared.value, wanted.value), pair)
+    again = held.mapInPandas(lambda x: _prefixes(x, percent, shared.value, wanted.value), pair)
     members = again.join(crowded, "shingle").select(F.col("k").alias("b"), "a")
     links = met.select("a", "b").union(members.select("a", "b")).where("a <> b").distinct()
     regions = stage(components(links), "regions").withColumnRenamed("component", "region")
 
     number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "doc_id", "key", "region", "size")
+    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "region", "size")
     # Linked sets lie in one band of sizes or in two that adjoin: a region beyond one block falls into pairs of bands.
     band = F.floor(F.log("size") / (np.log(100 / percent) * 1.0001)) if percent < 100 else F.col("size").cast("long")
     counted = chosen.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     bands = F.when(F.col("n") > BLOCK, F.array(band, band - 1)).otherwise(F.array(F.lit(None).cast("long")))
-    chosen = chosen.join(counted, "region").select("rep", "doc_id", "key", "region", F.explode(bands).alias("band")).select(
-        "rep", "doc_id", "key", F.xxhash64("region", "band").alias("region")
+    chosen = chosen.join(counted, "region").select("rep", "region", F.explode(bands).alias("band")).select(
+        "rep", F.xxhash64("region", "band").alias("region")
     )
     blocks = chosen.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
     chosen = stage(chosen.join(blocks.where("n > 1"), "region").drop("n"), "region-members")
-    some = send(bitmap(chosen.select(F.xxhash64("doc_id").alias("id")), "id"))
+    some = send(bitmap(chosen.select(F.xxhash64("rep").alias("id")), "id"))
 
     @F.pandas_udf("boolean")
     def may_be_chosen(hashes: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
 
-    @F.pandas_udf("boolean")
-    def of_class(text: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([class_key(shingles(t, n)) == k for t, k in zip(text, key)], dtype=bool)
-
-    texts = docs.where("doc_id is not null").where(may_be_chosen(F.xxhash64("doc_id")))
-    # an id may have several texts: only those of the class are taken
-    parts = texts.join(chosen, "doc_id").where(of_class("text", "key")).select(
-        "rep", "region", "text", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
+    found = rows.select(F.col("place").alias("rep"), "shingles").where(may_be_chosen(F.xxhash64("rep")))
+    parts = found.join(chosen, "rep").select(
+        "rep", "region", "shingles", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
     )
-    parts = stage(parts, "region-texts")
-    found = _links(parts, n, percent)
-    linked_reps = components(found).withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep")
+    parts = stage(parts, "region-sets")
+    for bits in sent:  # what used them is staged
+        bits.destroy()
+    links = _links(parts, percent)
+    linked_reps = components(links).withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep")
     least = linked_reps.groupBy("component").agg(F.min("doc_id").alias("least"))
-    linked_reps = linked_reps.join(least, "component").select("rep", "least")
+    linked_reps = linked_reps.join(least, "component").select("rep", "least", "component")
     named_classes = classes.select("key", F.col("doc_id").alias("first"), "rep").join(linked_reps, "rep", "left")
-    result = rows.join(named_classes, "key", "left")
+    result = rows.drop("shingles").join(named_classes, "key", "left")
+    known = F.col("doc_id").isNotNull()
     return result.select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "first", "doc_id")).alias("component_id"), "key",
+        F.when(known, F.coalesce("least", "first", "doc_id")).alias("component_id"),
+        "digest", F.when(known, F.coalesce("component", "rep")).alias("grp"),
     )
 
 
-def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(parts: DataFrame, percent: int) -> DataFrame:
     """Links that connect all that is connected, as pairs of classes (a, b)."""
     none = F.lit(None).cast("long").alias("component")
     large = parts.where("blocks > 1")
     pivots = large.groupBy("region", "blocks").agg(
         F.array_sort(F.collect_set(F.when(F.col("block") == 0, F.col("rep")))).alias("some")
     ).select("region", F.explode(F.slice("some", 1, PIVOTS)).alias("rep"), "blocks")
-    pivot_texts = parts.join(pivots.select("region", "rep"), ["region", "rep"]).select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "rep", "text"
+    pivot_sets = parts.join(pivots.select("region", "rep"), ["region", "rep"]).select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "rep", "shingles"
     )
-    own = parts.select("region", "block", F.lit(0).alias("side"), "rep", "text")
+    own = parts.select("region", "block", F.lit(0).alias("side"), "rep", "shingles")
     schema = "a long, b long"
     first = stage(
-        own.union(pivot_texts).select("region", "block", "side", "rep", none, "text")
-        .groupBy("region", "block").applyInPandas(lambda frame: _compare(frame, n, percent, both=True), schema),
+        own.union(pivot_sets).select("region", "block", "side", "rep", none, "shingles")
+        .groupBy("region", "block").applyInPandas(lambda frame: _compare(frame, percent, both=True), schema),
         "block-links",
     )
     if large.isEmpty():
@@ -402,29 +420,35 @@ def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
     rows = rest.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("strips"))
     left = rest.join(rows, "region").withColumn("strip", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("strips"))).select(
         "region", "strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(0).alias("side"), "rep", "component", "text",
+        F.lit(0).alias("side"), "rep", "component", "shingles",
     )
     right = state.join(rows, "region").select(
         "region", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"), "block",
-        F.lit(1).alias("side"), "rep", "component", "text",
+        F.lit(1).alias("side"), "rep", "component", "shingles",
     )
     second = left.union(right).groupBy("region", "strip", "block").applyInPandas(
-        lambda frame: _compare(frame, n, percent, both=False), schema
+        lambda frame: _compare(frame, percent, both=False), schema
     )
     return first.union(stage(second, "strip-links"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest doc_id. All rows of that id with a text of the
-    group stay; other texts of an id are judged on their own."""
-    groups = _grouped(docs, n, percent)
-    gone = groups.where("component_id <> doc_id").select("doc_id", F.col("key").alias("_class_key")).distinct()
-    gone = stage(gone, "near-duplicates")
-
-    @F.pandas_udf("string")
-    def key_of(text: pd.Series) -> pd.Series:
-        sets = (shingles(t, n) for t in text)
-        return pd.Series([class_key(s) if len(s) else None for s in sets], dtype=object)
-
-    keyed = docs.withColumn("_class_key", key_of("text"))
-    return keyed.join(gone, ["doc_id", "_class_key"], "left_anti").select(docs.columns)
+    """``docs`` with one row of each group: that of the smallest doc_id, of the smallest MD5 of the text among texts of that id.
+
+    Exact repeats of that row go as well, whatever their other columns say. Texts without a word and rows without a doc_id are in no
+    group and stay. Columns may have any names; an empty table stays empty.
+    """
+    digest, mark = free_names(docs, "digest", "mark")
+    groups = stage(_grouped(docs, n, percent).where("grp is not null").select("grp", "doc_id", "digest"), "near-duplicates")
+    texts = groups.groupBy("grp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = groups.groupBy("grp").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    fate = F.when(F.struct("doc_id", "digest") != F.col("first"), "gone").when(F.col("n") > 1, "repeated")
+    marks = texts.join(first, "grp").select("doc_id", F.col("digest").alias(digest), fate.alias(mark)).where(F.col(mark).isNotNull())
+    marks = stage(marks, "near-duplicates")
+    kept = docs.withColumn(digest, F.md5("text")).join(marks, ["doc_id", digest], "left").where(
+        F.col(mark).isNull() | (F.col(mark) == "repeated")
+    )
+    if marks.where(F.col(mark) == "repeated").isEmpty():
+        return kept.select(docs.columns)
+    one = kept.where(F.col(mark).isNotNull()).groupBy("doc_id", digest).agg(F.first(F.struct(*docs.columns)).alias(mark))
+    return kept.where(F.col(mark).isNull()).select(docs.columns).union(one.select(f"{mark}.*"))
