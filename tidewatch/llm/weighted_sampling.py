@@ -6,7 +6,8 @@ the word (with its t) for which ln c - r (t - b + 1) is least. Two sets agree in
 equal to their generalised Jaccard similarity, sum of least over sum of greatest weights.
 
 All DRAWS samples are drawn over the whole set of a text, so the share of equal ones estimates that similarity whatever
-words carry the weight. A text and its edited version are drawn together: a word's r, c and b are worked out once for both.
+words carry the weight. A text and its edited version are drawn together: a word's r, c and b are worked out once for both, and so is the sample
+where it weighs the same in both.
 
 All of it is DataFrame functions. A sample is one whole number: the rounded key above 24 bits of the word's hash and t,
 so a minimum finds it. Documents are dealt by blocks of ids; text, words and signature stay in one stage.
@@ -25,8 +26,8 @@ ID_BLOCK = 256  # ids of a block; neighbours beyond a block's end are fetched by
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _samples(word: Column, draw: Column, weights: list[Column]) -> list[Column]:
-    """One whole number per weight, null where that is. ``word`` is the word's hash."""
+def _samples(word: Column, draw: Column, logs: list[Column]) -> list[Column]:
+    """One whole number per weight, null where that is. ``word`` is the word's hash, ``logs`` are those of its weights."""
     h = F.xxhash64(word, draw)
     g = F.xxhash64(h)
     even = lambda x, k: (F.shiftrightunsigned(x, k).bitwiseAND(0x1FFFFF) + 0.5) / float(1 << 21)
@@ -34,8 +35,8 @@ def _samples(word: Column, draw: Column, weights: list[Column]) -> list[Column]:
     log_c = F.log(-F.log(even(h, 42) * even(g, 0)))
     b = even(g, 21)
     out = []
-    for weight in weights:
-        t = F.floor(F.log(weight) / r + b)
+    for log in logs:
+        t = F.floor(log / r + b)
         key = log_c - r * (t - b + 1)
         mark = F.xxhash64(word, t).bitwiseAND(0xFFFFFF)
         # keys lie within about +-700; 2^18 steps of a unit keep them apart and below 2^28
@@ -55,11 +56,20 @@ def _order() -> Window:
 
 
 def _next_blocks(blocks: DataFrame) -> DataFrame:
-    """(block, next_block) by descending block, the last followed by the first. One narrow row per block."""
-    order = Window.orderBy(F.desc("block"))
-    rows = blocks.groupBy("block").agg(F.lit(1)).select("block")
-    return rows.select(
-        "block", F.coalesce(F.lead("block").over(order), F.max("block").over(Window.partitionBy())).alias("next_block")
+    """(block, next_block) by descending block, the last followed by the first.
+
+    One narrow row per block, sorted by ranges; only the first block of each range meets the others' in one task.
+    """
+    order = blocks.select("block").distinct().repartitionByRange(F.desc("block")).sortWithinPartitions(F.desc("block"))
+    dealt = stage(order.withColumn("at", F.monotonically_increasing_id()), "block-order")
+    dealt = dealt.withColumn("part", F.shiftright("at", 33))
+    heads = dealt.groupBy("part").agg(F.max("block").alias("head"))
+    ranges = Window.orderBy("part")
+    after = F.coalesce(F.lead("head").over(ranges), F.first("head").over(ranges))
+    after = heads.select("part", after.alias("after"))  # a row per range
+    inside = F.lead("block").over(Window.partitionBy("part").orderBy("at"))
+    return dealt.withColumn("inside", inside).join(F.broadcast(after), "part").select(
+        "block", F.coalesce("inside", "after").alias("next_block")
     )
 
 
@@ -93,9 +103,12 @@ def _signatures(rows: DataFrame) -> DataFrame:
     weighted = words.groupBy(*key, "word").agg(*[F.count_if(F.col("which") == w).cast("double").alias(f"n{w}") for w in (0, 1)])
     # a row per draw: code for all draws in one row is too long for the JVM to compile
     draws = F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")
-    dealt = weighted.select(*key, F.xxhash64("word").alias("word"), *[F.nullif(f"n{w}", F.lit(0.0)).alias(f"n{w}") for w in (0, 1)], draws)
-    samples = _samples(F.col("word"), F.col("draw"), [F.col("n0"), F.col("n1")])
-    drawn = dealt.select(*key, "draw", *[c.alias(f"k{w}") for w, c in enumerate(samples)])
+    logs = [F.log(F.nullif(f"n{w}", F.lit(0.0))).alias(f"l{w}") for w in (0, 1)]
+    dealt = weighted.select(*key, F.xxhash64("word").alias("word"), *logs, draws)
+    first, second = _samples(F.col("word"), F.col("draw"), [F.col("l0"), F.col("l1")])
+    # most words weigh the same in both texts
+    drawn = dealt.withColumn("k0", first).withColumn("k1", F.when(F.col("l0") == F.col("l1"), F.col("k0")).otherwise(second))
+    drawn = drawn.select(*key, "draw", "k0", "k1")
     least = drawn.groupBy(*key, "draw").agg(*[F.min(f"k{w}").alias(f"k{w}") for w in (0, 1)])
     short = lambda k: F.when(F.col(k).isNotNull(), F.xxhash64(k).bitwiseAND(0xFFFFFF).cast("int"))
     lists = least.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("draw", short("k0").alias("k0"), short("k1").alias("k1")))).alias("m"))
