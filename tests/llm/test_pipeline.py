@@ -38,6 +38,37 @@ def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_take_odd_rows_and_names(spark, edges):
+    docs = edges.withColumns({"lang": corpus_pipeline.F.lit("en"), "source": corpus_pipeline.F.lit(None).cast("string"),
+                              "n_chars": corpus_pipeline.F.char_length("text").cast("long")})
+    docs = docs.withColumns({c: corpus_pipeline.F.lit("y") for c in ("lines_removed", "nothing_left", "mark", "digest", "first", "spans")})
+    kept = docs
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        kept = stage(step(spark, kept, SF), "stage")
+        assert kept.columns == docs.columns and kept.count() > 0
+        assert set(kept.select("lines_removed", "mark", "spans").distinct().collect()) == {("y", "y", "y")}
+    packed = corpus_pipeline.pack(spark, kept, SF)
+    assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    nothing = docs.where("1 = 0")
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, nothing, SF).count() == 0, name
+
+
+def test_near_copies_leave_one_row(spark):
+    docs = table(spark, SF, "documents").limit(1)
+    twice = stage(docs.union(docs), "stage")
+    assert corpus_pipeline.dedup_documents(spark, twice, SF).count() == 1
+
+
+def test_classifier_keeps_what_scores_enough(spark):
+    docs = table(spark, SF, "documents")
+    model = corpus_pipeline.quality.fit(docs, table(spark, SF, "labels"), corpus_pipeline.F.lit(True))
+    scored = docs.withColumn("s", corpus_pipeline.quality.score(model)).where(f"s >= {corpus_pipeline.quality.THRESHOLD}")
+    kept = corpus_pipeline.quality.accepted(docs, model, step=7)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in scored.collect())
+    assert corpus_pipeline.quality.accepted(docs, None).count() == 0
+
+
 def test_missing_labels_reject_nothing(spark, edges):
     model = corpus_pipeline.quality.fit(edges, table(spark, SF, "labels").where("1 = 0"), corpus_pipeline.F.lit(True))
     assert model is None

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tidewatch.llm.common import table
 from llm_texts import edges, none  # noqa: F401
 from tidewatch.llm import packing, rank_bpe, token_files, tokens
 from tidewatch.llm.elias_fano import EliasFano
@@ -116,10 +117,16 @@ def test_packing_of_nothing_and_odd_tiers(none):
         packing.pack_documents(none, BYTE_BPE, end_id=0, tiers=(1000,))
 
 
-def test_step_groups_hold_whole_steps(edges):
-    rows = packing.pack_documents(edges.coalesce(1), BYTE_BPE, end_id=0, step_tokens=4096).groupBy("step_group").sum("length").collect()
-    sizes = sorted(r[1] for r in rows)
-    assert all(3072 < n < 5120 for n in sizes[1:]) and len(sizes) > 3
+def test_step_groups_are_balanced_over_partitions(spark):
+    rows = table(spark, "/root/testdata/sf0.001", "documents").repartition(5)
+    step = 16_384
+    got = packing.pack_documents(rows, BYTE_BPE, end_id=0, step_tokens=step).toPandas()
+    sizes = got.groupby("step_group")["length"].sum()
+    assert len(sizes) == -(-got["length"].sum() // step) > 5
+    assert sizes.max() <= 1.12 * sizes.mean() and sizes.min() >= 0.88 * sizes.mean()
+    sequences = got.drop_duplicates("sequence_id").groupby(["tier", "step_group"]).size().unstack(fill_value=0)
+    assert (sequences.max(axis=1) - sequences.min(axis=1)).max() <= 1  # a like mix of tiers
+    assert (got.groupby("sequence_id")["step_group"].nunique() == 1).all()
 
 
 def test_chunks_stitch_to_the_whole_split():

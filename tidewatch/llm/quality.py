@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents
+from tidewatch.llm.common import documents, hand_back
 
 TOWARDS_POOLED, TOWARDS_IDENTITY = 0.2, 0.02
 SHARPNESS = 0.25  # the statistics are dependent, so the log-density difference is damped before the posterior
@@ -131,7 +132,9 @@ def discriminant(moments: dict[int, np.ndarray]) -> Model | None:
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     """Learn from the rows of ``docs`` for which ``train`` holds and whose labels agree on 0 or 1.
 
-    All labelled rows take part. Only the statistics travel to the labels, never the texts.
+    All labelled rows take part. Only the statistics travel to the labels, never the texts. Repeated rows of ``docs`` count as often as
+    they occur; labels that disagree are left out; null texts are empty; rows without a doc_id teach nothing; tables without both
+    labels, empty ones too, give no model. Other columns, whatever their names, are ignored.
     """
     agreed = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("most")
@@ -145,8 +148,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     return discriminant(_moments(rows.join(agreed, "doc_id").select("quality", "x")))
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = THRESHOLD, step: int = 512) -> DataFrame:
+    """The rows whose score is at least ``least``, with all columns. Rows pass through the worker in batches of Arrow, so
+    none waits for its score; null and empty texts are scored like others, repeated rows each, an empty table stays empty."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                x = statistics(part.column(place).to_pylist())
+                # rounded as `score` does
+                score = np.round(model.scores(x), 9) if model else np.full(len(x), 0.5)
+                yield part.filter(pa.array(score >= least))
+        hand_back()
+
+    place = docs.columns.index("text")
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score(model: Model | None) -> Column:
-    """The score of the column ``text``, 0 to 1, higher: label 1 likelier; 0.5 for all if nothing could be learnt."""
+    """The score of the column ``text``, 0 to 1, higher: label 1 likelier; 0.5 for all if nothing could be learnt.
+
+    It depends on nothing but the text: null counts as empty, equal texts have equal scores."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:

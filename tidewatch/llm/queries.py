@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import class_ngrams, line_dedup, mixing, packing, quality, rank_bpe, shingle_join, spelling, token_files, turn_repair, url_filter, vector_dedup, weighted_sampling
 from tidewatch.llm.common import documents, held_out, table
-from tidewatch.sources.staging import shared_dir
+from tidewatch.sources.staging import scratch
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = [
@@ -28,7 +26,7 @@ def op2_class_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-files")
     token_files.write_token_files(table(spark, d, "documents"), path, BYTE_BPE, end_id=2)
     return token_files.read_documents(spark, path)
 

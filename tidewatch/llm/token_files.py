@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import tokens
-from tidewatch.llm.common import documents
+from tidewatch.llm.common import documents, hand_back
 from tidewatch.llm.elias_fano import EliasFano
 
 SEGMENT_IDS = 1_000_000  # a segment ends after the document that reaches this
@@ -71,6 +71,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int)
                     k, start, ids, names, size = k + 1, start + size, [], [], 0
         if ids:
             yield pd.DataFrame([_segment(shard, k, start, ids, names, width)])
+        enc.forget()
+        hand_back()
 
     ordered = documents(docs).repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
     ordered.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(write, SEGMENT).write.option(

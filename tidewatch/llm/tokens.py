@@ -16,7 +16,8 @@ from operator import attrgetter
 import numpy as np
 import regex
 
-KEPT = 800_000  # pieces a worker keeps; the older half goes first. Only speed depends on it.
+KEPT_BYTES = 48 << 20  # what the pieces that a worker keeps may hold; the older half goes first. Only speed depends on it.
+ENTRY_BYTES = 250  # of a piece and its ids besides their length: two objects and a place in the table
 
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" (?:\s|$)")
@@ -42,12 +43,12 @@ def pieces(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept = kept
+        self.kept, self.held = kept, 0
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
 
@@ -56,8 +57,9 @@ class PieceEncoder:
 
     def _learn(self, missing: list[str]) -> None:
         """Split pieces as the vocabulary does, and let the library merge each part that is new."""
-        if len(self.young) + len(missing) > self.kept // 2:
-            self.old, self.young = self.young, {}
+        self.held += sum(ENTRY_BYTES + 5 * len(piece) for piece in missing)
+        if self.held > self.kept // 2:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old, merge = self.young, self.old, self.tokenizer.model.tokenize
         for piece in missing:
             joined = []
@@ -108,6 +110,11 @@ class PieceEncoder:
         return out
 
 
+    def forget(self) -> None:
+        """Empty the store; a worker lives on after its task and would hold it for other stages."""
+        self.young, self.old, self.held = {}, {}, 0
+
+
 @cache
 def encoder(path: str) -> PieceEncoder:
     """One per worker process and vocabulary."""

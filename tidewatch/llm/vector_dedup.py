@@ -1,7 +1,7 @@
 """Near-duplicate vectors within a label: spherical k-means cells and blocked cosine products.
 
 1. Bit-equal vectors of a label become one class with its number of vectors.
-2. Spherical k-means, fitted on at most SAMPLE vectors of each label (by hash, spread evenly), gives centres; every
+2. Spherical k-means, fitted on a bounded sample of each label (by hash, spread evenly), gives centres, as many as its size asks for; every
    vector has a home cell, that of its nearest centre.
 3. If x and y are within the angle of the threshold and y's home is c, then x lies at most sin(angle) beyond
    the plane that separates c from any other centre. So x is also sent to each cell c for which that holds: all
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Forest, components
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import measured, stage
 
-SAMPLE = 2048  # vectors per label that the centres are fitted on
+SAMPLE = 2048  # vectors per label, and SAMPLE_A_CELL for each of its cells, that the centres are fitted on
+SAMPLE_A_CELL = 16
 PER_CELL = 4096  # vectors wanted in a cell
-MAX_CELLS = 64
+MAX_CELLS = 1024  # centres of a label that one task fits; cells of more than PER_CELL vectors are still compared in blocks
 BLOCK = 2048
 ROUNDS = 10
 
@@ -55,7 +56,7 @@ def _units(v: pd.Series) -> np.ndarray:
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
-    k = int(min(MAX_CELLS, max(1, -(-frame["n"].iloc[0] // PER_CELL))))
+    k = int(frame["cells"].iloc[0])
     centres = spherical_kmeans(_units(frame.sort_values("rep")["v"]), k)
     return pd.DataFrame({"label": frame["label"].iloc[0], "dims": frame["dims"].iloc[0], "centres": [centres.ravel().tolist()]})
 
@@ -126,10 +127,16 @@ def near_duplicate_vectors(
 
     group = ["label", "dims"]
     sizes = classes.groupBy(*group).agg(F.count("*").alias("n"))
+    cells = F.least(F.ceil(F.col("n") / PER_CELL), F.lit(MAX_CELLS)).cast("int")
+    wanted = F.greatest(F.lit(SAMPLE), SAMPLE_A_CELL * F.col("cells"))
+    sizes = measured(sizes.withColumn("cells", cells).withColumn("wanted", wanted))
+    # a share of a large label goes on, four times what is wanted; only that is ordered
+    share = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n")) < 4 * F.col("wanted")
     order = Window.partitionBy(*group).orderBy(F.xxhash64("rep"), "rep")
-    sample = classes.select(*group, "rep", "v").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE)
+    sample = classes.select(*group, "rep", "v").join(sizes, group).where(share)
+    sample = sample.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("wanted"))
     kind = vectors.schema[label].dataType.simpleString()
-    centres = sample.join(sizes, group).groupBy(*group).applyInPandas(
+    centres = sample.groupBy(*group).applyInPandas(
         _fit, f"label {kind}, dims int, centres array<double>"
     )
     centres = stage(centres.join(sizes.withColumn("chunks", F.ceil(F.col("n") / BLOCK)), group), "vector-centres")
