@@ -84,9 +84,9 @@ def test_walk_matches_a_plain_tree_walk(points, forest):
         for f, t, p in zip(forest.feature, forest.threshold, forest.path):
             node = 0
             for _ in range(forest.height):
-                node = 2 * node + (2 if x[f[node], j] >= t[node] else 1)
+                node = 2 * node + (2 if x[f[node], j] > t[node] else 1)
             total += p[node]
-        want = 2 ** (-(total / len(forest.feature)) / iforest.mean_path(forest.bag))
+        want = 2 ** (-(total / len(forest.feature) / iforest.UNIT) / iforest.mean_path(forest.bag))
         assert got[j] == pytest.approx(want, abs=1e-6)
 
 

@@ -17,7 +17,6 @@ from tidewatch.sources import staging
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
-ROWS_ONLY = {"iforest_scores", "full_detection", "v1_iforest"}
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +24,8 @@ def con():
     return connect(SF)
 
 
-def test_every_query_has_sql_or_is_the_forest():
-    assert set(registered.queries()) - set(oracles.oracle_sql()) == ROWS_ONLY
-    assert not set(oracles.oracle_sql()) - set(registered.queries())
+def test_every_query_has_sql():
+    assert set(registered.queries()) == set(oracles.oracle_sql())
     assert set(registered.queries()) <= set(entry.queries())
 
 

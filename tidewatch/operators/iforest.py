@@ -1,14 +1,17 @@
 """Distributed Isolation Forest (Liu, Ting, Zhou: Isolation Forest, ICDM 2008).
 
-Every row may enter the bag of every tree: hashes of the order id say how many bags a row is drawn for and which, so
-a row costs one hash and only drawn ones go on, about two bags per tree at any size of the table. Neither partitioning
-nor the order of rows matters. Trees are grown one per group of at most 256 rows. The forest (trees x 511 nodes
+Random numbers are addressed, not drawn: each is a piece of the MD5 of the seed and of what it decides on (an order and a pick, or a
+tree and a node), so any engine that knows MD5 finds the same forest. Every row may enter the bag of every tree: hashes of the
+order id say how many bags a row is drawn for and which, so a row costs few hashes and only drawn ones go on, about two bags per
+tree at any size of the table. Neither partitioning nor the order of rows matters. Trees are grown one per group of at most 256
+rows; path lengths are whole billionths, so their sums are exact. The forest (trees x 511 nodes
 at most) is broadcast, and all rows are scored once, by an Arrow UDF without a shuffle, into a staged table.
 The cut for a contamination share is an exact quantile of the unrounded scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +30,8 @@ from tidewatch.sources.staging import stage
 
 MIN_ROWS = 10
 MAX_BAG = 256
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double, bag int"
+UNIT = 1_000_000_000  # path lengths are counted in these parts
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, path long, bag int"
 
 
 @dataclass(frozen=True)
@@ -41,9 +45,9 @@ class Forest:
     bag: int
 
 
-def _even(*of: Column) -> Column:
-    """A number in (0, 1), spread evenly, that the arguments fix."""
-    return (F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") + 0.5) / float(1 << 53)
+def _hashed(*of: Column) -> Column:
+    """52 bits of the MD5 of the arguments, which are joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in of])), 1, 13), 16, 10).cast("long")
 
 
 def _drawn_bags(share: float, trees: int, seed: int) -> Column:
@@ -61,9 +65,10 @@ def _drawn_bags(share: float, trees: int, seed: int) -> Column:
         steps.append(total)
         k += 1
         term *= mean / k
-    u = _even(F.col("order_id"), F.lit(seed), F.lit(-1))
+    order = F.coalesce(F.col("order_id"), F.lit(""))
+    u = _hashed(F.lit(seed), order, F.lit(0)) / float(1 << 52)
     picks = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s < u))
-    tree = lambda j: F.pmod(F.xxhash64("order_id", F.lit(seed), j), F.lit(trees)).cast("int")
+    tree = lambda j: (_hashed(F.lit(seed), order, j) % trees).cast("int")
     return F.when(picks > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), picks), tree)))
 
 
@@ -83,41 +88,49 @@ def bags(base: DataFrame, features: list[str], rows: int, trees: int, seed: int,
         "order_id", *[F.col(f).cast("double").alias(f) for f in features],
         F.explode(_drawn_bags(share_factor * bag / rows, trees, seed)).alias("tree"),
     )
-    drawn = picked.withColumn("h", F.xxhash64("order_id", "tree", F.lit(seed)))
+    drawn = picked.withColumn("h", _hashed(F.lit("bag"), F.lit(seed), F.coalesce("order_id", F.lit("")), F.col("tree")))
     # About two bags of rows per tree reach this window.
     rank = F.row_number().over(W.partitionBy("tree").orderBy("h", "order_id"))
     return drawn.withColumn("rank", rank).where(F.col("rank") <= bag)
 
 
+def path_length(depth: int, n: int) -> int:
+    """What a leaf of n rows at a depth counts, in units."""
+    return round((depth + mean_path(n)) * UNIT)
+
+
+def _split(seed: int, tree: int, node: int, low: np.ndarray, high: np.ndarray) -> tuple[int, float]:
+    """Feature and cut of a node: rows above the cut go right, so both sides get some."""
+    digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    which, where = int(digest[:13], 16) / 2.0**52, int(digest[13:26], 16) / 2.0**52
+    varied = np.flatnonzero(high > low)
+    f = int(varied[int(which * len(varied))])
+    cut = low[f] + (high[f] - low[f]) * where
+    return f, cut if cut < high[f] else low[f]
+
+
 def _grow(rows: pd.DataFrame, features: list[str], height: int, seed: int) -> pd.DataFrame:
     """Grow one tree from its bag; nodes numbered as in a heap."""
     tree = int(rows["tree"].iloc[0])
-    x = rows.sort_values("rank")[features].to_numpy(dtype=float)
-    rng = np.random.default_rng([seed, tree])
+    x = rows[features].to_numpy(dtype=float)
     size = 2 ** (height + 1) - 1
     feature = np.zeros(size, dtype=np.int32)
     threshold = np.full(size, np.inf)
-    path = np.zeros(size)
+    path = np.zeros(size, dtype=np.int64)
     open_nodes = [(0, 0, np.arange(len(x)))]
     while open_nodes:
         node, depth, members = open_nodes.pop()
         part = x[members]
         low, high = part.min(axis=0), part.max(axis=0)
-        varied = np.flatnonzero(high > low)
-        if depth == height or len(members) <= 1 or len(varied) == 0:
+        if depth == height or len(members) <= 1 or not (high > low).any():
             # Rows always step left from a leaf, so its path length goes to that last-level node.
             bottom = node
             for _ in range(height - depth):
                 bottom = 2 * bottom + 1
-            path[bottom] = depth + mean_path(len(members))
+            path[bottom] = path_length(depth, len(members))
             continue
-        f = int(rng.choice(varied))
-        cut = low[f] + (high[f] - low[f]) * rng.random()
-        right = part[:, f] >= cut
-        if right.all():
-            # The draw fell on the minimum itself: split just above it.
-            cut = part[part[:, f] > low[f], f].min()
-            right = part[:, f] >= cut
+        f, cut = _split(seed, tree, node, low, high)
+        right = part[:, f] > cut
         feature[node], threshold[node] = f, cut
         open_nodes.append((2 * node + 2, depth + 1, members[right]))
         open_nodes.append((2 * node + 1, depth + 1, members[~right]))
@@ -168,15 +181,15 @@ def _walk(forest: Forest, x: np.ndarray) -> np.ndarray:
     """Anomaly score of each row of ``x`` (features in rows), batch by batch and tree by tree."""
     n = x.shape[1]
     flat, lane = np.ascontiguousarray(x).ravel(), np.arange(n)
-    total = np.zeros(n)
+    total = np.zeros(n, dtype=np.int64)
     for feature, threshold, path in zip(forest.feature, forest.threshold, forest.path):
         offset = feature.astype(np.int64) * n
         node = np.zeros(n, dtype=np.int64)
         for _ in range(forest.height):
-            right = flat[offset[node] + lane] >= threshold[node]
+            right = flat[offset[node] + lane] > threshold[node]
             node = 2 * node + 1 + right
         total += path[node]
-    mean = total / len(forest.feature)
+    mean = total / len(forest.feature) / float(UNIT)
     return 2.0 ** (-mean / max(mean_path(forest.bag), 1e-12))
 
 

@@ -218,17 +218,116 @@ zscored AS (
 )"""
 
 
-DETECTED = RULES + "," + ZSUMS + "," + zscored("rules") + f""",
+FOREST_FEATURES = ["delay_days", "deviation_ratio", "weight_t", "freight_usd", "planned_days"]
+FOREST_LEVELS = 8  # a bag has 256 rows
+
+
+def _hashed(*of: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(of)})), 1, 13))::BIGINT"
+
+
+def forest(trees: int, digits: int, seed: int = 42, contamination: str = "0.05") -> str:
+    """CTEs up to ``forest`` (rid, iforest_anomaly, iforest_score) over ``base``, whose rows have a ``rid``.
+
+    Bags, then all trees level by level: each level groups its rows by node, cuts, and joins the cuts back. At last every row
+    walks all trees, a join a level.
+    """
+    k = range(1, len(FOREST_FEATURES) + 1)
+    xs = ", ".join(f"coalesce({f}, 0.0)::DOUBLE AS x{i}" for i, f in zip(k, FOREST_FEATURES))
+    x = ", ".join(f"x{i}" for i in k)
+    of = lambda f: "CASE " + f + " " + " ".join(f"WHEN {i} THEN x{i}" for i in k) + " END"
+    mean = "-2 * (n - 1) / n::DOUBLE"
+    length = f"CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1) + 0.5772156649015329) {mean} END"
+    parts = [f"""
+frows AS MATERIALIZED (SELECT rid, coalesce(order_id, '') AS id, {xs} FROM base),
+fsize AS MATERIALIZED (
+  SELECT count(*) AS rows, least(256, count(*)) AS bag, greatest(1, ceil(log2(least(256, count(*))))) AS height,
+    -{trees} * ln(1 - least(2.0 * least(256, count(*)) / count(*), 1 - 1e-9)) AS mean FROM frows
+),
+fsteps AS MATERIALIZED (
+  SELECT list(step ORDER BY i) AS steps FROM (
+    SELECT i, sum(term) OVER (ORDER BY i) AS step FROM (
+      SELECT i, exp(-mean + i * ln(mean) - lgamma(i + 1)) AS term FROM fsize, range(0, 400) AS t(i)))
+),
+fpicked AS (
+  SELECT rid, id, {x}, unnest(list_distinct(list_transform(
+    range(1, len(list_filter(steps, lambda s: s < {_hashed(str(seed), 'id', '0')} / 4503599627370496.0)) + 1),
+    lambda j: {_hashed(str(seed), 'id', 'j')} % {trees}))) AS tree
+  FROM frows, fsteps
+),
+flevel0 AS MATERIALIZED (
+  SELECT tree, 0 AS node, {x} FROM (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY {_hashed("'bag'", str(seed), 'id', 'tree')}, id) AS rank FROM fpicked
+  ) WHERE rank <= (SELECT bag FROM fsize)
+)"""]
+    for level in range(FOREST_LEVELS + 1):
+        ends = ", ".join(f"min(x{i}) AS a{i}, max(x{i}) AS b{i}" for i in k)
+        varied = "list_filter([" + ", ".join(f"CASE WHEN b{i} > a{i} THEN {i} END" for i in k) + "], lambda f: f IS NOT NULL)"
+        low = "CASE f " + " ".join(f"WHEN {i} THEN a{i}" for i in k) + " END"
+        high = "CASE f " + " ".join(f"WHEN {i} THEN b{i}" for i in k) + " END"
+        digest = f"md5(concat_ws(':', {seed}, tree, node))"
+        parts.append(f"""
+fnodes{level} AS MATERIALIZED (
+  SELECT tree, node, n, f, CASE WHEN cut < high THEN cut ELSE low END AS cut,
+    CASE WHEN f IS NULL THEN round(({level} + {length}) * 1e9)::BIGINT END AS path
+  FROM (
+    SELECT *, low + (high - low) * (('0x' || substr({digest}, 14, 13))::BIGINT / 4503599627370496.0) AS cut FROM (
+      SELECT *, {low} AS low, {high} AS high FROM (
+        SELECT *, CASE WHEN {level} < (SELECT height FROM fsize) AND n > 1 AND len(varied) > 0 THEN
+          varied[(floor(('0x' || substr({digest}, 1, 13))::BIGINT / 4503599627370496.0 * len(varied)) + 1)::BIGINT] END AS f
+        FROM (SELECT *, {varied} AS varied FROM (SELECT tree, node, count(*) AS n, {ends} FROM flevel{level} GROUP BY tree, node))
+      )))
+)""")
+        if level < FOREST_LEVELS:
+            parts.append(f"""
+flevel{level + 1} AS MATERIALIZED (
+  SELECT l.tree, 2 * l.node + CASE WHEN {of('f')} > cut THEN 2 ELSE 1 END AS node, {x}
+  FROM flevel{level} l JOIN fnodes{level} d ON l.tree = d.tree AND l.node = d.node WHERE f IS NOT NULL
+)""")
+    walk = f"SELECT rid, {x}, t.tree, 0 AS node, NULL::BIGINT AS path FROM frows, (SELECT unnest(range(0, {trees})) AS tree) t"
+    for level in range(FOREST_LEVELS + 1):
+        walk = f"""SELECT rid, {x}, w.tree, CASE WHEN f IS NOT NULL THEN 2 * w.node + CASE WHEN {of('f')} > cut THEN 2 ELSE 1 END END AS node,
+    coalesce(w.path, d.path) AS path FROM ({walk}) w LEFT JOIN fnodes{level} d ON w.tree = d.tree AND w.node = d.node"""
+    bag = "(SELECT 2.0 * (ln(bag - 1) + 0.5772156649015329) - 2 * (bag - 1) / bag::DOUBLE FROM fsize)"
+    parts.append(f"""
+fraw AS MATERIALIZED (
+  SELECT rid, pow(2.0, -(sum(path)::BIGINT / {float(trees)} / 1e9) / {bag}) AS raw FROM ({walk}) GROUP BY rid
+),
+forest AS (
+  SELECT rid, CAST(raw > cut AS INTEGER) AS iforest_anomaly, round_even(raw - cut, {digits}) AS iforest_score
+  FROM fraw, (SELECT quantile_cont(raw, 1 - {contamination}) AS cut FROM fraw)
+)""")
+    return ",".join(parts)
+
+
+def numbered(sql: str) -> str:
+    """The same CTEs with a row number, ``rid``, in ``base``."""
+    return sql.replace("base AS (\n  SELECT *,", "base AS MATERIALIZED (\n  SELECT row_number() OVER () AS rid, *,")
+
+
+def detected(trees: int | None = None) -> str:
+    """CTEs up to ``detected``: two layers, or three with a forest of so many trees."""
+    if trees is None:
+        head, source = RULES + "," + ZSUMS + "," + zscored("rules"), "zscored"
+        layer = "0 AS iforest_anomaly, CAST(0.0 AS DOUBLE) AS iforest_score, true AS iforest_skipped"
+        text = "'isolation forest: switched off'"
+    else:
+        head, source = numbered(RULES) + "," + forest(trees, 5) + "," + ZSUMS + "," + zscored("rules"), "zscored JOIN forest USING (rid)"
+        layer = "false AS iforest_skipped"
+        text = f"""CASE WHEN iforest_anomaly = 1 THEN concat('isolation forest: unusual feature combination (model score ',
+      {fixed('iforest_score', 4)}, ')') END"""
+    return head + f""",
 voted AS (
-  SELECT *, 0 AS iforest_anomaly, CAST(0.0 AS DOUBLE) AS iforest_score, true AS iforest_skipped,
-    rule_anomaly + zscore_anomaly AS anomaly_votes FROM zscored
+  SELECT *, {layer} FROM {source}
 ),
+counted AS (SELECT *, rule_anomaly + zscore_anomaly + iforest_anomaly AS anomaly_votes FROM voted),
 final AS (
   SELECT *, CAST(rule_anomaly = 1 OR anomaly_votes >= 2 AS INTEGER) AS final_anomaly,
     round_even(least(greatest(anomaly_votes / 3.0 * 75 + least(greatest(delay_days, 0.0), 14.0) / 14 * 25, 0.0), 100.0), 1) AS anomaly_score,
-    CASE WHEN rule_anomaly = 0 AND zscore_anomaly = 0 THEN 'none' ELSE
-      concat_ws(', ', CASE WHEN rule_anomaly = 1 THEN 'rules' END, CASE WHEN zscore_anomaly = 1 THEN 'route_zscore' END) END AS anomaly_methods
-  FROM voted
+    CASE WHEN rule_anomaly + zscore_anomaly + iforest_anomaly = 0 THEN 'none' ELSE
+      concat_ws(', ', CASE WHEN rule_anomaly = 1 THEN 'rules' END, CASE WHEN zscore_anomaly = 1 THEN 'route_zscore' END,
+        CASE WHEN iforest_anomaly = 1 THEN 'iforest' END) END AS anomaly_methods
+  FROM counted
 ),
 graded AS (
   SELECT *, CASE WHEN final_anomaly <> 1 THEN 'normal' WHEN critical_rule OR anomaly_votes = 3 THEN 'critical'
@@ -239,12 +338,15 @@ detected AS (
     CASE WHEN rule_anomaly = 1 THEN concat('rules: ', rule_reason) END,
     CASE WHEN zscore_anomaly = 1 THEN concat('route z-score: z=', {fixed('z_score', 2)}, ' against the route baseline exceeds the threshold 2.50')
       WHEN zscore_skipped THEN 'route z-score: too few orders on the route, not judged' END,
-    'isolation forest: switched off',
+    {text},
     concat('overall: ', anomaly_votes, CASE WHEN final_anomaly = 1 THEN ' of 3 methods hit, judged anomalous, severity '
       ELSE ' of 3 methods hit, not judged anomalous, severity ' END, severity)) AS reason
   FROM graded
 )"""
 
+
+DETECTED = detected()
+
 ROLLUPS = DETECTED + f""",
 overall AS (SELECT {share('sum(final_anomaly)', 'count(*)')} AS global_rate FROM detected),
 kpis AS (
@@ -516,6 +618,8 @@ FROM filled""")
     out["severity"] = w(DETECTED, "SELECT order_id, severity FROM detected")
     out["explain"] = w(DETECTED, "SELECT order_id, reason FROM detected")
     out["two_layer_detection"] = w(DETECTED, f"SELECT {EXPORT}, deviation_ratio, ship_month, ship_year, unit_freight, critical_rule, rule_reason, z_score, zscore_skipped, iforest_score, iforest_skipped, anomaly_votes FROM detected")
+    out["full_detection"] = w(detected(200), f"SELECT {EXPORT}, z_score, iforest_score, anomaly_votes FROM detected")
+    out["iforest_scores"] = w(numbered(BASE) + "," + forest(200, 5), "SELECT order_id, iforest_anomaly, iforest_score, false AS iforest_skipped FROM base JOIN forest USING (rid)")
     # rollups
     out["kpis"] = w(ROLLUPS, "SELECT * FROM kpis")
     out["severity_counts"] = w(ROLLUPS, "SELECT * FROM severity_counts")
@@ -615,6 +719,7 @@ SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, recommendati
     # first-generation variants
     out["v1_rules"] = w(V1, "SELECT order_id, rule_anomaly, rule_reason FROM v1rules")
     out["v1_zscore"] = w(V1, "SELECT order_id, zscore_anomaly, z_score FROM v1votes")
+    out["v1_iforest"] = w(numbered(BASE) + "," + forest(100, 4), "SELECT order_id, iforest_anomaly, iforest_score FROM base JOIN forest USING (rid)")
     out["v1_ensemble"] = w(V1, "SELECT order_id, anomaly_votes, final_anomaly, severity FROM v1")
     out["v1_kpis"] = w(V1, f"SELECT count(*) AS total_orders, CAST(sum(final_anomaly) AS BIGINT) AS total_anomalies, round_even({share('sum(final_anomaly)', 'count(*)')}, 4) AS anomaly_rate, round_even({exact_mean('delay_days')}, 2) AS avg_delay, CAST(max(delay_days) AS BIGINT) AS max_delay FROM v1")
     out["v1_carrier_stats"] = w(V1ROLL, "SELECT * FROM carriers1")
