@@ -1,6 +1,7 @@
 """Near duplicates by the Jaccard similarity of word n-gram sets, found with signature trees.
 
-1. Each text becomes the set of its hashed shingles, once; sets are staged, and texts with equal sets are one class from here on.
+1. Each text becomes the set of its hashed shingles; texts with equal sets are one class from here on. The lower half of a set's hashes is
+   staged, as prefixes lie in it.
 2. Prefix filter: with any fixed order of shingles, two sets that reach the threshold share one of their first
    n - ceil(t n) + 1. Shingles that several sets hold come last in that order, so that shared passages stay out of the
    prefixes of texts that have enough of their own. Which these are is counted among the first shingles of all sets by hash
@@ -40,6 +41,7 @@ MAP_PIECE = 1 << 18
 BITS_A_KEY = 16
 COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
 
+HALF = np.uint64(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,21 +242,28 @@ def _number(key: str) -> int:
     return int(key[:15], 16)
 
 
-def _measure(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """A row per document: its class, size, and sorted set as bytes."""
+def _low(s: np.ndarray, percent: int) -> np.ndarray:
+    """The lower half of the hashes, if it is sure to hold the prefix; else all of them."""
+    part = s[: np.searchsorted(s, HALF)]
+    return part if len(part) >= len(s) - needed(len(s), percent) + 1 else s
+
+
+def _measure(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
+    """A row per document: its class, the size of its set, and the part of it that prefixes come from, as bytes."""
     for batch in batches:
         sets = [shingles(t, n) for t in batch["text"]]
         yield pd.DataFrame({
             "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "size": [len(s) for s in sets],
-            "key": [class_key(s) if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets],
+            "key": [class_key(s) if len(s) else None for s in sets], "part": [_low(s, percent).tobytes() for s in sets],
         })
 
 
-def _joined_sets(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct sets of a batch one after the other, their sizes, and the number of each one's class."""
+def _joined_parts(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of a batch's distinct sets one after the other, their sizes, those of the sets, and the numbers of the classes."""
     batch = batch.drop_duplicates("key")
-    joined = np.frombuffer(b"".join(batch["shingles"]), np.uint64)
-    return joined, batch["size"].to_numpy(np.int64), np.array([_number(k) for k in batch["key"]], np.int64)
+    joined = np.frombuffer(b"".join(batch["part"]), np.uint64)
+    held = batch["part"].str.len().to_numpy(np.int64) // 8
+    return joined, held, batch["size"].to_numpy(np.int64), np.array([_number(k) for k in batch["key"]], np.int64)
 
 
 def _first(sizes: np.ndarray, upto: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -274,30 +283,34 @@ def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 def _counted(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        joined, sizes, numbers = _joined_sets(batch)
+        joined, held, sizes, numbers = _joined_parts(batch)
         upto = (COUNTED * _prefix_sizes(sizes, percent)).astype(np.int64)
-        kept = _first(sizes, upto, np.zeros(len(joined), bool))
-        yield pd.DataFrame({"k": np.repeat(numbers, sizes)[kept], "shingle": joined[kept].view(np.int64)})
+        kept = _first(held, upto, np.zeros(len(joined), bool))
+        yield pd.DataFrame({"k": np.repeat(numbers, held)[kept], "shingle": joined[kept].view(np.int64)})
 
 
 def _prefixes(
     batches: Iterator[pd.DataFrame], percent: int, shared: np.ndarray, wanted: np.ndarray | None
 ) -> Iterator[pd.DataFrame]:
-    """Prefix shingles of each set; with ``wanted`` only those in that bitmap."""
+    """Prefix shingles of each set; with ``wanted`` only those in that bitmap.
+
+    The order of all shingles is: those of the lower half that are not shared, the others of the lower half, the upper half.
+    """
     for batch in batches:
-        joined, sizes, numbers = _joined_sets(batch)
-        kept = _first(sizes, _prefix_sizes(sizes, percent), in_bitmap(shared, joined))
-        ids, found = np.repeat(numbers, sizes)[kept], joined[kept]
+        joined, held, sizes, numbers = _joined_parts(batch)
+        late = in_bitmap(shared, joined) | (joined >= HALF)
+        kept = _first(held, _prefix_sizes(sizes, percent), late)
+        ids, found = np.repeat(numbers, held)[kept], joined[kept]
         if wanted is not None:
             hit = in_bitmap(wanted, found)
             ids, found = ids[hit], found[hit]
         yield pd.DataFrame({"k": ids, "shingle": found.view(np.int64)})
 
 
-def _compare(frame: pd.DataFrame, percent: int, both: bool) -> pd.DataFrame:
+def _compare(frame: pd.DataFrame, n: int, percent: int, both: bool) -> pd.DataFrame:
     """Links within one block, or between its two sides, as pairs of classes."""
     frame = frame.sort_values(["side", "rep"]).drop_duplicates("rep" if both else ["side", "rep"])
-    sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+    sets = [shingles(t, n) for t in frame["text"]]
     known = [None if pd.isna(c) else int(c) for c in frame["component"]]
     reps = frame["rep"].tolist()
     found = join_sets(sets, frame["side"].tolist(), known, percent, both)
@@ -318,18 +331,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of near_duplicates with ``digest`` (of the text) and ``grp``, a number for all texts linked; null where nothing can link.
 
-    Texts are read once: their sets are staged, and all later steps read those. A class is named by the place of one of its rows.
+    Texts are split and hashed once; what prefixes come from is staged, and the steps that look for regions read that. Only
+    texts in regions are read again. A class is named by the place of one of its rows.
     """
     spark = docs.sparkSession
     texts = documents(docs).withColumn("digest", F.md5("text"))
-    sets = texts.mapInPandas(lambda x: _measure(x, n), "doc_id long, digest string, size int, key string, shingles binary")
-    rows = stage(sets.withColumn("place", F.monotonically_increasing_id()), "shingle-sets")
+    sets = texts.mapInPandas(lambda x: _measure(x, n, percent), "doc_id long, digest string, size int, key string, part binary")
+    rows = stage(sets.withColumn("place", F.monotonically_increasing_id()), "shingle-parts")
     named = rows.where("key is not null and doc_id is not null")
     classes = named.groupBy("key").agg(
-        F.min(F.struct("doc_id", F.col("place").alias("rep"))).alias("first"), F.first("size").alias("size")
+        F.min(F.struct("doc_id", F.col("place").alias("rep"), "digest")).alias("first"), F.first("size").alias("size")
     )
     classes = stage(classes.select("key", "first.*", "size"), "class-numbers")
-    held = named.select("key", "size", "shingles")
+    held = named.select("key", "size", "part")
     sent = []
 
     def send(bits: np.ndarray):
@@ -363,25 +377,27 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
     blocks = chosen.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
     chosen = stage(chosen.join(blocks.where("n > 1"), "region").drop("n"), "region-members")
-    some = send(bitmap(chosen.select(F.xxhash64("rep").alias("id")), "id"))
+    chosen = chosen.join(classes.select("rep", "doc_id", "digest"), "rep")
+    some = send(bitmap(chosen.select(F.xxhash64("doc_id", "digest").alias("id")), "id"))
 
     @F.pandas_udf("boolean")
     def may_be_chosen(hashes: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
 
-    found = rows.select(F.col("place").alias("rep"), "shingles").where(may_be_chosen(F.xxhash64("rep")))
-    parts = found.join(chosen, "rep").select(
-        "rep", "region", "shingles", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
+    found = texts.where("doc_id is not null").where(may_be_chosen(F.xxhash64("doc_id", "digest")))
+    found = found.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))  # repeated rows are one
+    parts = found.join(chosen, ["doc_id", "digest"]).select(
+        "rep", "region", "text", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
     )
-    parts = stage(parts, "region-sets")
+    parts = stage(parts, "region-texts")
     for bits in sent:  # what used them is staged
         bits.destroy()
-    links = _links(parts, percent)
+    links = _links(parts, n, percent)
     linked_reps = components(links).withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep")
     least = linked_reps.groupBy("component").agg(F.min("doc_id").alias("least"))
     linked_reps = linked_reps.join(least, "component").select("rep", "least", "component")
     named_classes = classes.select("key", F.col("doc_id").alias("first"), "rep").join(linked_reps, "rep", "left")
-    result = rows.drop("shingles").join(named_classes, "key", "left")
+    result = rows.drop("part").join(named_classes, "key", "left")
     known = F.col("doc_id").isNotNull()
     return result.select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
@@ -390,21 +406,21 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
-def _links(parts: DataFrame, percent: int) -> DataFrame:
+def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links that connect all that is connected, as pairs of classes (a, b)."""
     none = F.lit(None).cast("long").alias("component")
     large = parts.where("blocks > 1")
     pivots = large.groupBy("region", "blocks").agg(
         F.array_sort(F.collect_set(F.when(F.col("block") == 0, F.col("rep")))).alias("some")
     ).select("region", F.explode(F.slice("some", 1, PIVOTS)).alias("rep"), "blocks")
-    pivot_sets = parts.join(pivots.select("region", "rep"), ["region", "rep"]).select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "rep", "shingles"
+    pivot_texts = parts.join(pivots.select("region", "rep"), ["region", "rep"]).select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "rep", "text"
     )
-    own = parts.select("region", "block", F.lit(0).alias("side"), "rep", "shingles")
+    own = parts.select("region", "block", F.lit(0).alias("side"), "rep", "text")
     schema = "a long, b long"
     first = stage(
-        own.union(pivot_sets).select("region", "block", "side", "rep", none, "shingles")
-        .groupBy("region", "block").applyInPandas(lambda frame: _compare(frame, percent, both=True), schema),
+        own.union(pivot_texts).select("region", "block", "side", "rep", none, "text")
+        .groupBy("region", "block").applyInPandas(lambda frame: _compare(frame, n, percent, both=True), schema),
         "block-links",
     )
     if large.isEmpty():
@@ -420,14 +436,14 @@ def _links(parts: DataFrame, percent: int) -> DataFrame:
     rows = rest.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("strips"))
     left = rest.join(rows, "region").withColumn("strip", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("strips"))).select(
         "region", "strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(0).alias("side"), "rep", "component", "shingles",
+        F.lit(0).alias("side"), "rep", "component", "text",
     )
     right = state.join(rows, "region").select(
         "region", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"), "block",
-        F.lit(1).alias("side"), "rep", "component", "shingles",
+        F.lit(1).alias("side"), "rep", "component", "text",
     )
     second = left.union(right).groupBy("region", "strip", "block").applyInPandas(
-        lambda frame: _compare(frame, percent, both=False), schema
+        lambda frame: _compare(frame, n, percent, both=False), schema
     )
     return first.union(stage(second, "strip-links"))
 
