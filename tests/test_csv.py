@@ -6,7 +6,8 @@ import pytest
 from conftest import order_rows
 from tidewatch import DataValidationError, DetectorConfig, analyze_files
 from tidewatch.schema import HEADER_ALIASES
-from tidewatch.sources.csv_files import POSITION, file_signature, read_csv, union_sources, write_csv
+from tidewatch.sources import csv_files
+from tidewatch.sources.csv_files import POSITION, catalogue, file_signature, read_csv, union_sources, write_csv
 
 NAMES = {v: k for k, v in HEADER_ALIASES.items()}
 
@@ -24,12 +25,12 @@ def put(path, data):
 
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "gb18030", "gbk"])
 def test_encodings(spark, tmp_path, encoding):
-    text = csv_text(order_rows([0, 1], carriers=["承运商A"] * 2))
+    text = csv_text(order_rows([0, 1], carriers=["远航物流"] * 2))
     rows = read_csv(spark, put(tmp_path / "o.csv", text.encode(encoding))).rows
     assert rows.columns[0] == "order_id"
     known = "UTF-8" if encoding.startswith("utf") else "GB18030"
     assert read_csv(spark, str(tmp_path / "o.csv"), encoding=known).rows.count() == 2
-    assert [r["carrier"] for r in rows.collect()] == ["承运商A"] * 2
+    assert [r["carrier"] for r in rows.collect()] == ["远航物流"] * 2
 
 
 def test_files_of_mixed_encodings(spark, tmp_path):
@@ -40,7 +41,7 @@ def test_files_of_mixed_encodings(spark, tmp_path):
     assert {r["carrier"] for r in rows.collect()} == {"承运商0", "承运商1", "承运商2"}
 
 
-@pytest.mark.parametrize("data, message", [(b"", "empty"), (b" \n \n", "empty"), (b"a,b\x00c,d", "binary")])
+@pytest.mark.parametrize("data, message", [(b"", "empty"), (b" \n \n", "empty"), (b"port,tons\nwest\x00east,4\n", "binary")])
 def test_unusable_files(spark, tmp_path, data, message):
     with pytest.raises(DataValidationError, match=message):
         read_csv(spark, put(tmp_path / "x.csv", data))
@@ -86,6 +87,72 @@ def test_signature(spark, tmp_path):
     assert file_signature(spark, path).first()["signature"] == hashlib.sha256(b"abc").hexdigest()[:16]
 
 
+@pytest.mark.parametrize("data", [
+    b"", b"\n", b"x", b"x\n", b"\xef\xbb\xbfa,b\n1,2", b"\xef\xbb\xbfa\n", b"\n\n", b"a\r\nb\r\n", b"\xff\xfe\x00\n\x00", b"\xef\xbb\xbf",
+    b"line,of,text\n" * 200_000, b"y" * 3_000_000,
+])
+def test_signatures_are_those_of_the_bytes(spark, tmp_path, data):
+    path = put(tmp_path / "x.csv", data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")  # several splits
+    try:
+        got = file_signature(spark, [path, put(tmp_path / "other.csv", b"z\n")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["file"].rsplit("/", 1)[1]: r["signature"] for r in got} == {
+        "x.csv": hashlib.sha256(data).hexdigest()[:16], "other.csv": hashlib.sha256(b"z\n").hexdigest()[:16],
+    }
+
+
+def test_files_with_other_column_orders(spark, tmp_path):
+    put(tmp_path / "1.csv", b"order_id,carrier,mode\na,b,c\n")
+    put(tmp_path / "2.csv", b"mode,order_id,carrier\nc2,a2,b2\nc3,a3,b3\n")
+    put(tmp_path / "3.csv", "\ufeffcarrier,note,order_id\nb4,n,a4\n".encode())
+    rows = read_csv(spark, str(tmp_path)).rows
+    assert sorted(tuple(r) for r in rows.select("order_id", "carrier", "mode").fillna("-").collect()) == [
+        ("a", "b", "c"), ("a2", "b2", "c2"), ("a3", "b3", "c3"), ("a4", "b4", "-")
+    ]
+    assert rows.where("note = 'n'").count() == 1
+
+
+def test_many_files_are_read_by_kind(spark, tmp_path):
+    for i in range(60):
+        put(tmp_path / f"{i}.csv", b"a,b\n1,2\n" if i % 2 else b"b,a\n2,1\n")
+    files = catalogue(spark, str(tmp_path))
+    kinds = csv_files._kinds(files)
+    assert len(kinds) == 2 and sorted(len(names) for *_, names in kinds) == [30, 30]
+    rows = read_csv(spark, str(tmp_path)).rows
+    assert rows.where("a = '1' and b = '2'").count() == 60 == rows.count()
+
+
+def test_catalogue_rows(spark, tmp_path):
+    put(tmp_path / "good.csv", b'\n \na,b\n1,"x\ny"\n')
+    put(tmp_path / "none.csv", b"")
+    put(tmp_path / "open.csv", b'a\n"x\n')
+    put(tmp_path / "gb.csv", "名\n值\n".encode("gb18030"))
+    got = {r["file"].rsplit("/", 1)[1]: r for r in catalogue(spark, str(tmp_path)).collect()}
+    assert {k: r["problem"] for k, r in got.items()} == {
+        "good.csv": None, "none.csv": "empty file", "open.csv": "a quote is not closed", "gb.csv": None,
+    }
+    assert got["gb.csv"]["encoding"] == "GB18030" and got["good.csv"]["multiline"] and not got["gb.csv"]["multiline"]
+    assert bytes.fromhex(got["good.csv"]["header"]) == b"a,b"
+    assert got["gb.csv"]["size"] == 6 and got["none.csv"]["size"] == 0
+
+
+def test_unusable_files_can_go_to_the_quarantine(spark, tmp_path):
+    put(tmp_path / "good.csv", b"a\n1\n2,3\n")
+    put(tmp_path / "none.csv", b"")
+    put(tmp_path / "nul.csv", b"a\n\x00\n")
+    data = read_csv(spark, str(tmp_path), unusable="quarantine")
+    assert data.rows.count() == 1
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"], r["reason"]) for r in data.quarantine.collect()) == [
+        ("good.csv", "2,3", "too many fields"), ("none.csv", None, "empty file"), ("nul.csv", None, "binary content"),
+    ]
+    with pytest.raises(DataValidationError, match="empty file.*binary content"):
+        read_csv(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path), unusable="skip")
+
+
 def test_union_by_name(spark):
     a = spark.createDataFrame([(1, "x")], "a int, b string")
     b = spark.createDataFrame([("y", 2)], "b string, a int")

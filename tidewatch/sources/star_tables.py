@@ -140,6 +140,7 @@ def shipments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("weight_t"),
         money("l_extendedprice").alias("freight_usd"),
         F.when(part_mod(13), planned + 1).otherwise(planned).cast("string").alias("planned_days"),
+        F.when(F.col("l_suppkey") % 7 == 0, delay + 1).otherwise(delay).cast("string").alias("delay_days"),
         F.col("p_type").alias("cargo_type"),
         F.concat_ws(
             "|", F.date_format("l_shipdate", iso), "l_partkey", "l_suppkey",
