@@ -131,3 +131,11 @@ def test_seasonality_fills_the_grid(spark):
     assert len(got) == 24
     assert (got["p", 1], got["p", 2], got["p", 12], got["z", 7]) == (0.5, 1.5, 1.0, 0.0)
     assert throughput.seasonality_wide(throughput.port_seasonality(df)).columns[1:] == [str(m) for m in range(1, 13)]
+
+
+def test_a_summary_without_names_says_unknown(detected):
+    from tidewatch.operators.insight import summary_row
+
+    nameless = detected.withColumn("carrier", F.lit(None).cast("string"))
+    row = summary_row(nameless).first()
+    assert row["top_carrier"] is None and "sample adjustment: unknown (" in row["summary"]

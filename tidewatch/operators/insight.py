@@ -103,12 +103,12 @@ def summary_row(result: DataFrame) -> DataFrame:
         grouped(F.col("total_anomalies")), F.lit(" anomalies ("), percent(rate), F.lit("), risk level "),
         F.col("risk"), F.lit("; critical "), F.col("critical_orders").cast("string"),
         F.lit(", moderate "), F.col("moderate_orders").cast("string"),
-        F.lit(". Leading carrier after sample adjustment: "), F.col("top_carrier"),
+        F.lit(". Leading carrier after sample adjustment: "), F.coalesce("top_carrier", F.lit("unknown")),
         F.lit(" ("), F.col("top_carrier_orders").cast("string"), F.lit(" orders, "),
         F.col("top_carrier_anomalies").cast("string"), F.lit(" anomalies, rate "),
         percent(F.col("top_carrier_rate")), F.lit(")"),
         _small(F.col("top_carrier_sample"), ", a small sample that should not be judged alone"),
-        F.lit("; leading route: "), F.col("top_route"), F.lit(" ("),
+        F.lit("; leading route: "), F.coalesce("top_route", F.lit("unknown")), F.lit(" ("),
         F.col("top_route_orders").cast("string"), F.lit(" orders, rate "),
         percent(F.col("top_route_rate")), F.lit(")"),
         _small(F.col("top_route_sample"), ", to be reviewed with more data"),

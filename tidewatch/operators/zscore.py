@@ -26,11 +26,13 @@ def route_sums(base: DataFrame) -> DataFrame:
     )
 
 
-def zscore_columns(config: DetectorConfig) -> dict[str, Column]:
-    x, n = F.col("delay_days"), F.col("_n")
-    m = (n - 1).cast("double")
-    mean = (F.col("_sum") - x) / m
-    spread_sum = (F.col("_sumsq") - x * x) - m * mean * mean
+def zscore_columns(config: DetectorConfig, included: bool = True) -> dict[str, Column]:
+    """``included``: the row is one of those that its route's sums were taken over, and takes itself out."""
+    x, n = F.col("delay_days"), F.coalesce("_n", F.lit(0))
+    own, own_square = (x, x * x) if included else (F.lit(0.0), F.lit(0.0))
+    m = (n - (1 if included else 0)).cast("double")
+    mean = (F.col("_sum") - own) / F.nullif(m, F.lit(0.0))
+    spread_sum = (F.col("_sumsq") - own_square) - m * mean * mean
     variance = F.greatest(spread_sum, F.lit(0.0)) / F.greatest(m - 1, F.lit(1.0))
     z = (x - mean) / F.greatest(F.sqrt(variance), F.lit(MIN_SPREAD))
     small = n < config.min_group_size
@@ -42,11 +44,13 @@ def zscore_columns(config: DetectorConfig) -> dict[str, Column]:
     }
 
 
-def with_zscore(base: DataFrame, config: DetectorConfig, sums: DataFrame | None = None) -> DataFrame:
-    """Add the z-score columns. The route table is joined by its measured size."""
+def with_zscore(
+    base: DataFrame, config: DetectorConfig, sums: DataFrame | None = None, included: bool = True
+) -> DataFrame:
+    """Add the z-score columns. The route table is joined by its measured size; a route that it lacks is too small to judge."""
     sums = measured(route_sums(base)) if sums is None else sums
-    joined = base.join(sums, F.col("route") == F.col("_route"))
-    return joined.withColumns(zscore_columns(config)).drop("_route", "_n", "_sum", "_sumsq")
+    joined = base.join(sums, F.col("route") == F.col("_route"), "inner" if included else "left")
+    return joined.withColumns(zscore_columns(config, included)).drop("_route", "_n", "_sum", "_sumsq")
 
 
 def zscore_layer(

@@ -62,6 +62,7 @@ raw_once AS (
       WHEN l_partkey % 109 = 0 THEN '1,234' ELSE CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) END AS weight_t,
     CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS freight_usd,
     CAST(CASE WHEN l_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS VARCHAR) AS planned_days,
+    CAST({DELAY} + CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS delay_days,
     p_type AS cargo_type,
     concat_ws('|', strftime(l_shipdate, '%Y-%m-%d'), l_partkey, l_suppkey,
       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR),
@@ -79,7 +80,7 @@ raw AS (
 
 CONTENT = (
     "order_id, carrier, mode, origin, dest, ship_ts, plan_arrival_ts, actual_arrival_ts, "
-    "weight_t, freight_usd, planned_days, cargo_type"
+    "weight_t, freight_usd, planned_days, delay_days, cargo_type"
 )
 
 
@@ -106,7 +107,7 @@ NORMAL = RAW + f""",
 normal AS (
   SELECT {norm('order_id')} AS order_id, {norm('carrier')} AS carrier, {norm('mode')} AS mode,
     {norm('origin')} AS origin, {norm('dest')} AS dest, ship_ts, plan_arrival_ts, actual_arrival_ts,
-    weight_t, freight_usd, planned_days, cargo_type, src_ord, cp FROM raw
+    weight_t, freight_usd, planned_days, delay_days, cargo_type, src_ord, cp FROM raw
 )"""
 
 DEDUP = NORMAL + f""",
@@ -125,7 +126,7 @@ typed AS (
   SELECT order_id, carrier, mode, origin, dest, {date('ship_ts')} AS ship_ts,
     {date('plan_arrival_ts')} AS plan_arrival_ts, {date('actual_arrival_ts')} AS actual_arrival_ts,
     {number('weight_t')} AS weight_t, {number('freight_usd')} AS freight_usd,
-    {number('planned_days')} AS given_planned, coalesce({norm('cargo_type')}, 'unspecified') AS cargo_type, src_ord, cp
+    {number('planned_days')} AS given_planned, {number('delay_days')} AS given_delay, coalesce({norm('cargo_type')}, 'unspecified') AS cargo_type, src_ord, cp
   FROM kept
 ),
 dayed AS (
@@ -140,7 +141,8 @@ checked AS (
     (coalesce(weight_t <= 0, false) OR coalesce(freight_usd <= 0, false)) AS nonpositive,
     (coalesce(plan_arrival_ts < ship_ts, false) OR coalesce(actual_arrival_ts < ship_ts, false)) AS bad_sequence,
     coalesce(planned_days <= 0, false) AS zero_plan,
-    coalesce(abs(given_planned - planned_days) > 0.01, false) AS corrected_plan
+    coalesce(abs(given_planned - planned_days) > 0.01, false) AS corrected_plan,
+    coalesce(abs(given_delay - delay_days) > 0.01, false) AS corrected_delay
   FROM dayed
 ),
 valid AS (
@@ -152,11 +154,12 @@ quality AS (
   SELECT r.n AS raw_rows, v.n AS valid_rows, r.n - v.n AS dropped_rows, r.n - e.n AS exact_duplicates_removed,
     e.n - k.n AS duplicate_order_ids_removed, k.mt AS missing_required_value_rows, k.idt AS invalid_date_rows,
     k.inum AS invalid_numeric_rows, k.np AS nonpositive_numeric_rows, k.bs AS invalid_date_sequence_rows,
-    k.cpl AS corrected_plan_days_rows, CAST(0 AS BIGINT) AS corrected_delay_days_rows
+    k.cpl AS corrected_plan_days_rows, k.cdl AS corrected_delay_days_rows
   FROM (SELECT count(*) AS n FROM raw) r, (SELECT count(*) AS n FROM exact) e, (SELECT count(*) AS n FROM valid) v,
     (SELECT count(*) AS n, count(*) FILTER (missing_text) AS mt, count(*) FILTER (invalid_date) AS idt,
       count(*) FILTER (invalid_numeric) AS inum, count(*) FILTER (nonpositive) AS np,
-      count(*) FILTER (bad_sequence) AS bs, count(*) FILTER (corrected_plan) AS cpl FROM checked) k
+      count(*) FILTER (bad_sequence) AS bs, count(*) FILTER (corrected_plan) AS cpl,
+      count(*) FILTER (corrected_delay) AS cdl FROM checked) k
 ),
 metrics AS (
   SELECT 'delay_days' AS metric, delay_days AS value FROM valid
@@ -574,7 +577,7 @@ FROM flat"""
     # validation
     out["dedup_exact"] = w(DEDUP, f"SELECT {CONTENT}, src_ord, cp FROM exact")
     out["dedup_key"] = w(DEDUP, f"SELECT {CONTENT}, src_ord, cp FROM kept")
-    out["row_issues"] = w(CHECKED, "SELECT src_ord, cp, order_id, missing_text, invalid_date, invalid_numeric, nonpositive, bad_sequence, zero_plan, corrected_plan FROM checked")
+    out["row_issues"] = w(CHECKED, "SELECT src_ord, cp, order_id, missing_text, invalid_date, invalid_numeric, nonpositive, bad_sequence, zero_plan, corrected_plan, corrected_delay FROM checked")
     out["validate_orders"] = w(CHECKED, f"SELECT {valid_cols} FROM valid")
     out["quarantine"] = w(CHECKED, f"SELECT src_ord, cp, order_id, concat_ws(',', {issue_list}) AS issues FROM checked WHERE missing_text OR invalid_date OR invalid_numeric OR nonpositive OR bad_sequence OR zero_plan")
     out["quality_summary"] = w(QUALITY, "SELECT * FROM quality")
@@ -618,6 +621,22 @@ FROM filled""")
     out["severity"] = w(DETECTED, "SELECT order_id, severity FROM detected")
     out["explain"] = w(DETECTED, "SELECT order_id, reason FROM detected")
     out["two_layer_detection"] = w(DETECTED, f"SELECT {EXPORT}, deviation_ratio, ship_month, ship_year, unit_freight, critical_rule, rule_reason, z_score, zscore_skipped, iforest_score, iforest_skipped, anomaly_votes FROM detected")
+    verdicts = "SELECT order_id, z_score, zscore_skipped, rule_reason, anomaly_votes, anomaly_score, severity, reason FROM detected"
+    out["small_groups"] = w(DETECTED.replace("n < 5", "n < 20"), verdicts)
+    late = f"CAST({DELAY} AS DOUBLE) AS delay_days"
+    out["early_arrivals"] = w(DETECTED.replace(late, late.replace("AS DOUBLE)", "AS DOUBLE) - 3.0")), verdicts)
+    fine = ROLLUPS.replace("FROM detected GROUP BY carrier", "FROM (SELECT * REPLACE (concat_ws('/', carrier, route) AS carrier) FROM detected) GROUP BY carrier")
+    out["fine_carriers"] = w(fine, f"SELECT {carrier_cols} FROM carriers")
+    day, note = "CAST(planned_days AS INTEGER)", """CASE CAST(planned_days AS INTEGER) % 5 WHEN 0 THEN 'plain' WHEN 1 THEN '=1+1'
+      WHEN 2 THEN 'say "hi", ok' WHEN 3 THEN concat('two', chr(10), 'lines') END"""
+    freight = "CAST(CAST(freight_usd AS DECIMAL(18,2)) AS VARCHAR)"
+    out["csv_round_trip"] = w(SHIPMENTS, f"""
+SELECT 'row' AS kind, order_id, carrier, mode, origin, dest, {freight} AS freight_usd,
+  CASE {day} % 3 WHEN 0 THEN {escape(f'({note})')} WHEN 1 THEN {note} END AS note, NULL AS line
+FROM shipments WHERE {day} % 3 <> 2 OR {day} % 7 <> 0
+UNION ALL SELECT 'line', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  concat_ws(',', {freight}, order_id, dest, origin, mode, carrier, 'surplus') FROM shipments WHERE {day} % 3 = 2 AND {day} % 7 = 0
+UNION ALL SELECT 'file', NULL, NULL, NULL, NULL, NULL, NULL, NULL, unnest(['binary content', 'empty file'])""")
     out["full_detection"] = w(detected(200), f"SELECT {EXPORT}, z_score, iforest_score, anomaly_votes FROM detected")
     out["iforest_scores"] = w(numbered(BASE) + "," + forest(200, 5), "SELECT order_id, iforest_anomaly, iforest_score, false AS iforest_skipped FROM base JOIN forest USING (rid)")
     # rollups

@@ -18,8 +18,8 @@ from tidewatch.operators import metrics as M
 from tidewatch.operators import validate as V
 from tidewatch.plans.detect import detect, run_layers
 from tidewatch.sources import star_tables as T
-from tidewatch.sources.csv_files import union_sources
-from tidewatch.sources.staging import find_staged, stage
+from tidewatch.sources.csv_files import read_csv, union_sources, write_csv
+from tidewatch.sources.staging import find_staged, scratch, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,7 +127,7 @@ def dedup_key(spark, d):
 
 
 def row_issues(spark, d):
-    return checked(spark, d).select("src_ord", "cp", "order_id", *V.ISSUES, "corrected_plan")
+    return checked(spark, d).select("src_ord", "cp", "order_id", *V.ISSUES, "corrected_plan", "corrected_delay")
 
 
 def validate_orders(spark, d):
@@ -164,6 +164,43 @@ def union_of_sources(spark, d):
     return union_sources([dedup_exact(spark, d), dedup_key(spark, d)])
 
 
+# --- files --------------------------------------------------------------------------------------
+
+def csv_round_trip(spark, d):
+    """Shipments written as CSV files of three kinds beside two unusable ones, and read back together.
+
+    The kinds differ in encoding, header language, column order and columns; one has lines with a field too many.
+    """
+    folder, day = scratch(spark, "csv"), F.col("planned_days").cast("int")
+    note = (
+        F.when(day % 5 == 0, "plain").when(day % 5 == 1, "=1+1").when(day % 5 == 2, 'say "hi", ok')
+        .when(day % 5 == 3, "two\nlines")
+    )
+    rows = T.staged_shipments(spark, d).select(
+        "order_id", "carrier", "mode", "origin", "dest", F.col("freight_usd").cast("decimal(18,2)").cast("string").alias("freight_usd"),
+        note.alias("note"), day.alias("day"),
+    )
+    of = lambda k: rows.where(day % 3 == k)
+    names = ["order_id", "carrier", "mode", "origin", "dest", "freight_usd"]
+    write_csv(of(0).select(*names, "note"), f"{folder}/marked")
+    chinese = {v: k for k, v in S.HEADER_ALIASES.items()}
+    turned = of(1).select("note", *[F.col(c).alias(chinese[c]) for c in reversed(names)])
+    turned.write.option("header", True).option("encoding", "GB18030").option("escape", '"').csv(f"{folder}/turned")
+    order = ["freight_usd", "order_id", "dest", "origin", "mode", "carrier"]
+    line = F.concat(F.concat_ws(",", *order), F.when(day % 7 == 0, ",surplus").otherwise(""))
+    # one column whose name is the whole header; a tab is in none of its lines
+    of(2).select(line.alias(",".join(order))).write.option("header", True).option("sep", "\t").csv(f"{folder}/lines")
+    ports = T.table(spark, d, "nation").coalesce(1)
+    ports.select(F.concat("n_name", F.char(F.lit(0)))).write.text(f"{folder}/binary")
+    ports.select(F.lit("")).write.text(f"{folder}/empty")
+    kinds = ["marked", "turned", "lines", "binary", "empty"]
+    data = read_csv(spark, [f"{folder}/{k}" for k in kinds], unusable="quarantine")
+    good = data.rows.select(F.lit("row").alias("kind"), *names, "note", F.lit(None).cast("string").alias("line"))
+    kind = F.when(F.col("line").isNull(), "file").otherwise("line")
+    left = data.quarantine.select(kind.alias("kind"), F.coalesce("line", "reason").alias("line"))
+    return good.unionByName(left, allowMissingColumns=True)
+
+
 # --- throughput ---------------------------------------------------------------------------------
 
 def throughput_clean(spark, d):
@@ -216,6 +253,26 @@ def full_detection(spark, d):
     return result.select(*S.EXPORT_COLUMNS, *extra)
 
 
+def _verdicts(result: DataFrame) -> DataFrame:
+    return result.select("order_id", "z_score", "zscore_skipped", "rule_reason", "anomaly_votes", "anomaly_score", "severity", "reason")
+
+
+def small_groups(spark, d):
+    """Routes of fewer than 20 orders are not judged by their z-score."""
+    return _verdicts(run_layers(base(spark, d), DetectorConfig(min_group_size=20), forest=False))
+
+
+def early_arrivals(spark, d):
+    """Every order three days earlier, so that most arrive before their plan."""
+    orders = T.staged_shipments(spark, d).withColumn("delay_days", F.col("delay_days") - 3.0)
+    return _verdicts(run_layers(features.preprocess(orders), DetectorConfig(), forest=False))
+
+
+def fine_carriers(result: DataFrame) -> DataFrame:
+    """Carrier statistics by carrier and route: mostly groups too small to judge."""
+    return M.carrier_stats(result.withColumn("carrier", F.concat_ws("/", "carrier", "route")))
+
+
 # --- first-generation variants ------------------------------------------------------------------
 
 def v1(spark, d):
@@ -270,6 +327,7 @@ def queries() -> dict[str, Query]:
         "quality_cards": quality_cards,
         "quality_warnings": quality_warnings,
         "union_sources": union_of_sources,
+        "csv_round_trip": csv_round_trip,
         "throughput_clean": throughput_clean,
         "throughput_quality": throughput_quality,
         "top_ports": _of(throughput.top_ports, T.port_throughput),
@@ -286,6 +344,9 @@ def queries() -> dict[str, Query]:
         "ensemble": _of(lambda r: r, two_layer, "order_id", "anomaly_votes", "final_anomaly", "anomaly_score", "anomaly_methods"),
         "severity": _of(lambda r: r, two_layer, "order_id", "severity"),
         "explain": _of(lambda r: r, two_layer, "order_id", "reason"),
+        "small_groups": small_groups,
+        "early_arrivals": early_arrivals,
+        "fine_carriers": _of(fine_carriers),
         "two_layer_detection": two_layer_detection,
         "full_detection": full_detection,
         "kpis": _of(M.kpis),
