@@ -180,6 +180,7 @@ def csv_round_trip(spark, d):
         "order_id", "carrier", "mode", "origin", "dest", F.col("freight_usd").cast("decimal(18,2)").cast("string").alias("freight_usd"),
         note.alias("note"), day.alias("day"),
     )
+    day = F.col("day")
     of = lambda k: rows.where(day % 3 == k)
     names = ["order_id", "carrier", "mode", "origin", "dest", "freight_usd"]
     write_csv(of(0).select(*names, "note"), f"{folder}/marked")
