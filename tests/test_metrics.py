@@ -139,3 +139,28 @@ def test_a_summary_without_names_says_unknown(detected):
     nameless = detected.withColumn("carrier", F.lit(None).cast("string"))
     row = summary_row(nameless).first()
     assert row["top_carrier"] is None and "sample adjustment: unknown (" in row["summary"]
+
+
+def test_a_rollup_gives_every_table_from_one_scan(spark, detected, tmp_path):
+    path = str(tmp_path / "result")
+    odd = detected.withColumn("carrier", F.when(F.col("order_id") != "M-3", F.col("carrier")))
+    odd.write.parquet(path)
+    result = spark.read.parquet(path)
+    rollup = M.Rollup(result)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    tables = [
+        M.kpis, M.severity_counts, M.severity_share, M.ranked_carriers, M.ranked_routes, M.monthly_trend, M.method_counts,
+        report.kpi_cards, report.report_overview, report.report_carriers, report.report_routes, report.carrier_cards,
+    ]
+    for table in tables:
+        from_rollup = table(rollup)
+        assert same(from_rollup, table(result)), table.__name__
+        assert from_rollup.columns == table(result).columns
+        assert not set(from_rollup.inputFiles()) & set(result.inputFiles()), table.__name__  # no scan of the result
+    for table in (insight.summary_row, insight.analysis_prompt, report.recommendations, M.reason_counts, M.top_anomalies):
+        assert same(table(rollup), table(result)), table.__name__
+
+
+def test_a_rollup_of_nothing(detected):
+    rollup = M.Rollup(detected.where("1 = 0"))
+    assert M.kpis(rollup).first()["total_orders"] == 0 and M.carrier_stats(rollup).count() == 0

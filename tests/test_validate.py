@@ -217,3 +217,16 @@ def test_rows_flagged_on_a_stream(spark, orders, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("flagged").where("invalid_numeric").count() == 1
+
+
+def test_counts_are_observed_while_rows_are_staged(spark, orders):
+    from tidewatch.operators.validate import checked_orders, quality_summary, stage_with_quality
+
+    rows = order_rows([0, 1, 2, 3, 3])
+    rows[0]["weight_t"], rows[1]["ship_ts"], rows[2]["planned_days"] = "x", "never", "99"
+    rows.append(dict(rows[4], n=5))
+    checked = checked_orders(orders(rows=rows).repartition(3), ["n"])
+    staged, quality = stage_with_quality(checked)
+    assert quality.schema.names == quality_summary(checked).schema.names
+    assert quality.collect() == quality_summary(staged).collect()
+    assert quality.first()["exact_duplicates_removed"] == 1 and quality.first()["valid_rows"] == 3

@@ -73,7 +73,7 @@ def _joined(lines: DataFrame, order: list[str], line: Column, sep: str = "\n") -
 
 def summary_row(result: DataFrame) -> DataFrame:
     """The overall summary as fields of one row, with the summary text."""
-    severity = result.agg(*M.severity_columns())
+    severity = M.severity_levels(result)
     carrier = _first(M.ranked_carriers(result, 1))
     route = _first(M.ranked_routes(result, 1))
     reasons = M.reason_counts(result, 3).select(
@@ -149,7 +149,7 @@ def carrier_prompts(carriers: DataFrame) -> DataFrame:
 
 def analysis_prompt(result: DataFrame) -> DataFrame:
     """One bounded prompt for the whole data set: range, KPIs, top carriers, routes, reasons, cases."""
-    levels = _first(result.agg(*M.severity_columns()))
+    levels = _first(M.severity_levels(result))
     lines = insight_lines(result)
     block = lambda kind: _joined(
         lines.where(F.col("kind") == kind), ["position"], F.col("line")

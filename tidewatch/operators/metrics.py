@@ -1,4 +1,4 @@
-"""KPIs and rollups of a detection result. Every table here is one aggregate over one scan."""
+"""KPIs and rollups of a detection result. Every table here is one aggregate over one scan, or part of a rollup that several share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
-from tidewatch.functions.render import exact_mean
 from tidewatch.functions.rounding import round_even
 from tidewatch.sources.staging import measured
 
@@ -16,6 +15,10 @@ TOP_REASONS = 8
 TOP_ANOMALIES = 10
 
 
+LEVELS = {"all": [], "carrier": ["carrier"], "route": ["route"], "month": ["ship_year", "ship_month"]}
+METHODS = [("rules", "rule_anomaly"), ("route_zscore", "zscore_anomaly"), ("iforest", "iforest_anomaly")]
+
+
 def check_result(result: DataFrame) -> None:
     S.require_columns(result, S.METRICS_REQUIRED, "the detection result", ordered=False)
     S.require_rows(result, "the detection result")
@@ -29,27 +32,95 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def kpis(result: DataFrame) -> DataFrame:
+def _exact_sum(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(18,4)"))
+
+
+def measures() -> dict[str, Column]:
+    """What every rollup here is made of. A plan that reads some of them computes only those."""
+    anomaly = lambda c: F.sum(c).cast("bigint")
+    return {
+        "_rows": F.count("*"), "_ids": F.count("order_id"), "_anomalies": anomaly("final_anomaly"),
+        "_delays": F.count("delay_days"), "_delay_sum": _exact_sum("delay_days"), "_delay_max": F.max("delay_days"),
+        "_late": F.count_if(F.col("delay_days") > 0),
+        "_plans": F.count("planned_days"), "_plan_sum": _exact_sum("planned_days"),
+        "_from": F.min("ship_ts"), "_to": F.max("ship_ts"),
+        **{f"_{s}": F.count_if(F.col("severity") == s) for s in S.SEVERITIES},
+        **{f"_{c}": anomaly(c) for _, c in METHODS},
+    }
+
+
+def merged(name: str) -> Column:
+    """A measure of several groups together."""
+    if name in ("_delay_max", "_to"):
+        return F.max(name)
+    if name == "_from":
+        return F.min(name)
+    total = F.sum(name)
+    if name in ("_delay_sum", "_plan_sum"):
+        return total
+    counted = name not in ["_anomalies", *[f"_{c}" for _, c in METHODS]]
+    return (F.coalesce(total, F.lit(0)) if counted else total).cast("bigint")
+
+
+class Rollup:
+    """The measures of a result at all levels, from one scan (grouping sets), for several reports over one result.
+
+    Every function here and every report takes one in place of the result; those that need the rows read ``result``.
+    """
+
+    def __init__(self, result: DataFrame):
+        keys = [k for level in LEVELS.values() for k in level]
+        sets = [[F.col(k) for k in level] for level in LEVELS.values() if level]
+        cube = result.groupingSets(sets, *keys).agg(
+            *[c.alias(name) for name, c in measures().items()], F.grouping_id().alias("_level")
+        )
+        self.result, self.cube = result, measured(cube)
+
+    def at(self, level: str) -> DataFrame:
+        if not LEVELS[level]:  # a row of totals, also if there is no group
+            return self.at("carrier").agg(*[merged(name).alias(name) for name in measures()])
+        keys = [k for group in LEVELS.values() for k in group]
+        # a bit for every key that the level does not group by
+        number = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in LEVELS[level])
+        return self.cube.where(F.col("_level") == number).select(*LEVELS[level], *measures())
+
+
+def rows_of(result: DataFrame | Rollup) -> DataFrame:
+    return result.result if isinstance(result, Rollup) else result
+
+
+def _at(result: DataFrame | Rollup, level: str) -> DataFrame:
+    if isinstance(result, Rollup):
+        return result.at(level)
+    return result.groupBy(*LEVELS[level]).agg(*[c.alias(name) for name, c in measures().items()])
+
+
+def _mean(total: str, count: str) -> Column:
+    return F.try_divide(F.col(total).cast("double"), F.col(count))
+
+
+def kpis(result: DataFrame | Rollup) -> DataFrame:
     """Headline numbers in one row."""
-    anomalies = F.sum("final_anomaly").cast("bigint")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return result.agg(
-        F.count("*").alias("total_orders"),
-        anomalies.alias("total_anomalies"),
-        round_even(share(anomalies, F.count("*")), 6).alias("anomaly_rate"),
-        round_even(exact_mean(F.col("delay_days")), 2).alias("avg_delay"),
-        round_even(exact_mean(F.col("planned_days")), 2).alias("avg_planned_transit"),
-        round_even(F.max("delay_days"), 2).alias("max_delay"),
-        day(F.min("ship_ts")).alias("start_date"),
-        day(F.max("ship_ts")).alias("end_date"),
+    return _at(result, "all").select(
+        F.col("_rows").alias("total_orders"),
+        F.col("_anomalies").alias("total_anomalies"),
+        round_even(share(F.col("_anomalies"), F.col("_rows")), 6).alias("anomaly_rate"),
+        round_even(_mean("_delay_sum", "_delays"), 2).alias("avg_delay"),
+        round_even(_mean("_plan_sum", "_plans"), 2).alias("avg_planned_transit"),
+        round_even(F.col("_delay_max"), 2).alias("max_delay"),
+        day("_from").alias("start_date"),
+        day("_to").alias("end_date"),
     )
 
 
-def severity_columns() -> list[Column]:
-    return [F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES]
+def severity_levels(result: DataFrame | Rollup) -> DataFrame:
+    """One row with the orders of each severity."""
+    return _at(result, "all").select(*[F.col(f"_{s}").alias(s) for s in S.SEVERITIES])
 
 
-def severity_counts(result: DataFrame) -> DataFrame:
+def severity_counts(result: DataFrame | Rollup) -> DataFrame:
     """Orders per severity over the whole fixed domain, zeros included."""
     pairs = F.array(
         *[
@@ -57,7 +128,7 @@ def severity_counts(result: DataFrame) -> DataFrame:
             for i, s in enumerate(S.SEVERITIES, 1)
         ]
     )
-    return result.agg(*severity_columns()).select(F.inline(pairs))
+    return severity_levels(result).select(F.inline(pairs))
 
 
 def severity_count(counts: DataFrame, level: str) -> int:
@@ -66,7 +137,7 @@ def severity_count(counts: DataFrame, level: str) -> int:
     return int(row["orders"]) if row else 0
 
 
-def severity_share(result: DataFrame) -> DataFrame:
+def severity_share(result: DataFrame | Rollup) -> DataFrame:
     counts = severity_counts(result)
     total = F.greatest(F.sum("orders"), F.lit(1))
     # Four rows: the whole domain.
@@ -98,16 +169,20 @@ def _global_rate(grouped: DataFrame, anomalies: str) -> Column:
     return grouped.agg(share(F.sum(anomalies), F.sum("_rows")).alias("rate")).scalar()
 
 
-def carrier_stats(result: DataFrame) -> DataFrame:
-    critical = F.count_if(F.col("severity") == "critical")
-    grouped = measured(result.groupBy("carrier").agg(
-        F.count("order_id").alias("total_orders"),
-        round_even(exact_mean(F.col("delay_days")), 4).alias("avg_delay"),
-        round_even(share(F.count_if(F.col("delay_days") > 0), F.count("*")), 4).alias("late_rate"),
-        F.sum("final_anomaly").cast("bigint").alias("anomaly_orders"),
-        critical.alias("critical_orders"),
-        F.count("*").alias("_rows"),
-    ))
+def _grouped(result: DataFrame | Rollup, level: str, columns: dict[str, Column]) -> DataFrame:
+    """One level's table, materialised, since the overall rate is taken from it as well."""
+    rows = _at(result, level).select(*LEVELS[level], *[c.alias(n) for n, c in columns.items()], "_rows")
+    return rows if isinstance(result, Rollup) else measured(rows)
+
+
+def carrier_stats(result: DataFrame | Rollup) -> DataFrame:
+    grouped = _grouped(result, "carrier", {
+        "total_orders": F.col("_ids"),
+        "avg_delay": round_even(_mean("_delay_sum", "_delays"), 4),
+        "late_rate": round_even(share(F.col("_late"), F.col("_rows")), 4),
+        "anomaly_orders": F.col("_anomalies"),
+        "critical_orders": F.col("_critical"),
+    })
     rate = _global_rate(grouped, "anomaly_orders")
     return (
         with_smoothed_rate(
@@ -123,15 +198,14 @@ def carrier_rank() -> list[Column]:
     return [F.desc("smoothed_rate"), F.desc("total_orders"), F.asc("carrier")]
 
 
-def route_stats(result: DataFrame) -> DataFrame:
-    grouped = measured(result.groupBy("route").agg(
-        F.count("order_id").alias("orders"),
-        round_even(exact_mean(F.col("delay_days")), 4).alias("avg_delay"),
-        round_even(F.max("delay_days"), 4).alias("max_delay"),
-        F.sum("final_anomaly").cast("bigint").alias("anomalies"),
-        F.count_if(F.col("severity") == "critical").alias("critical_orders"),
-        F.count("*").alias("_rows"),
-    ))
+def route_stats(result: DataFrame | Rollup) -> DataFrame:
+    grouped = _grouped(result, "route", {
+        "orders": F.col("_ids"),
+        "avg_delay": round_even(_mean("_delay_sum", "_delays"), 4),
+        "max_delay": round_even(F.col("_delay_max"), 4),
+        "anomalies": F.col("_anomalies"),
+        "critical_orders": F.col("_critical"),
+    })
     rate = _global_rate(grouped, "anomalies")
     return (
         with_smoothed_rate(
@@ -147,42 +221,41 @@ def route_rank() -> list[Column]:
     return [F.desc("smoothed_rate"), F.desc("orders"), F.desc("avg_delay"), F.asc("route")]
 
 
-def ranked_carriers(result: DataFrame, top: int | None = None) -> DataFrame:
+def ranked_carriers(result: DataFrame | Rollup, top: int | None = None) -> DataFrame:
     df = carrier_stats(result).orderBy(*carrier_rank())
     return df if top is None else df.limit(top)
 
 
-def ranked_routes(result: DataFrame, top: int | None = None) -> DataFrame:
+def ranked_routes(result: DataFrame | Rollup, top: int | None = None) -> DataFrame:
     df = route_stats(result).orderBy(*route_rank())
     return df if top is None else df.limit(top)
 
 
-def monthly_trend(result: DataFrame) -> DataFrame:
+def monthly_trend(result: DataFrame | Rollup) -> DataFrame:
     label = F.concat_ws("-", "ship_year", F.lpad(F.col("ship_month").cast("string"), 2, "0"))
-    anomalies = F.sum("final_anomaly").cast("bigint")
-    return (
-        result.groupBy("ship_year", "ship_month")
-        .agg(
-            F.count("order_id").alias("orders"),
-            anomalies.alias("anomalies"),
-            round_even(exact_mean(F.col("delay_days")), 2).alias("avg_delay"),
-            round_even(share(anomalies, F.count("order_id")), 4).alias("anomaly_rate"),
-        )
-        .withColumn("month_label", label)
-        .orderBy(F.asc_nulls_last("ship_year"), F.asc_nulls_last("ship_month"))
-    )
+    return _at(result, "month").select(
+        "ship_year", "ship_month",
+        F.col("_ids").alias("orders"),
+        F.col("_anomalies").alias("anomalies"),
+        round_even(_mean("_delay_sum", "_delays"), 2).alias("avg_delay"),
+        round_even(share(F.col("_anomalies"), F.col("_ids")), 4).alias("anomaly_rate"),
+        label.alias("month_label"),
+    ).orderBy(F.asc_nulls_last("ship_year"), F.asc_nulls_last("ship_month"))
+
+
+def method_hits(result: DataFrame | Rollup) -> DataFrame:
+    """One row with the hits of each layer."""
+    return _at(result, "all").select(*[F.col(f"_{c}").alias(c) for _, c in METHODS])
 
 
-def method_counts(result: DataFrame) -> DataFrame:
-    methods = [("rules", "rule_anomaly"), ("route_zscore", "zscore_anomaly"), ("iforest", "iforest_anomaly")]
-    sums = result.agg(*[F.sum(c).cast("bigint").alias(c) for _, c in methods])
-    pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("hits")) for m, c in methods])
-    return sums.select(F.inline(pairs))
+def method_counts(result: DataFrame | Rollup) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("hits")) for m, c in METHODS])
+    return method_hits(result).select(F.inline(pairs))
 
 
-def reason_counts(result: DataFrame, top: int | None = TOP_REASONS) -> DataFrame:
+def reason_counts(result: DataFrame | Rollup, top: int | None = TOP_REASONS) -> DataFrame:
     counted = (
-        only_anomalies(result)
+        only_anomalies(rows_of(result))
         .select(F.explode("rule_codes").alias("rule"))
         .where(F.col("rule") != "")
         .groupBy("rule")
@@ -192,10 +265,10 @@ def reason_counts(result: DataFrame, top: int | None = TOP_REASONS) -> DataFrame
     return counted if top is None else counted.limit(top)
 
 
-def top_anomalies(result: DataFrame, top: int = TOP_ANOMALIES) -> DataFrame:
+def top_anomalies(result: DataFrame | Rollup, top: int = TOP_ANOMALIES) -> DataFrame:
     """Worst anomalies by score, then delay, then id; planned as a per-task top-k."""
     return (
-        only_anomalies(result)
+        only_anomalies(rows_of(result))
         .select(*S.TOP_COLUMNS)
         .orderBy(F.desc("anomaly_score"), F.desc("delay_days"), F.asc("order_id"))
         .limit(top)

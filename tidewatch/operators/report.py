@@ -14,7 +14,7 @@ from tidewatch.operators.insight import _first
 
 def kpi_cards(result: DataFrame) -> DataFrame:
     """Five labelled headline values as text."""
-    levels = _first(result.agg(*M.severity_columns()))
+    levels = _first(M.severity_levels(result))
     cards = [
         ("total_orders", grouped(F.col("total_orders"))),
         ("anomalies", grouped(F.col("total_anomalies"))),
@@ -100,8 +100,8 @@ def report_cases(result: DataFrame) -> DataFrame:
 def report_overview(result: DataFrame, config: DetectorConfig | None = None, quality: DataFrame | None = None) -> DataFrame:
     """Summary, data, quality and method sentences of the report, in order."""
     config = config or DetectorConfig()
-    levels = _first(result.agg(*M.severity_columns()))
-    hits = _first(result.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("rule_anomaly", "zscore_anomaly", "iforest_anomaly")]))
+    levels = _first(M.severity_levels(result))
+    hits = _first(M.method_hits(result))
     counted = lambda c: hits.getField(c).cast("string")
     sections = [
         ("summary", F.concat(
@@ -133,7 +133,7 @@ def report_overview(result: DataFrame, config: DetectorConfig | None = None, qua
 
 def recommendations(result: DataFrame) -> DataFrame:
     """The recommendations that apply, numbered."""
-    levels = result.agg(*M.severity_columns())
+    levels = M.severity_levels(result)
     carrier, route = _first(M.ranked_carriers(result, 1)), _first(M.ranked_routes(result, 1))
     c = carrier.getField
     small = F.when(c("sample_note") == "small_sample", F.lit(" (small sample, observe first)")).otherwise(F.lit(""))

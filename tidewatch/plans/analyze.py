@@ -27,9 +27,9 @@ class Analysis:
     extras: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def summary_tables(result: DataFrame) -> dict[str, DataFrame]:
+def summary_tables(result: DataFrame | M.Rollup) -> dict[str, DataFrame]:
     """KPI and rollup tables of a detection result."""
-    M.check_result(result)
+    M.check_result(M.rows_of(result))
     return {
         "kpis": M.kpis(result),
         "severity_counts": M.severity_counts(result),
@@ -42,13 +42,13 @@ def summary_tables(result: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def chart_tables(result: DataFrame, ports: DataFrame | None = None) -> dict[str, DataFrame]:
+def chart_tables(result: DataFrame | M.Rollup, ports: DataFrame | None = None) -> dict[str, DataFrame]:
     """The numbers behind each chart; port charts only with a throughput table."""
     tables = {
         "severity_share": M.severity_share(result),
         "carrier_chart": charts.carrier_chart(M.carrier_stats(result)),
-        "delay_histogram": charts.delay_histogram(result),
-        "delay_box": charts.delay_box(result),
+        "delay_histogram": charts.delay_histogram(M.rows_of(result)),
+        "delay_box": charts.delay_box(M.rows_of(result)),
     }
     if ports is not None:
         tables["port_annual"] = throughput.port_annual(ports)
@@ -56,7 +56,7 @@ def chart_tables(result: DataFrame, ports: DataFrame | None = None) -> dict[str,
     return tables
 
 
-def report_tables(result: DataFrame, config: DetectorConfig, quality: DataFrame | None = None) -> dict[str, DataFrame]:
+def report_tables(result: DataFrame | M.Rollup, config: DetectorConfig, quality: DataFrame | None = None) -> dict[str, DataFrame]:
     return {
         "summary": insight.summary_row(result),
         "kpi_cards": report.kpi_cards(result),
@@ -78,15 +78,17 @@ def analyze(
 ) -> Analysis:
     """Detect on a validated table and derive every table.
 
-    The result is staged once, so the forest scores each row once for all tables. A throughput
-    table only adds port charts; detection does not look at it.
+    The result is staged once, so the forest scores each row once for all tables, and rolled up once: totals, carriers, routes and
+    months come from one scan, whatever number of reports shows them. A throughput table only adds port charts; detection does not
+    look at it.
     """
     config = config or DetectorConfig()
     result = stage(detect(orders, config, unique=unique), "result")
+    rollup = M.Rollup(result)
     tables = {
-        **summary_tables(result),
-        **chart_tables(result, ports),
-        **report_tables(result, config, quality),
+        **summary_tables(rollup),
+        **chart_tables(rollup, ports),
+        **report_tables(rollup, config, quality),
         "anomalies": drilldown.export_view(result, True),
         "all_orders": drilldown.export_view(result, False),
     }
