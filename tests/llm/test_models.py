@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from compare import connect, differences
@@ -46,6 +47,68 @@ def test_blocks_do_not_change_counts(edges, monkeypatch):
     assert sorted(round(w[3], 6) for w in want) == sorted(round(r.base_score, 6) for r in got)
 
 
+def plain_scores(rows, apart):
+    """The model in plain Python: heads by exchange, other words by their neighbours, then class bigrams."""
+    n, taught = class_ngrams.CLASSES, [words(t) for d, t in rows if not apart(d)]
+    count = Counter(w for t in taught for w in t)
+    total = count.total() + len(taught)
+    heads = sorted((w for w in count if count[w] * class_ngrams.HEAD_SHARE >= total), key=lambda w: (-count[w], w))
+    place = {w: k + 1 for k, w in enumerate(heads)}
+    number = lambda t: [0, *[place.get(w, len(heads) + 1) for w in t], 0]
+    pairs = np.zeros((len(heads) + 2,) * 2)
+    for t in taught:
+        q = number(t)
+        for a, b in zip(q, q[1:]):
+            pairs[a, b] += 1
+    own = class_ngrams.exchange(pairs)
+    weights = class_ngrams.agreement(own, pairs)
+    agree = {}
+    for t in taught:
+        q = own[number(t)]
+        for k, w in enumerate(t):
+            if w not in place:
+                agree[w] = agree.get(w, 0) + weights[q[k]] + weights[n + q[k + 2]]
+    cls = {w: int(own[k]) for w, k in place.items()} | {w: 1 + int(np.argmax(a[1:])) for w, a in agree.items()}
+    stats, table = np.zeros((3, n + 1)), np.zeros((n + 1, n + 1))
+    stats[:, 0] = len(taught), len(taught) == 1, 1
+    for w, c in count.items():
+        stats[:, cls[w]] += c, c == 1, 1
+    for t in taught:
+        q = [0, *[cls[w] for w in t], 0]
+        for a, b in zip(q, q[1:]):
+            table[a, b] += 1
+    move, sizes = class_ngrams.log_model(stats, table)
+    out = []
+    for _, text in rows:
+        score, before = 0.0, 0
+        for w in [*words(text), None]:
+            c = 0 if w is None else cls.get(w, n)
+            seen = len(taught) if w is None else count[w] or 1
+            score, before = score + move[before, c] - sizes[c] + math.log10(seen), c
+        out.append(score)
+    return out
+
+
+def test_scores_equal_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(class_ngrams, "HEAD_SHARE", 40)
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()]
+    rows += [(1000, None), (1001, "never seen before"), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in class_ngrams.score_documents(docs, F.col("doc_id") % 5 == 1).collect()}
+    want = plain_scores(rows, lambda d: d % 5 == 1)
+    assert [got[d] for d, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
+def test_scores_depend_on_no_layout(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    runs = []
+    for parts, size in ((1, 12_000_000), (7, 12_000_000), (3, 20_000)):
+        monkeypatch.setattr(class_ngrams, "BLOCK_BYTES", size)
+        got = class_ngrams.score_documents(docs.repartition(parts), held_out("doc_id", 5, 1)).toPandas()
+        runs.append(got.sort_values("doc_id").reset_index(drop=True))
+    assert runs[0].equals(runs[1]) and runs[0].equals(runs[2])
+
+
 def test_classes_beat_single_words_on_texts_kept_out(spark):
     got = class_ngrams.score_documents(table(spark, SF, "documents"), held_out("doc_id", 5, 1)).toPandas()
     apart = got[got["held_out"]]

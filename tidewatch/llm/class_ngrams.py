@@ -1,11 +1,12 @@
 """Language-model scores by a class-based bigram model with Brown clustering.
 
 1. The corpus is staged in blocks of about BLOCK_BYTES of text. No block is larger than that and one document.
-2. Words that make up at least 1 / HEAD_SHARE of the training tokens, at most HEAD_SHARE of them, are clustered by exchange:
-   each in turn moves to the class that raises the likelihood of the class bigrams most.
+2. All words are counted. Those that make up at least 1 / HEAD_SHARE of the training tokens, at most HEAD_SHARE of them, are the heads.
+   They are clustered by exchange: each in turn moves to the class that raises the likelihood of the class bigrams most.
    Their bigram counts, summed over all training text, are at most HEAD_SHARE squared numbers.
-3. Each other word takes the class whose transitions agree best with the classes beside its occurrences. Blocks add
-   these up on their own and vote with their occurrences, so one shuffle counts all words and names their classes.
+3. Every other word takes the class that agrees best with its neighbours: the classes beside all its occurrences are counted, summed over
+   the corpus by word, and only then weighed with the heads' transitions. Sums are of whole numbers, so no class depends on how
+   the corpus is cut into files, partitions or blocks.
 4. Each block is then read once more beside the counts and classes of just its words. A document leaves the sums that scores
    need: log counts, and its class pairs. Transitions are summed from these, and a last narrow pass gives the scores.
 
@@ -21,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import documents, words
 from tidewatch.sources.staging import stage
 
 BLOCK_BYTES = 12_000_000
-HEAD_SHARE = 1000
+HEAD_SHARE = 3000
 CLASSES = 32  # the end has class 0, words that were not seen are of none and count as class CLASSES
 TAIL = CLASSES - 1  # while heads are clustered, all other words are of this class
 ROUNDS = 12
@@ -98,25 +101,38 @@ def _blocks(docs: DataFrame, training: Column) -> DataFrame:
     return stage(blocks.withColumn("doc_id", F.col("doc_id").cast(kind)), "corpus-blocks")
 
 
-def _heads(blocks: DataFrame) -> list[bytes]:
-    """The frequent words, most frequent first. A batch reports those frequent within it: a word of a share
-    of all tokens has that share in some batch."""
+def _by_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a task in frames of one block each; a block that two tasks share comes as two."""
+    parts, block = [], None
+    for batch in batches:
+        for this, part in batch.groupby("block", sort=False):
+            if parts and this != block:
+                yield pd.concat(parts)
+                parts = []
+            parts.append(part)
+            block = this
+    if parts:
+        yield pd.concat(parts)
+
+
+def _heads(blocks: DataFrame) -> tuple[dict[bytes, int], int]:
+    """The frequent words with their counts, most frequent first, and the number of training texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for frame in _by_blocks(batches):
             found: Counter = Counter()
-            for text in batch["text"]:
+            for text in frame["text"]:
                 found.update(words(text))
-            total = found.total() + len(batch)
-            often = {w: n for w, n in found.items() if n * HEAD_SHARE >= total}
-            yield pd.DataFrame({"word": [None, *often], "n": [total, *often.values()]})
+            yield pd.DataFrame({"word": [END, *found], "n": [len(frame), *found.values()]})
 
-    counted = blocks.where("train").select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counted.where("word is null").first()
-    if total is None:
-        return []
-    rows = counted.where((F.col("n") * HEAD_SHARE >= total["n"]) & F.col("word").isNotNull())  # at most HEAD_SHARE
-    return [bytes(r["word"]) for r in rows.orderBy(F.desc("n"), "word").collect()]
+    rows = blocks.where("train").select("block", "text")
+    counted = rows.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = rows.count()  # an end each
+    # a share needs the number of all tokens first: the counts are staged, and read twice
+    counted = stage(counted, "word-counts")
+    tokens = counted.agg(F.sum("n")).first()[0] or 0
+    often = counted.where((F.col("n") * HEAD_SHARE >= tokens) & (F.length("word") > 0))  # at most HEAD_SHARE
+    return {bytes(r["word"]): r["n"] for r in often.orderBy(F.desc("n"), "word").collect()}, total
 
 
 def _bigrams(blocks: DataFrame, heads: list[bytes]) -> np.ndarray:
@@ -141,54 +157,113 @@ def _bigrams(blocks: DataFrame, heads: list[bytes]) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def _votes(blocks: DataFrame, heads: list[bytes], own: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(block, word, n, class) for each distinct word of a block: its training count there and the class voted for."""
+LEFT, RIGHT = 0, CLASSES  # a context is the class before a word, or that after it beyond these
+MOST = 1023  # times that one entry counts a context; more take several
+_WORDS = "block long, word binary, n long, contexts binary"
+
+
+def _votes(blocks: DataFrame, heads: dict[bytes, int], own: np.ndarray) -> DataFrame:
+    """(block, word, n, contexts) for each word of a block that is no head: its training count there, and how often it had
+    which contexts, as 16-bit numbers (context and times)."""
+    fixed = {END: 0} | {w: int(own[k + 1]) for k, w in enumerate(heads)}
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _by_blocks(batches):
+            local = {w: k for k, w in enumerate(fixed)}
+            seqs, trains = [], []
+            for text, train in zip(frame["text"], frame["train"]):
+                seqs.append(np.array([0, *[local.setdefault(w, len(local)) for w in words(text)], 0]))
+                trains.append(train)
+            n, known = len(local), np.full(len(local), TAIL)
+            known[: len(fixed)] = list(fixed.values())
+            taught = [q for q, train in zip(seqs, trains) if train]
+            entries = offsets = None
+            count = np.zeros(n, np.int64)
+            if taught:
+                mid = np.concatenate([q[1:-1] for q in taught])
+                left = known[np.concatenate([q[:-2] for q in taught])]
+                right = known[np.concatenate([q[2:] for q in taught])]
+                count += np.bincount(mid, minlength=n)
+                size = 2 * CLASSES
+                at, times = np.unique(np.concatenate([mid * size + LEFT + left, mid * size + RIGHT + right]), return_counts=True)
+                pieces = -(-times // MOST)
+                last = np.cumsum(pieces) - 1
+                at, spread = np.repeat(at, pieces), np.full(int(pieces.sum()), MOST)
+                spread[last] = times - (pieces - 1) * MOST
+                entries = ((at % size) << 10 | spread).astype("<u2").tobytes()
+                offsets = 2 * np.searchsorted(at, np.arange(n + 1) * size)
+            names = list(local)[len(fixed):]
+            if not names:
+                continue
+            contexts = [entries[a:b] for a, b in zip(offsets[len(fixed):-1], offsets[len(fixed) + 1:])] if taught else [b""] * len(names)
+            yield pd.DataFrame({"block": frame["block"].iloc[0], "word": names, "n": count[len(fixed):], "contexts": contexts})
+
+    return blocks.select("block", "text", "train").mapInPandas(vote, _WORDS)
+
+
+def agreement(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """How well each class goes with each context, in whole millionths, from the heads' transitions."""
     member = np.eye(CLASSES)[own]
-    table = member.T @ pairs @ member + 0.1
-    share = table / table.sum()
+    share = member.T @ pairs @ member + 0.1
+    share /= share.sum()
     after = np.log(share / np.outer(share.sum(1), share.sum(0)))  # after[l, c]: how well c goes after l
-    before = after.T
-    fixed = {w: int(own[k + 1]) for k, w in enumerate(heads)} | {END: 0}
-
-    def vote(frame: pd.DataFrame) -> pd.DataFrame:
-        local: dict[bytes, int] = {END: 0}
-        seqs, trains = [], []
-        for text, train in zip(frame["text"], frame["train"]):
-            seqs.append(np.array([0, *[local.setdefault(w, len(local)) for w in words(text)], 0]))
-            trains.append(train)
-        n = len(local)
-        names = list(local)
-        known = np.array([fixed.get(w, TAIL) for w in names])
-        mids, lefts, rights, count = [], [], [], np.zeros(n, np.int64)
-        for seq, train in zip(seqs, trains):
-            if train:
-                np.add.at(count, seq[1:], 1)
-                mids.append(seq[1:-1])
-                lefts.append(known[seq[:-2]])
-                rights.append(known[seq[2:]])
-        best = known
-        if mids and sum(map(len, mids)):
-            mid, left, right = map(np.concatenate, (mids, lefts, rights))
-            top = np.full(n, -np.inf)
-            choice = np.full(n, TAIL)
-            for c in range(1, CLASSES):
-                score = np.bincount(mid, weights=after[left, c] + before[right, c], minlength=n)
-                better = score > top
-                top[better], choice[better] = score[better], c
-            loose = np.array([w not in fixed for w in names])
-            best = np.where(loose & (count > 0), choice, known)
-        return pd.DataFrame({"block": frame["block"].iloc[0], "word": names, "n": count, "class": best})
-
-    return blocks.groupBy("block").applyInPandas(vote, "block long, word binary, n long, class int")
-
-
-def _lexicon(votes: DataFrame) -> DataFrame:
-    """(block, word, count, class, first): for each word of a block what the whole training text says of it."""
-    word = Window.partitionBy("word")
-    rows = votes.withColumns({"count": F.sum("n").over(word), "owner": F.min("block").over(word)})
-    rows = rows.withColumn("votes", F.sum("n").over(Window.partitionBy("word", "class")))
-    rows = rows.withColumn("best", F.max(F.struct("votes", -F.col("class"))).over(word))
-    return rows.select("block", "word", "count", (-F.col("best.col2")).alias("class"), (F.col("owner") == F.col("block")).alias("first"))
+    return np.round(np.concatenate([after, after.T]) * 1e6)
+
+
+_LEXICON = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("count", pa.int64()), ("class", pa.int32()), ("first", pa.bool_())])
+
+
+def _lexicon(votes: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(block, word, count, class, first): for each word of a block what the whole training text says of it.
+
+    A word's rows follow each other; they wait, as numbers, until its last one has been added up.
+    """
+    size = 2 * CLASSES
+
+    def rows(word: list, blocks: list[np.ndarray], lengths: np.ndarray, counts: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        classes = (table @ weights)[:, 1:].argmax(1) + 1
+        place = np.repeat(np.arange(len(word)), lengths)
+        first = np.zeros(len(place), bool)
+        first[np.cumsum(lengths) - lengths] = True
+        values = [np.concatenate(blocks), pa.array(word, pa.binary()).take(pa.array(place)), counts[place], classes[place].astype(np.int32), first]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], schema=_LEXICON)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, waiting, count, table = None, [], 0, np.zeros(size)  # of the word that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("word")
+            change = np.ones(batch.num_rows, bool)
+            if batch.num_rows > 1:
+                change[1:] = pc.not_equal(names.slice(1), names.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(change)
+            ends = np.append(begin[1:], batch.num_rows)
+            group = np.cumsum(change) - 1
+            blocks, n = batch.column("block").to_numpy(), batch.column("n").to_numpy()
+            lengths = pc.binary_length(batch.column("contexts")).to_numpy(zero_copy_only=False) // 2
+            entries = np.frombuffer(b"".join(batch.column("contexts").to_pylist()), "<u2").astype(np.int64)
+            at = np.repeat(group, lengths) * size + (entries >> 10)
+            sums = np.bincount(at, weights=entries & MOST, minlength=len(begin) * size).reshape(-1, size)
+            counts = np.add.reduceat(n, begin)
+            heads = [names[int(i)].as_py() for i in begin]
+            spans = [blocks[a:b] for a, b in zip(begin, ends)]
+            if heads[0] == word:
+                waiting.append(spans[0])
+                count, table = count + counts[0], table + sums[0]
+                heads, spans, counts, sums = heads[1:], spans[1:], counts[1:], sums[1:]
+            if not heads:
+                continue
+            if waiting:
+                yield rows([word], waiting, np.array([sum(map(len, waiting))]), np.array([count]), table[None])
+            if len(heads) > 1:
+                yield rows(heads[:-1], spans[:-1], np.array([len(x) for x in spans[:-1]]), counts[:-1], sums[:-1])
+            word, waiting, count, table = heads[-1], [spans[-1]], counts[-1], sums[-1]
+        if waiting:
+            yield rows([word], waiting, np.array([sum(map(len, waiting))]), np.array([count]), table[None])
+
+    dealt = votes.repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(tell, "block long, word binary, count long, class int, first boolean")
 
 
 _SUMS = (
@@ -197,13 +272,16 @@ _SUMS = (
 )
 
 
-def _sums(blocks: DataFrame, lexicon: DataFrame, kind: str) -> DataFrame:
+def _sums(blocks: DataFrame, lexicon: DataFrame, kind: str, heads: dict[bytes, int], ends: int, own: np.ndarray) -> DataFrame:
     """A row per document (its sums and class pairs), and one per block with the statistics of the words it owns."""
     size = CLASSES + 1
+    known = np.array([ends, *heads.values()], np.int64)
+    of_known = own[: len(known)]
 
     def add(docs: pd.DataFrame, lex: pd.DataFrame) -> pd.DataFrame:
-        count, cls = lex["count"].to_numpy(), np.where(lex["count"] > 0, lex["class"], CLASSES)
-        place = {w: k for k, w in enumerate(map(bytes, lex["word"]))}
+        count = np.concatenate([known, lex["count"].to_numpy(np.int64)])
+        cls = np.where(count > 0, np.concatenate([of_known, lex["class"].to_numpy(np.int64)]), CLASSES)
+        place = {w: k for k, w in enumerate([END, *heads, *map(bytes, lex["word"])])}
         logs, halves = np.log10(np.maximum(count, 1)), np.log10(count + 0.5)
         rows = []
         for doc, text, train in zip(docs["doc_id"], docs["text"], docs["train"]):
@@ -212,7 +290,7 @@ def _sums(blocks: DataFrame, lexicon: DataFrame, kind: str) -> DataFrame:
             pairs, times = np.unique(np.concatenate([[0], c[:-1]]) * size + c, return_counts=True)
             rows.append((doc, train, len(seq), int((count[seq] > 0).sum()), float(logs[seq].sum()),
                          float(halves[seq].sum()), pairs, times, None))
-        mine = lex["first"].to_numpy() & (count > 0)
+        mine = np.concatenate([np.zeros(len(known), bool), lex["first"].to_numpy(bool)]) & (count > 0)
         stats = np.zeros((3, size))
         for k, weight in enumerate((count[mine], count[mine] == 1, np.ones(mine.sum()))):
             stats[k] = np.bincount(cls[mine], weights=weight, minlength=size)
@@ -220,7 +298,7 @@ def _sums(blocks: DataFrame, lexicon: DataFrame, kind: str) -> DataFrame:
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in _SUMS.split(", ")])
         return out.astype({"n_tokens": "Int64", "n_known": "Int64", "train": "boolean"} | ({"doc_id": "Int64"} if kind in ("bigint", "int") else {}))
 
-    # within a block the lexicon has every word that its documents use, the end included
+    # within a block the lexicon has every word that its documents use but the heads
     return blocks.groupBy("block").cogroup(lexicon.groupBy("block")).applyInPandas(add, _SUMS.format(kind))
 
 
@@ -268,14 +346,18 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(docs, ~held_out)
-    heads = _heads(blocks)
-    pairs = _bigrams(blocks, heads)
+    heads, ends = _heads(blocks)
+    pairs = _bigrams(blocks, list(heads))
     own = exchange(pairs)
-    sums = stage(_sums(blocks, _lexicon(_votes(blocks, heads, own, pairs)), kind), "class-sums")
+    lexicon = _lexicon(_votes(blocks, heads, own), agreement(own, pairs))
+    sums = stage(_sums(blocks, lexicon, kind, heads, ends, own), "class-sums")
     stats = np.zeros((3, CLASSES + 1))
+    for n, c in zip([ends, *heads.values()], own):
+        if n:
+            stats[:, c] += (n, n == 1, 1)
     found = sums.where("stats is not null").select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
     for k, v in found.collect():
-        stats.ravel()[k] = v
+        stats.ravel()[k] += v
     total, kinds = int(stats[0].sum()), int(stats[2].sum())
     log_move, log_sizes = log_model(stats, _transitions(sums))
     base_size = float(np.log10(total + 0.5 * (kinds + 1)))
