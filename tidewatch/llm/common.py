@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,12 @@ def hand_back() -> None:
         trim(0)
 
 
+def drop_read_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect garbage: Spark then deletes the shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def id_remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

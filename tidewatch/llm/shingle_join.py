@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Forest, components, documents, free_names, words
+from tidewatch.llm.common import Forest, components, documents, drop_read_shuffles, free_names, words
 from tidewatch.sources.staging import stage
 
 BLOCK = 2048  # classes of a region that one task compares
@@ -39,7 +39,7 @@ BITS_A_SHINGLE, LEAST_BITS, MOST_BITS = 4, 1 << 11, 1 << 16  # of a signature, b
 MAP_BITS = 1 << 26  # most bits of a bitmap that is sent to all tasks; a fuller one only lets more through
 MAP_PIECE = 1 << 18
 BITS_A_KEY = 16
-COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
+COUNTED = 1.0  # so many prefix lengths of a set's shingles are counted; affects speed only
 
 HALF = np.uint64(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -358,7 +358,9 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
         ).where("a < b")
 
     shared = send(bitmap(several(held.mapInPandas(lambda x: _counted(x, percent), pair)), "shingle"))
+    drop_read_shuffles(spark)
     met = stage(several(held.mapInPandas(lambda x: _prefixes(x, percent, shared.value, None), pair)), "met-shingles")
+    drop_read_shuffles(spark)
     crowded = met.where("c > 2").select("shingle", "a")
     wanted = send(bitmap(crowded, "shingle"))
     again = held.mapInPandas(lambda x: _prefixes(x, percent, shared.value, wanted.value), pair)
@@ -392,6 +394,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     parts = stage(parts, "region-texts")
     for bits in sent:  # what used them is staged
         bits.destroy()
+    drop_read_shuffles(spark)
     links = _links(parts, n, percent)
     linked_reps = components(links).withColumnRenamed("id", "rep").join(classes.select("rep", "doc_id"), "rep")
     least = linked_reps.groupBy("component").agg(F.min("doc_id").alias("least"))
