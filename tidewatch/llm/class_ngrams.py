@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, words
+from tidewatch.llm.common import documents, drop_read_shuffles, hand_back, words
 from tidewatch.sources.staging import stage
 
 BLOCK_BYTES = 12_000_000
@@ -124,6 +124,7 @@ def _heads(blocks: DataFrame) -> tuple[dict[bytes, int], int]:
             for text in frame["text"]:
                 found.update(words(text))
             yield pd.DataFrame({"word": [END, *found], "n": [len(frame), *found.values()]})
+        hand_back()
 
     rows = blocks.where("train").select("block", "text")
     counted = rows.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -197,6 +198,7 @@ def _votes(blocks: DataFrame, heads: dict[bytes, int], own: np.ndarray) -> DataF
                 continue
             contexts = [entries[a:b] for a, b in zip(offsets[len(fixed):-1], offsets[len(fixed) + 1:])] if taught else [b""] * len(names)
             yield pd.DataFrame({"block": frame["block"].iloc[0], "word": names, "n": count[len(fixed):], "contexts": contexts})
+        hand_back()
 
     return blocks.select("block", "text", "train").mapInPandas(vote, _WORDS)
 
@@ -347,6 +349,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(docs, ~held_out)
     heads, ends = _heads(blocks)
+    drop_read_shuffles(docs.sparkSession)
     pairs = _bigrams(blocks, list(heads))
     own = exchange(pairs)
     lexicon = _lexicon(_votes(blocks, heads, own), agreement(own, pairs))
