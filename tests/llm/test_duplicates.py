@@ -290,6 +290,15 @@ def test_fingerprints_weigh_a_dominating_word(spark):
     assert got[0].near_next < 0.1 and 0.4 < got[2].near_next < 0.9
 
 
+@pytest.mark.parametrize("reach", [0.7, weighted_sampling.REACH])
+def test_passing_over_words_changes_no_fingerprint(spark, edges, reach):
+    """Also where most draws are undecided at first, as with the smaller reach."""
+    docs = table(spark, SF, "documents").select("doc_id", "text").where("doc_id % 3 = 0").union(edges.select("doc_id", "text"))
+    whole = weighted_sampling.fingerprints(docs, reach=None)
+    fast = weighted_sampling.fingerprints(docs, reach=reach)
+    assert whole.count() > 0 and whole.exceptAll(fast).isEmpty() and fast.exceptAll(whole).isEmpty()
+
+
 def test_fingerprint_edges(spark, edges, none):
     import hashlib
 
