@@ -51,14 +51,22 @@ def _full_day(text: Column) -> Column:
     return F.concat(F.regexp_replace(text, HALF_DAY, " "), hour.cast("string"), F.lit(":"), part(2), part(3))
 
 
-def parse_timestamp(c: Column) -> Column:
-    """Mixed-layout text to a zone-free timestamp. A trailing Z is passed over."""
-    text = F.trim(c.cast("string"))
+def _as_iso(text: Column) -> Column:
+    """Text of another layout as ISO text."""
     text = F.when(text.rlike(HALF_DAY), _full_day(text)).when(
         text.rlike(r"\dZ$"), F.regexp_replace(text, "Z$", "")
     ).otherwise(text)
-    text = F.when(text.rlike(NAMED), _named_as_iso(text)).otherwise(F.regexp_replace(text, DATE_LAYOUTS, AS_ISO))
-    return F.when(text.rlike(ISO), text.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(NAMED), _named_as_iso(text)).otherwise(F.regexp_replace(text, DATE_LAYOUTS, AS_ISO))
+
+
+def parse_timestamp(c: Column) -> Column:
+    """Mixed-layout text to a zone-free timestamp. A trailing Z is passed over.
+
+    ISO text, the common case, fits no other layout, so one pattern settles it; the others are tried on the rest only.
+    """
+    text = F.trim(c.cast("string"))
+    other = _as_iso(text)
+    return F.when(text.rlike(ISO), text.try_cast("timestamp_ntz")).when(other.rlike(ISO), other.try_cast("timestamp_ntz"))
 
 
 def finite(c: Column) -> Column:
