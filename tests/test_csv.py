@@ -5,6 +5,7 @@ import pytest
 
 from conftest import order_rows
 from tidewatch import DataValidationError, DetectorConfig, analyze_files
+from tidewatch.plans.queries import queries
 from tidewatch.schema import HEADER_ALIASES
 from tidewatch.sources import csv_files
 from tidewatch.sources.csv_files import POSITION, catalogue, file_signature, read_csv, union_sources, write_csv
@@ -200,3 +201,15 @@ def test_other_encodings_need_the_setting(spark, tmp_path):
             read_csv(spark, path)
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def test_a_session_that_does_not_say_reads_other_encodings(spark, tmp_path):
+    path = put(tmp_path / "x.csv", "名\n远\n".encode("gb18030"))
+    spark.conf.unset(csv_files.CHARSETS)
+    try:
+        assert [r["名"] for r in read_csv(spark, path).rows.collect()] == ["远"]
+        spark.conf.unset(csv_files.CHARSETS)
+        assert csv_files.allow_charsets(spark)
+        assert queries()["csv_round_trip"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.set(csv_files.CHARSETS, "true")
