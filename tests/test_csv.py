@@ -213,3 +213,17 @@ def test_a_session_that_does_not_say_reads_other_encodings(spark, tmp_path):
         assert queries()["csv_round_trip"](spark, "/root/testdata/sf0.001").count() > 0
     finally:
         spark.conf.set(csv_files.CHARSETS, "true")
+
+
+def test_signatures_of_several_files_without_bytes(spark, tmp_path):
+    data = {"a b.csv": b"", "c[1].csv": b"", "d*.csv": b"\xef\xbb\xbf", "e%.csv": b"x\n"}
+    for name, content in data.items():
+        put(tmp_path / name, content)
+    got = file_signature(spark, str(tmp_path)).collect()
+    assert sorted(r["signature"] for r in got) == sorted(hashlib.sha256(x).hexdigest()[:16] for x in data.values())
+
+
+def test_files_with_signs_in_their_names(spark, tmp_path):
+    for i, name in enumerate(["a b.csv", "c[1].csv", "e%20.csv", "{f}.csv"]):
+        put(tmp_path / name, f"a,b\n{i},2\n".encode())
+    assert sorted(r["a"] for r in read_csv(spark, str(tmp_path)).rows.collect()) == ["0", "1", "2", "3"]
