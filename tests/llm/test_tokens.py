@@ -152,3 +152,27 @@ def test_rank_encoding_equals_the_library(edges, sizes):
 
 def test_rank_encoding_of_nothing(none):
     assert rank_bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_parts_are_those_of_the_vocabulary():
+    latin = [chr(c) for c in range(0x250)]
+    texts = [f"{a} {b}{a}'s{b}1" for a, b in zip(latin, latin[::-1])] + [a + b + " x" for a in " \t\n\x85\xa0\x1c" for b in latin]
+    for text in [*texts, "it's  we'll\n\n 12² é'd ", "a ɐ b", "多 语 's "]:
+        assert "".join(tokens.parts_of(text)) == text
+        assert tokens.parts_of(text) == tokens._PARTS(text)
+
+
+def test_words_of_a_task_are_merged_once():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**i % 26] for i in range(4)) + "tion"
+    texts = [" ".join(word(1000 * j + k) for k in range(1000)) for j in range(100)]
+    enc, asked = tokens.PieceEncoder(BYTE_BPE), []
+    learn = enc._learn
+    enc._learn = lambda missing: (asked.append(len(missing)), learn(missing))
+    enc.encode(texts)
+    first = sum(asked)
+    assert first == 100_000
+    enc.encode(texts)
+    assert sum(asked) == first
+    enc.encode([text + "." for text in texts])  # with other signs beside them the words are still known
+    assert sum(asked) <= first + 1
