@@ -177,6 +177,13 @@ def test_line_runs_equal_brute_force(spark, least):
     assert any(r.lines_removed for r in got)
 
 
+def test_texts_that_lose_nothing_stay_where_they_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, prose(k * 50, 60, 99)) for k in range(8)] + [(9, prose(0, 60, 99))], "doc_id long, text string")
+    marked = line_dedup.mark_repeats(docs)
+    assert "may_change" in marked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in marked.collect() if r.nothing_left) == [9] and marked.count() == 9
+
+
 def test_shortest_runs():
     got = line_dedup.shortest_runs(np.array([60, 5, 30, 30]), 50).tolist()
     assert got == [[0, 1], [0, 2], [1, 3], [2, 2]] or [0, 2] in got and [2, 2] in got and [0, 1] in got

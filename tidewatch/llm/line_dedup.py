@@ -10,17 +10,18 @@
    (2^k <= L < 2^(k+1)). The union of these runs is the union of all maximal repeated runs that count.
    As a run has at most ``min_words`` lines, few levels suffice.
 5. The first run of an interval stays. The lines of the others go, and with them documents of which nothing is left.
+   A bitmap of fixed size tells most texts that lose nothing; these are not shuffled.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import free_names
+from tidewatch.llm.shingle_join import bitmap, in_bitmap
 from tidewatch.sources.staging import stage
 
 MIN_WORDS = 50
@@ -188,9 +189,21 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     changes = repeated_runs(docs, min_words).select(
         F.col("d").alias(doc), F.col("h").alias(digest), F.col("whole").alias(whole), F.col("spans").alias(spans)
     )
+    changes = stage(changes, "line-changes")
+    some = docs.sparkSession.sparkContext.broadcast(bitmap(changes.select(F.xxhash64(doc, digest).alias("id")), "id"))
+
+    @F.pandas_udf("boolean")
+    def may_change(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
+
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), digest: F.xxhash64(text)})
-    rows = rows.join(changes, [doc, digest], "left")
+    # only texts that the bitmap lets through travel to the changes; all others stay where they are
+    id_ = F.xxhash64(doc, digest)
+    untouched = rows.where(~may_change(id_)).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias(removed), F.lit(False).alias(nothing)
+    )
+    rows = rows.where(may_change(id_)).join(changes, [doc, digest], "left")
     without = F.pandas_udf(_without, "text string, removed int, left int")
     cut = rows.where(F.col(spans).isNotNull()).withColumn(new, without("text", spans))
     cut = cut.select(*[F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
@@ -200,7 +213,7 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         *[F.when(F.col(whole), "").otherwise(F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col(whole), n_lines).otherwise(0).alias(removed), F.coalesce(whole, F.lit(False)).alias(nothing),
     )
-    return cut.unionByName(rest)
+    return cut.unionByName(rest).unionByName(untouched)
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
