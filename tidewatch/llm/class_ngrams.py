@@ -98,7 +98,7 @@ def _blocks(docs: DataFrame, training: Column) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     blocks = rows.mapInPandas(number, "doc_id string, text string, train boolean, block long")
-    return stage(blocks.withColumn("doc_id", F.col("doc_id").cast(kind)), "corpus-blocks")
+    return stage(blocks.withColumn("doc_id", F.col("doc_id").cast(kind)), "corpus-blocks", compression="zstd")
 
 
 def _by_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,11 +160,11 @@ def _bigrams(blocks: DataFrame, heads: list[bytes]) -> np.ndarray:
 
 LEFT, RIGHT = 0, CLASSES  # a context is the class before a word, or that after it beyond these
 MOST = 1023  # times that one entry counts a context; more take several
-_WORDS = "block long, word binary, n long, contexts binary"
+_WORDS = "block long, word binary, contexts binary"
 
 
 def _votes(blocks: DataFrame, heads: dict[bytes, int], own: np.ndarray) -> DataFrame:
-    """(block, word, n, contexts) for each word of a block that is no head: its training count there, and how often it had
+    """(block, word, contexts) for each word of a block that is no head: how often its occurrences in training texts had
     which contexts, as 16-bit numbers (context and times)."""
     fixed = {END: 0} | {w: int(own[k + 1]) for k, w in enumerate(heads)}
 
@@ -179,12 +179,10 @@ def _votes(blocks: DataFrame, heads: dict[bytes, int], own: np.ndarray) -> DataF
             known[: len(fixed)] = list(fixed.values())
             taught = [q for q, train in zip(seqs, trains) if train]
             entries = offsets = None
-            count = np.zeros(n, np.int64)
             if taught:
                 mid = np.concatenate([q[1:-1] for q in taught])
                 left = known[np.concatenate([q[:-2] for q in taught])]
                 right = known[np.concatenate([q[2:] for q in taught])]
-                count += np.bincount(mid, minlength=n)
                 size = 2 * CLASSES
                 at, times = np.unique(np.concatenate([mid * size + LEFT + left, mid * size + RIGHT + right]), return_counts=True)
                 pieces = -(-times // MOST)
@@ -197,7 +195,7 @@ def _votes(blocks: DataFrame, heads: dict[bytes, int], own: np.ndarray) -> DataF
             if not names:
                 continue
             contexts = [entries[a:b] for a, b in zip(offsets[len(fixed):-1], offsets[len(fixed) + 1:])] if taught else [b""] * len(names)
-            yield pd.DataFrame({"block": frame["block"].iloc[0], "word": names, "n": count[len(fixed):], "contexts": contexts})
+            yield pd.DataFrame({"block": frame["block"].iloc[0], "word": names, "contexts": contexts})
         hand_back()
 
     return blocks.select("block", "text", "train").mapInPandas(vote, _WORDS)
@@ -212,11 +210,12 @@ def agreement(own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.round(np.concatenate([after, after.T]) * 1e6)
 
 
-_LEXICON = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("count", pa.int64()), ("class", pa.int32()), ("first", pa.bool_())])
+_LEXICON = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("known", pa.int64())])  # known: count, class and first
+FIRST, CLASS_BITS = 1, 5  # the lowest bit, and the number of bits above it
 
 
 def _lexicon(votes: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(block, word, count, class, first): for each word of a block what the whole training text says of it.
+    """(block, word, known): for each word of a block what the whole training text says of it, in one number as it is shuffled.
 
     A word's rows follow each other; they wait, as numbers, until its last one has been added up.
     """
@@ -225,9 +224,9 @@ def _lexicon(votes: DataFrame, weights: np.ndarray) -> DataFrame:
     def rows(word: list, blocks: list[np.ndarray], lengths: np.ndarray, counts: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
         classes = (table @ weights)[:, 1:].argmax(1) + 1
         place = np.repeat(np.arange(len(word)), lengths)
-        first = np.zeros(len(place), bool)
-        first[np.cumsum(lengths) - lengths] = True
-        values = [np.concatenate(blocks), pa.array(word, pa.binary()).take(pa.array(place)), counts[place], classes[place].astype(np.int32), first]
+        known = (counts << CLASS_BITS + 1 | classes << 1)[place]
+        known[np.cumsum(lengths) - lengths] |= FIRST
+        values = [np.concatenate(blocks), pa.array(word, pa.binary()).take(pa.array(place)), known]
         return pa.RecordBatch.from_arrays([pa.array(v) for v in values], schema=_LEXICON)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +241,12 @@ def _lexicon(votes: DataFrame, weights: np.ndarray) -> DataFrame:
             begin = np.flatnonzero(change)
             ends = np.append(begin[1:], batch.num_rows)
             group = np.cumsum(change) - 1
-            blocks, n = batch.column("block").to_numpy(), batch.column("n").to_numpy()
+            blocks = batch.column("block").to_numpy()
             lengths = pc.binary_length(batch.column("contexts")).to_numpy(zero_copy_only=False) // 2
             entries = np.frombuffer(b"".join(batch.column("contexts").to_pylist()), "<u2").astype(np.int64)
             at = np.repeat(group, lengths) * size + (entries >> 10)
             sums = np.bincount(at, weights=entries & MOST, minlength=len(begin) * size).reshape(-1, size)
-            counts = np.add.reduceat(n, begin)
+            counts = sums[:, LEFT : LEFT + CLASSES].sum(1).astype(np.int64)  # each occurrence has one context before it
             heads = [names[int(i)].as_py() for i in begin]
             spans = [blocks[a:b] for a, b in zip(begin, ends)]
             if heads[0] == word:
@@ -265,7 +264,7 @@ def _lexicon(votes: DataFrame, weights: np.ndarray) -> DataFrame:
             yield rows([word], waiting, np.array([sum(map(len, waiting))]), np.array([count]), table[None])
 
     dealt = votes.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(tell, "block long, word binary, count long, class int, first boolean")
+    return dealt.mapInArrow(tell, "block long, word binary, known long")
 
 
 _SUMS = (
@@ -281,8 +280,9 @@ def _sums(blocks: DataFrame, lexicon: DataFrame, kind: str, heads: dict[bytes, i
     of_known = own[: len(known)]
 
     def add(docs: pd.DataFrame, lex: pd.DataFrame) -> pd.DataFrame:
-        count = np.concatenate([known, lex["count"].to_numpy(np.int64)])
-        cls = np.where(count > 0, np.concatenate([of_known, lex["class"].to_numpy(np.int64)]), CLASSES)
+        told = lex["known"].to_numpy(np.int64)
+        count = np.concatenate([known, told >> CLASS_BITS + 1])
+        cls = np.where(count > 0, np.concatenate([of_known, told >> 1 & (1 << CLASS_BITS) - 1]), CLASSES)
         place = {w: k for k, w in enumerate([END, *heads, *map(bytes, lex["word"])])}
         logs, halves = np.log10(np.maximum(count, 1)), np.log10(count + 0.5)
         rows = []
@@ -292,7 +292,7 @@ def _sums(blocks: DataFrame, lexicon: DataFrame, kind: str, heads: dict[bytes, i
             pairs, times = np.unique(np.concatenate([[0], c[:-1]]) * size + c, return_counts=True)
             rows.append((doc, train, len(seq), int((count[seq] > 0).sum()), float(logs[seq].sum()),
                          float(halves[seq].sum()), pairs, times, None))
-        mine = np.concatenate([np.zeros(len(known), bool), lex["first"].to_numpy(bool)]) & (count > 0)
+        mine = np.concatenate([np.zeros(len(known), bool), (told & FIRST).astype(bool)]) & (count > 0)
         stats = np.zeros((3, size))
         for k, weight in enumerate((count[mine], count[mine] == 1, np.ones(mine.sum()))):
             stats[k] = np.bincount(cls[mine], weights=weight, minlength=size)
