@@ -1,5 +1,9 @@
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline
-from tidewatch.llm.common import table
+from tidewatch.llm import line_dedup, quality
+from tidewatch.llm.common import held_out, in_slices, table
 from tidewatch.sources.staging import stage
 from llm_texts import edges  # noqa: F401
 from test_duplicates import jaccard_groups, without_repeats
@@ -72,3 +76,51 @@ def test_classifier_keeps_what_scores_enough(spark):
 def test_missing_labels_reject_nothing(spark, edges):
     model = corpus_pipeline.quality.fit(edges, table(spark, SF, "labels").where("1 = 0"), corpus_pipeline.F.lit(True))
     assert model is None
+
+
+def python_nodes_in_a_task(df):
+    """The most nodes of a plan that run Python one above the other without a shuffle between, so at once in one task."""
+    most, above = 0, []  # (depth, nodes so far) of each ancestor
+    for row in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = next((k for k, c in enumerate(row) if c.isalpha()), None)
+        if depth is None:
+            continue
+        while above and above[-1][0] >= depth:
+            above.pop()
+        count = 0 if "Exchange" in row[depth:].split(" ")[0] else (above[-1][1] if above else 0)
+        count += any(x in row[depth:].split(" ")[0] for x in ("EvalPython", "InPandas", "InArrow"))
+        above.append((depth, count))
+        most = max(most, count)
+    return most
+
+
+def test_no_task_has_several_python_workers(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    assert python_nodes_in_a_task(corpus_pipeline.dedup_lines(spark, docs, SF)) == 1
+    assert python_nodes_in_a_task(line_dedup.mark_repeats(docs)) == 1
+    taught = []
+    moments = quality._moments
+    try:
+        quality._moments = lambda frame: taught.append(quality._sums(frame)) or moments(frame)
+        quality.fit(docs, labels, ~held_out("doc_id", 4, 2))
+    finally:
+        quality._moments = moments
+    assert python_nodes_in_a_task(taught[0]) == 1
+
+
+def test_moments_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(50, len(quality.STATISTICS))), rng.integers(0, 2, 50)
+    frame = spark.createDataFrame([(int(q), v.tolist()) for q, v in zip(y, x)], "quality long, x array<double>").repartition(3)
+    for label, got in quality._moments(frame).items():
+        part = np.column_stack([np.ones((y == label).sum()), x[y == label]])
+        assert np.allclose(got, part.T @ part, rtol=1e-12, atol=1e-12)
+
+
+def test_slices_hold_all_rows_in_order():
+    batches = [pd.DataFrame({"k": range(n), "v": [w] * n}) for w, n in enumerate((2500, 0, 7))]
+    parts = list(in_slices(iter(batches), rows=1000))
+    assert [len(p) for p in parts] == [1000, 1000, 500, 7]
+    assert pd.concat(parts).equals(pd.concat([batches[0], batches[2]]))
+    again = pd.DataFrame({"k": [1, 1, 2, 1], "v": [5, 6, 7, 8]})
+    assert pd.concat(in_slices(iter([again]), key="k"))["v"].tolist() == [5, 7]

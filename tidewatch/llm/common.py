@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.staging import stage
 
+SLICE_ROWS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +45,20 @@ def hand_back() -> None:
         trim(0)
 
 
+def in_slices(batches: Iterator[pd.DataFrame], key: str | None = None, rows: int = SLICE_ROWS) -> Iterator[pd.DataFrame]:
+    """The rows of a task's batches, few at a time, so that what is made of them stays small; at the end freed memory goes back.
+
+    With a ``key`` only the first row of each key in a batch.
+    """
+    for batch in batches:
+        if key is not None:
+            batch = batch.drop_duplicates(key)
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows].copy()  # a view would keep the whole batch
+        del batch
+    hand_back()
+
+
 def drop_read_shuffles(spark: SparkSession) -> None:
     """Let the driver collect garbage: Spark then deletes the shuffle files that no plan refers to any more."""
     gc.collect()

@@ -15,12 +15,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import free_names
+from tidewatch.llm.common import free_names, hand_back
 from tidewatch.llm.shingle_join import bitmap, in_bitmap
 from tidewatch.sources.staging import stage
 
@@ -162,6 +164,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, spans in batches:
+        yield _without(texts, spans)
+        del texts, spans
+    hand_back()
+
+
 def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for text, some in zip(texts, spans):
@@ -193,8 +202,10 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     some = docs.sparkSession.sparkContext.broadcast(bitmap(changes.select(F.xxhash64(doc, digest).alias("id")), "id"))
 
     @F.pandas_udf("boolean")
-    def may_change(hashes: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
+    def may_change(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
+        hand_back()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), digest: F.xxhash64(text)})
@@ -203,8 +214,10 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     untouched = rows.where(~may_change(id_)).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias(removed), F.lit(False).alias(nothing)
     )
-    rows = rows.where(may_change(id_)).join(changes, [doc, digest], "left")
-    without = F.pandas_udf(_without, "text string, removed int, left int")
+    # Python workers live on after their task, so no task has more than one: a merge join parts the bitmap's from those that cut
+    # texts, and a filter on what was cut is not pushed below it, which would cut every text twice
+    rows = rows.where(may_change(id_)).join(changes.hint("merge"), [doc, digest], "left")
+    without = F.pandas_udf(_cut, "text string, removed int, left int").asNondeterministic()
     cut = rows.where(F.col(spans).isNotNull()).withColumn(new, without("text", spans))
     cut = cut.select(*[F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
                      F.col(f"{new}.removed").alias(removed), (F.col(f"{new}.left") == 0).alias(nothing))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import tokens
-from tidewatch.llm.common import documents, hand_back
+from tidewatch.llm.common import documents, hand_back, in_slices
 from tidewatch.sources.staging import measured, stage
 
 TIERS = (1024, 512, 256, 128)
@@ -142,7 +142,7 @@ def pack_documents(
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             return frame
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 ids[count] = np.append(enc.encode([text])[0], np.uint32(end_id)).astype("<u4")
                 names[count] = None if doc is None or pd.isna(doc) else int(doc)

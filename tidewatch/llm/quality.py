@@ -84,24 +84,20 @@ class Model:
         return 1 / (1 + np.exp(np.clip(SHARPNESS * (density[0] - density[1]), -500, 500)))
 
 
+def _sums(frame: DataFrame) -> DataFrame:
+    """Per label the sums of (1, x) (1, x)', its upper triangle by rows. A task adds its rows up before the shuffle."""
+    x = [F.lit(1.0), *[F.col("x")[k] for k in range(len(STATISTICS))]]
+    return frame.groupBy("quality").agg(F.array(*[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]).alias("sums"))
+
+
 def _moments(frame: DataFrame) -> dict[int, np.ndarray]:
-    """Per label the sums of (1, x) (1, x)'. A task adds its rows up before the shuffle."""
+    """Per label the sums of (1, x) (1, x)'."""
     d = len(STATISTICS) + 1
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, d, d))
-        for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), np.stack(batch["x"].to_numpy())])
-            for label in (0, 1):
-                part = x[batch["quality"].to_numpy() == label]
-                sums[label] += part.T @ part
-        for label in (0, 1):
-            yield pd.DataFrame({"label": label, "k": np.arange(d * d), "v": sums[label].ravel()})
-
-    rows = frame.mapInPandas(add, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v"))
     found = {label: np.zeros((d, d)) for label in (0, 1)}
-    for label, k, v in rows.collect():  # 2 d^2 numbers
-        found[label].ravel()[k] = v
+    for label, sums in _sums(frame).collect():  # two rows
+        upper = np.zeros((d, d))
+        upper[np.triu_indices(d)] = sums
+        found[int(label)] = upper + np.triu(upper, 1).T
     return found
 
 
@@ -141,8 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     ).where("quality = most").select("doc_id", "quality")
 
     @F.pandas_udf("array<double>")
-    def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(statistics(texts.tolist())))
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(statistics(texts.tolist())))
+            del texts
+        hand_back()
 
     rows = documents(docs).where(train).select("doc_id", measure("text").alias("x"))
     return discriminant(_moments(rows.join(agreed, "doc_id").select("quality", "x")))
@@ -160,6 +159,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = THRESHOLD, ste
                 # rounded as `score` does
                 score = np.round(model.scores(x), 9) if model else np.full(len(x), 0.5)
                 yield part.filter(pa.array(score >= least))
+            batch = part = None
         hand_back()
 
     place = docs.columns.index("text")

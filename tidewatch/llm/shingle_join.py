@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Forest, components, documents, drop_read_shuffles, free_names, words
+from tidewatch.llm.common import Forest, components, documents, drop_read_shuffles, free_names, hand_back, in_slices, words
 from tidewatch.sources.staging import stage
 
 BLOCK = 2048  # classes of a region that one task compares
@@ -38,6 +38,7 @@ LEAF, FANOUT = 8, 4
 BITS_A_SHINGLE, LEAST_BITS, MOST_BITS = 4, 1 << 11, 1 << 16  # of a signature, by the largest set of a block
 MAP_BITS = 1 << 26  # most bits of a bitmap that is sent to all tasks; a fuller one only lets more through
 MAP_PIECE = 1 << 18
+MANY_TEXTS = 512  # a block with so many hands its memory back
 BITS_A_KEY = 16
 COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
 
@@ -250,7 +251,7 @@ def _low(s: np.ndarray, percent: int) -> np.ndarray:
 
 def _measure(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
     """A row per document: its class, the size of its set, and the part of it that prefixes come from, as bytes."""
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingles(t, n) for t in batch["text"]]
         yield pd.DataFrame({
             "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "size": [len(s) for s in sets],
@@ -259,8 +260,7 @@ def _measure(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[
 
 
 def _joined_parts(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The parts of a batch's distinct sets one after the other, their sizes, those of the sets, and the numbers of the classes."""
-    batch = batch.drop_duplicates("key")
+    """The parts of distinct sets one after the other, their sizes, those of the sets, and the numbers of the classes."""
     joined = np.frombuffer(b"".join(batch["part"]), np.uint64)
     held = batch["part"].str.len().to_numpy(np.int64) // 8
     return joined, held, batch["size"].to_numpy(np.int64), np.array([_number(k) for k in batch["key"]], np.int64)
@@ -282,7 +282,7 @@ def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in in_slices(batches, key="key"):
         joined, held, sizes, numbers = _joined_parts(batch)
         upto = (COUNTED * _prefix_sizes(sizes, percent)).astype(np.int64)
         kept = _first(held, upto, np.zeros(len(joined), bool))
@@ -296,7 +296,7 @@ def _prefixes(
 
     The order of all shingles is: those of the lower half that are not shared, the others of the lower half, the upper half.
     """
-    for batch in batches:
+    for batch in in_slices(batches, key="key"):
         joined, held, sizes, numbers = _joined_parts(batch)
         late = in_bitmap(shared, joined) | (joined >= HALF)
         kept = _first(held, _prefix_sizes(sizes, percent), late)
@@ -314,6 +314,9 @@ def _compare(frame: pd.DataFrame, n: int, percent: int, both: bool) -> pd.DataFr
     known = [None if pd.isna(c) else int(c) for c in frame["component"]]
     reps = frame["rep"].tolist()
     found = join_sets(sets, frame["side"].tolist(), known, percent, both)
+    if len(frame) >= MANY_TEXTS:
+        del frame, sets
+        hand_back()
     return pd.DataFrame([(reps[i], reps[j]) for i, j in found], columns=["a", "b"], dtype="int64")
 
 
@@ -383,8 +386,10 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     some = send(bitmap(chosen.select(F.xxhash64("doc_id", "digest").alias("id")), "id"))
 
     @F.pandas_udf("boolean")
-    def may_be_chosen(hashes: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
+    def may_be_chosen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series(in_bitmap(some.value, hashes.to_numpy(np.int64)))
+        hand_back()
 
     found = texts.where("doc_id is not null").where(may_be_chosen(F.xxhash64("doc_id", "digest")))
     found = found.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))  # repeated rows are one
