@@ -79,6 +79,29 @@ def test_jaccard_groups_equal_brute_force(spark, block, monkeypatch):
         assert len(set(c for _, c in want.values())) < len(want)
 
 
+@pytest.mark.parametrize("shared, few", [(3, 4), (8, 2)])  # workers keep the prefixes of 8, so 8 at most
+def test_ties_keep_all_links(spark, shared, few, monkeypatch):
+    for name, value in (("BLOCK", 4), ("SHARED", shared), ("FEW", few), ("COMMON", (1, 3))):
+        monkeypatch.setattr(shingle_join, name, value)
+    rows = similar_texts() + [(2000 + k, " ".join(prose(40 + k // 2, 9).split(" ")[: 4 + k % 6])) for k in range(12)]
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_groups(rows, 4, 85)
+
+
+def test_passages_of_other_texts_chain_no_regions(spark, monkeypatch):
+    """Each text is made of two passages that its neighbours hold, so every prefix meets another one; no texts are near copies."""
+    seen = {}
+
+    def staged(df, name, *args, real=shingle_join.stage, **named):
+        return seen.__setitem__(name, out := real(df, name, *args, **named)) or out
+
+    monkeypatch.setattr(shingle_join, "stage", staged)
+    rows = [(k, prose(5000 + k, 6) + " " + prose(5001 + k, 6)) for k in range(60)]
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert seen["met-shingles"].count() >= 60 and seen["region-texts"].count() == 0
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_groups(rows, 2, 80)
+
+
 def test_jaccard_edges(edges, none):
     got = shingle_join.near_duplicates(edges, 4, 85).collect()
     assert len(got) == len(edge_rows())

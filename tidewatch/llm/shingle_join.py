@@ -2,17 +2,19 @@
 
 1. Each text becomes the set of its hashed shingles; texts with equal sets are one class from here on. The lower half of a set's hashes is
    staged, as prefixes lie in it.
-2. Prefix filter: with any fixed order of shingles, two sets that reach the threshold share one of their first
-   n - ceil(t n) + 1. Shingles that several sets hold come last in that order, so that shared passages stay out of the
-   prefixes of texts that have enough of their own. Which these are is counted among the first shingles of all sets by hash
-   and told by a bitmap of fixed size; where it errs, the order is still the same for all. Classes that share a
-   prefix shingle, directly or through others, form a region; every link lies within one, and most texts are in none.
+2. Prefix filter: with any fixed order of shingles, two sets that reach the threshold share s of their first
+   n - ceil(t n) + s, or all that they share if that is less. The more sets hold a shingle, the later it comes in that order, in steps, so that shared passages stay
+   out of the prefixes of texts that have enough of their own. Which these are is counted among the first shingles of all
+   sets by hash and told by bitmaps of fixed size; where they err, the order is still the same for all. A shingle that many
+   prefixes hold ties its classes together. Shingles that few hold are counted for each pair of classes; pairs with s of them, and of
+   sizes that may link, are tied as well. So a shingle met by chance, of which there are the more the larger the table, ties nothing.
+   Classes tied directly or through others form a region; every link lies within one, and most texts are in none.
 3. In a region a signature tree is built: leaves hold a few sets that lie close together, each node the OR
    of its sets' bitmaps and the range of their sizes. A dual traversal descends into a pair of nodes
    only if the greatest overlap that bitmaps and sizes allow reaches the threshold, and if the
    two are not yet connected. Leaf pairs are verified on the sets themselves.
-4. A region too large for one task is first cut by size: sets link only within a band of sizes or with the next. What is still too
-   large is cut into blocks. Every block is first joined with itself
+4. A region too large for one task is formed anew by size: sets link only within a band of sizes or with the next, and only classes
+   of such a pair of bands that are tied, directly or through others of that pair, stay together. What is still too large is cut into blocks. Every block is first joined with itself
    and a few pivots of the region; then only classes outside the region's largest component meet
    the other blocks. So a huge group of copies never meets itself, and no pair list is ever written.
 5. Components of the found links, which are between classes, give each document the smallest doc_id it is linked with.
@@ -41,6 +43,9 @@ MAP_PIECE = 1 << 18
 MANY_TEXTS = 512  # a block with so many hands its memory back
 BITS_A_KEY = 16
 COUNTED = 1.6  # so many prefix lengths of a set's shingles are counted; affects speed only
+COMMON = (1, 4, 16, 64, 256, 1024)  # shingles of more than so many sets come later in the order of prefixes, at each step; affects speed only
+SHARED = 8  # prefix shingles that a pair has to share if no more than FEW rows hold each
+FEW = 32
 
 HALF = np.uint64(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -246,7 +251,7 @@ def _number(key: str) -> int:
 def _low(s: np.ndarray, percent: int) -> np.ndarray:
     """The lower half of the hashes, if it is sure to hold the prefix; else all of them."""
     part = s[: np.searchsorted(s, HALF)]
-    return part if len(part) >= len(s) - needed(len(s), percent) + 1 else s
+    return part if len(part) >= len(s) - needed(len(s), percent) + SHARED else s
 
 
 def _measure(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -266,40 +271,53 @@ def _joined_parts(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return joined, held, batch["size"].to_numpy(np.int64), np.array([_number(k) for k in batch["key"]], np.int64)
 
 
-def _first(sizes: np.ndarray, upto: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Which members of joined sets are among the first ``upto`` of theirs, the late ones coming last."""
+def _first(sizes: np.ndarray, upto: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which members of joined sets are among the first ``upto`` of theirs, ordered by level and then as they stand."""
     ends = np.cumsum(sizes)
-    begins = np.repeat(ends - sizes, sizes)
-    early = np.concatenate([[0], np.cumsum(~late)])
-    before = early[:-1] - early[begins]  # early ones of the same set before each
-    at = np.arange(len(late)) - begins
-    held = np.repeat(early[ends] - early[ends - sizes], sizes)
-    return np.where(late, held + at - before, before) < np.repeat(upto, sizes)
+    begins = ends - sizes
+    lower = np.zeros(len(sizes), np.int64)  # members of each set on the levels before
+    out = np.zeros(len(level), bool)
+    for k in np.unique(level):
+        on = level == k
+        count = np.concatenate([[0], np.cumsum(on)])
+        out |= on & (count[:-1] < np.repeat(upto - lower + count[begins], sizes))
+        lower += count[ends] - count[begins]
+    return out
+
+
+def _levels(joined: np.ndarray, common: list[np.ndarray]) -> np.ndarray:
+    """The step of each shingle in the order of prefixes: how many of the bitmaps hold it; the upper half comes last."""
+    level = np.zeros(len(joined), np.int8)
+    at = np.arange(len(joined))
+    for bits in common:
+        at = at[in_bitmap(bits, joined[at])]
+        level[at] += 1
+    level[joined >= HALF] = len(common) + 1
+    return level
 
 
 def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
-    return sizes + (-sizes * percent // 100) + 1
+    return sizes + (-sizes * percent // 100) + SHARED
 
 
 def _counted(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for batch in in_slices(batches, key="key"):
         joined, held, sizes, numbers = _joined_parts(batch)
         upto = (COUNTED * _prefix_sizes(sizes, percent)).astype(np.int64)
-        kept = _first(held, upto, np.zeros(len(joined), bool))
+        kept = _first(held, upto, np.zeros(len(joined), np.int8))
         yield pd.DataFrame({"k": np.repeat(numbers, held)[kept], "shingle": joined[kept].view(np.int64)})
 
 
 def _prefixes(
-    batches: Iterator[pd.DataFrame], percent: int, shared: np.ndarray, wanted: np.ndarray | None
+    batches: Iterator[pd.DataFrame], percent: int, common: list[np.ndarray], wanted: np.ndarray | None
 ) -> Iterator[pd.DataFrame]:
     """Prefix shingles of each set; with ``wanted`` only those in that bitmap.
 
-    The order of all shingles is: those of the lower half that are not shared, the others of the lower half, the upper half.
+    The order of all shingles is: those of the lower half by the steps of COMMON, rare ones first, then the upper half.
     """
     for batch in in_slices(batches, key="key"):
         joined, held, sizes, numbers = _joined_parts(batch)
-        late = in_bitmap(shared, joined) | (joined >= HALF)
-        kept = _first(held, _prefix_sizes(sizes, percent), late)
+        kept = _first(held, _prefix_sizes(sizes, percent), _levels(joined, common))
         ids, found = np.repeat(numbers, held)[kept], joined[kept]
         if wanted is not None:
             hit = in_bitmap(wanted, found)
@@ -360,26 +378,31 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
             F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c")
         ).where("a < b")
 
-    shared = send(bitmap(several(held.mapInPandas(lambda x: _counted(x, percent), pair)), "shingle"))
+    shared = stage(several(held.mapInPandas(lambda x: _counted(x, percent), pair)).select("shingle", "c"), "shared-shingles")
     drop_read_shuffles(spark)
-    met = stage(several(held.mapInPandas(lambda x: _prefixes(x, percent, shared.value, None), pair)), "met-shingles")
+    top = shared.agg(F.max("c")).first()[0] or 0
+    common = [send(bitmap(shared.where(F.col("c") > most), "shingle")) for most in COMMON if most < top]
+    ordered = lambda x, wanted: _prefixes(x, percent, [bits.value for bits in common], wanted)
+    met = stage(several(held.mapInPandas(lambda x: ordered(x, None), pair)), "met-shingles")
     drop_read_shuffles(spark)
-    crowded = met.where("c > 2").select("shingle", "a")
-    wanted = send(bitmap(crowded, "shingle"))
-    again = held.mapInPandas(lambda x: _prefixes(x, percent, shared.value, wanted.value), pair)
-    members = again.join(crowded, "shingle").select(F.col("k").alias("b"), "a")
-    links = met.select("a", "b").union(members.select("a", "b")).where("a <> b").distinct()
+    wanted = send(bitmap(met.where("c > 2"), "shingle"))
+    again = held.mapInPandas(lambda x: ordered(x, wanted.value), pair)
+    members = stage(again.join(met.where("c > 2").select("shingle", "c"), "shingle"), "prefix-members")
+    drop_read_shuffles(spark)
+    number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
+    numbered = classes.select(number.alias("id"), "rep", "size")
+    pairs = stage(_tied_pairs(met, members, numbered, percent), "tied-pairs")
+    many = members.where(F.col("c") > FEW).select("shingle", F.col("k").alias("id"))
+    links = pairs.select("a", "b").union(_tied_by_many(many, ["shingle"], "id")).distinct()
     regions = stage(components(links), "regions").withColumnRenamed("component", "region")
 
-    number = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    chosen = classes.withColumn("id", number).join(regions, "id").select("rep", "region", "size")
-    # Linked sets lie in one band of sizes or in two that adjoin: a region beyond one block falls into pairs of bands.
-    band = F.floor(F.log("size") / (np.log(100 / percent) * 1.0001)) if percent < 100 else F.col("size").cast("long")
+    chosen = numbered.join(regions, "id")
     counted = chosen.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    bands = F.when(F.col("n") > BLOCK, F.array(band, band - 1)).otherwise(F.array(F.lit(None).cast("long")))
-    chosen = chosen.join(counted, "region").select("rep", "region", F.explode(bands).alias("band")).select(
-        "rep", F.xxhash64("region", "band").alias("region")
-    )
+    chosen = stage(chosen.join(counted, "region"), "region-classes")
+    large = chosen.where(F.col("n") > BLOCK)
+    chosen = chosen.where(F.col("n") <= BLOCK).select("rep", F.xxhash64("region").alias("region"))
+    if not large.isEmpty():
+        chosen = chosen.union(_by_bands(large, pairs, many, percent))
     blocks = chosen.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
     chosen = stage(chosen.join(blocks.where("n > 1"), "region").drop("n"), "region-members")
     chosen = chosen.join(classes.select("rep", "doc_id", "digest"), "rep")
@@ -414,6 +437,43 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
+def _tied_by_many(held_by: DataFrame, group: list[str], node: str) -> DataFrame:
+    """Pairs (a, b) that connect all nodes of a group: its least one with each other one."""
+    least = held_by.groupBy(*group).agg(F.min(node).alias("a"), F.max(node).alias("z")).where("a < z").drop("z")
+    return held_by.join(least, group).select("a", F.col(node).alias("b")).where("a <> b").distinct()
+
+
+def _tied_pairs(met: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes (a, b) that share SHARED prefix shingles that few hold, or all that they need, and whose sizes may link.
+
+    Where a pair that links has fewer of these, it also shares a prefix shingle that many hold.
+    """
+    lists = members.where(F.col("c") <= FEW).groupBy("shingle").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    each = lists.select(F.posexplode("ks").alias("i", "a"), "ks")
+    several = each.select("a", F.explode(F.slice("ks", F.col("i") + 2, FEW)).alias("b"))
+    shared = met.where("c = 2").select("a", "b").union(several).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sizes = lambda c: classes.select(F.col("id").alias(c), F.col("size").cast("long").alias(f"size_{c}"))
+    sized = shared.join(sizes("a"), "a").join(sizes("b"), "b")
+    least = F.ceil(F.greatest("size_a", "size_b") * percent / 100)
+    return sized.where((F.col("shared") >= F.least(F.lit(SHARED), least)) & (F.least("size_a", "size_b") >= least)).select("a", "b").distinct()
+
+
+def _by_bands(classes: DataFrame, pairs: DataFrame, many: DataFrame, percent: int) -> DataFrame:
+    """Regions (rep, region) that hold every link of the classes; each class is in two of them at most.
+
+    Linked sets lie in one band of sizes or in two that adjoin. ``many`` has what is tied by a shingle (shingle, id).
+    """
+    band = F.floor(F.log("size") / (np.log(100 / percent) * 1.0001)) if percent < 100 else F.col("size").cast("long")
+    banded = classes.select("id", band.alias("band"))
+    of = lambda c: banded.select(F.col("id").alias(c), F.col("band").alias(f"band_{c}"))
+    common = F.least("band_a", "band_b")  # both are in the pair of bands that begins here
+    tied = pairs.join(of("a"), "a").join(of("b"), "b").select(F.xxhash64("a", common).alias("a"), F.xxhash64("b", common).alias("b"))
+    own = classes.select("id", "rep", F.explode(F.array(band, band - 1)).alias("band")).withColumn("node", F.xxhash64("id", "band"))
+    spread = many.join(own, "id").select("shingle", "band", "node")
+    found = components(tied.union(_tied_by_many(spread, ["shingle", "band"], "node")).distinct())
+    return own.join(found.select(F.col("id").alias("node"), F.col("component").alias("region")), "node").select("rep", "region")
+
+
 def _links(parts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links that connect all that is connected, as pairs of classes (a, b)."""
     none = F.lit(None).cast("long").alias("component")
