@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.sources.staging import stage
+from tidewatch.sources.staging import drop_read_shuffles, stage  # noqa: F401
 
 SLICE_ROWS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,12 +58,6 @@ def in_slices(batches: Iterator[pd.DataFrame], key: str | None = None, rows: int
     hand_back()
 
 
-def drop_read_shuffles(spark: SparkSession) -> None:
-    """Let the driver collect garbage: Spark then deletes the shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def id_remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
