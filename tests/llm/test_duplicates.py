@@ -102,6 +102,16 @@ def test_passages_of_other_texts_chain_no_regions(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_groups(rows, 2, 80)
 
 
+def test_chained_texts_do_not_meet_block_by_block(spark, monkeypatch):
+    """Blocks of a region met each other with their texts, quadratic in a region that chance had chained."""
+    names, real = [], shingle_join.stage
+    monkeypatch.setattr(shingle_join, "stage", lambda df, name, *args, **named: names.append(name) or real(df, name, *args, **named))
+    monkeypatch.setattr(shingle_join, "BLOCK", 4)
+    rows = [(k, prose(7000 + k, 6) + " " + prose(7001 + k, 6)) for k in range(40)]
+    kept = shingle_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    assert sorted(kept.collect()) == sorted(rows) and "region-texts" in names and "strip-links" not in names
+
+
 def test_jaccard_edges(edges, none):
     got = shingle_join.near_duplicates(edges, 4, 85).collect()
     assert len(got) == len(edge_rows())
